@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, mixing, sharding, simhash, url_filter
+from . import decontaminate, line_quality, mixing, sharding, simhash, url_filter
 from .common import table
 
 
@@ -18,6 +18,13 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).alias("leaks"))
+    best = F.coalesce(F.array_max(F.col("leaks.overlap")), F.lit(0))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"), best.alias("longest_overlap"))
+
+
 def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge_lines(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
@@ -32,4 +39,4 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op6_line_frequency_quality, op8_simhash_trie, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op4_spaced_seed_decontamination, op6_line_frequency_quality, op8_simhash_trie, op10_subset_sum_mix)}
