@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _RULES = "(VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(kind, h, p)"
@@ -68,4 +70,29 @@ grams AS (SELECT row_id, pos, w[pos:pos + 4] AS gram FROM (SELECT row_id, w, unn
 
 OP6 = f"WITH {LINE_TABLES} SELECT * EXCLUDE (row_id) FROM ({LINE_VERDICTS})"
 
-ORACLE_SQL = {"op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_TOKENS = f"regexp_extract_all({_LOWER.format('{0}')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP7 = f"""
+WITH t(license, body) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(b)})" for n, b in TEMPLATES)}),
+templates AS (SELECT license, {_GRAMS.format("w")} AS g FROM (SELECT license, {_TOKENS.format("body")} AS w FROM t)),
+rows_ AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+lines_ AS (SELECT row_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows_),
+blocks AS (
+  SELECT row_id, string_agg(part, chr(10) ORDER BY pos) AS part
+  FROM (SELECT *, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) AS block FROM (SELECT *, {_TOKENS.format("part")} AS w FROM lines_)) WHERE len(w) > 0
+  GROUP BY row_id, block HAVING count(*) > 1),
+units AS (SELECT row_id, part FROM lines_ UNION ALL SELECT * FROM blocks UNION ALL SELECT row_id, text FROM rows_ WHERE contains(text, chr(10))),
+bags AS (SELECT row_id, u, {_GRAMS.format("w")} AS g FROM (SELECT row_id, row_number() OVER () AS u, {_TOKENS.format("part")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 100000),
+scored AS (
+  SELECT row_id, u, license, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice
+  FROM bags b JOIN templates t ON len(b.g) * 2 <= len(t.g) * 3 AND len(t.g) * 2 <= len(b.g) * 3),
+best AS (SELECT row_id, count(DISTINCT u) AS units, max(dice) AS dice, arg_min(license, (-dice, license)) AS license FROM scored WHERE dice >= 0.8 GROUP BY row_id)
+SELECT doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, CAST(coalesce(units, 0) AS INTEGER) AS units FROM rows_ LEFT JOIN best USING (row_id)
+"""
+
+ORACLE_SQL = {"op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_quality, mixing, sharding, simhash, url_filter
+from . import decontaminate, license_scan, line_quality, mixing, sharding, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -18,6 +18,12 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", token_counts.count_tokens(docs, token_counts.read_pieces()).alias("t"))
+    return counted.select("doc_id", "t.n_tokens", "t.score")
+
+
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).alias("leaks"))
@@ -30,6 +36,11 @@ def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
 
 
+def op7_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", license_scan.scan_licenses(docs["text"]).alias("l")).select("doc_id", "l.license", "l.dice", "l.units")
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,4 +50,4 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op4_spaced_seed_decontamination, op6_line_frequency_quality, op8_simhash_trie, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op10_subset_sum_mix)}
