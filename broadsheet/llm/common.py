@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,3 +65,12 @@ def split_rank(df: DataFrame, keys: list[str], by: Column, ties: list[str], name
         .withColumn(name, (F.col("_before") + F.col("_rank")).cast("long"))
         .drop("_by", "_slice", "_rank", "_before", *renamed.values())
     )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder; compressed, so for large tables."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="broadsheet-")
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

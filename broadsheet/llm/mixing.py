@@ -109,3 +109,11 @@ def mix(df: DataFrame, size: Column | None = None, source: str = "source", key:
     out = ranked.join(plans, ranked["source"].eqNullSafe(plans["_source"]) & (ranked["size"] == plans["_size"]))
     passes = (F.col("full") + (F.col("_place") < F.col("extra")).cast("long")).alias("passes")
     return out.select(key, "source", "size", "source_size", "target", passes, (passes * F.col("size")).alias("taken"))
+
+
+def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each row of ``df``, all columns, as often as it is taken. Equal rows are told
+    apart by no column, so they share their passes."""
+    rows = df.withColumn("_row", F.xxhash64(key, "source", "text"))
+    times = mix(rows, key="_row", **options).groupBy("_row").agg(F.sum("passes").cast("int").alias("_times")).where("_times > 0")
+    return rows.dropDuplicates(["_row"]).join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)

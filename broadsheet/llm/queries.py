@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_quality, mixing, sharding, simhash, token_counts, url_filter
+from . import decontaminate, license_scan, line_quality, mixing, sharding, simhash, suffix_tree_lm, token_counts, url_filter
 from .common import table
 
 
@@ -46,8 +46,15 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tree, words = suffix_tree_lm.train(docs.where(~suffix_tree_lm.held_out()))
+    scored = suffix_tree_lm.score(docs, tree, words)
+    return scored.select("doc_id", suffix_tree_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix)}

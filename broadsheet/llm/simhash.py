@@ -1,9 +1,10 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-Fingerprints within ``max_bits`` differing bits are linked. Of ``max_bits + 2`` blocks of bits two
-agree in any such pair, so fingerprints meet under each pair of blocks; there a binary trie over
-the sorted fingerprints is joined with itself: pairs of nodes go down together, add up the bits in
-which they differ, and end when the error budget is spent. Groups above ``GROUP`` fingerprints are
+Fingerprints within ``max_bits`` differing bits are linked. Of ``max_bits + m`` blocks of bits m
+agree in any such pair, so fingerprints meet under each choice of m blocks (m is two, and more only
+for so many fingerprints that the groups would grow); there a binary trie over the sorted
+fingerprints is joined with itself: pairs of nodes go down together, add up the bits in which they
+differ, and end when the error budget is spent or only a few leaves are left to compare. Groups above ``GROUP`` fingerprints are
 dealt out as pairs of slices, each a join of its own, so that no task gets an unbounded group. A
 join returns a spanning forest of its links, never all pairs.
 """
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from .common import durable
 from .graph import components
 
-#: Fingerprints that one trie holds at most, and node pairs that are expanded at once.
-GROUP, PAIRS = 4096, 1 << 20
+#: Fingerprints that one trie holds at most, node pairs that are expanded at once, and pairs of
+#: leaves below a node pair that are compared without going further down.
+GROUP, PAIRS, LEAVES = 4096, 1 << 18, 16
+#: Mean fingerprints under one choice of blocks up to which m stays as it is.
+CROWDED = 64
 
 
 def simhash(text: str, words: int) -> int:
@@ -68,9 +72,12 @@ def trie_links(v: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: tuple[
             half = len(a) // 2
             stack += [(depth, *(x[half:] for x in (a, a_end, b, b_end, bits))), (depth, *(x[:half] for x in (a, a_end, b, b_end, bits)))]
             continue
-        if depth == 64:
-            found.append((a, b))
-            continue
+        few = (a_end - a).astype(np.int64) * (b_end - b) <= LEAVES if depth < 64 else np.ones(len(a), bool)
+        if few.any():
+            found.append(_leaf_links(v, *(x[few] for x in (a, a_end, b, b_end)), budget))
+            a, a_end, b, b_end, bits = (x[~few] for x in (a, a_end, b, b_end, bits))
+            if not len(a):
+                continue
         if depth not in ones:
             ones[depth] = np.concatenate(([0], np.cumsum((v >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int32)))
         c = ones[depth]
@@ -88,6 +95,17 @@ def trie_links(v: np.ndarray, left: tuple[np.ndarray, np.ndarray], right: tuple[
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
+def _leaf_links(v: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of leaves below small node pairs."""
+    wide = (b_end - b).astype(np.int64)
+    n = (a_end - a) * wide
+    pair = np.repeat(np.arange(len(a)), n)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i, j = a[pair] + nth // wide[pair], b[pair] + nth % wide[pair]
+    near = (np.bitwise_count(v[i] ^ v[j]) <= budget) & ((i < j) | (a[pair] != b[pair]))
+    return i[near], j[near]
+
+
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each of n nodes reaches over the links."""
     label = np.arange(n)
@@ -134,11 +152,18 @@ def _forest(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
 
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """Distinct fingerprints (fp long) -> a spanning set (a, b) of the links between them."""
-    blocks = max_bits + 2
+    count, m = prints.count(), 2
+    while m < 5 and count / 2 ** (64 * m // (max_bits + m)) > CROWDED:
+        m += 1
+    blocks = max_bits + m
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    width = max(hi - lo for lo, hi in zip(cuts, cuts[1:]))
-    keys = [F.shiftleft(F.lit(n).cast("long"), 2 * width).bitwiseOR(F.shiftleft(part[i], width)).bitwiseOR(part[j]) for n, (i, j) in enumerate(combinations(range(blocks), 2))]
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), m)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, cuts[i + 1] - cuts[i]).bitwiseOR(part[i])
+        keys.append(key)
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(sizes, "key").withColumn("slices", F.ceil(F.col("n") / GROUP).cast("int"))
@@ -170,8 +195,8 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, key: str =
     return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, words: int = 5, max_bits: int = 4, key: str = "doc_id") -> DataFrame:
-    """One row of each near-duplicate group, that with the least key; all columns. Rows with null keys
+def keep_one(df: DataFrame, words: int = 5, max_bits: int = 8, key: str = "doc_id") -> DataFrame:
+    """Near copies by five-word shingles and seven eighths of the fingerprint's bits: one row of each near-duplicate group, that with the least key; all columns. Rows with null keys
     stay: they can't be told to be anybody's copy. Repeated rows of a key become one."""
     joined = near_duplicates(df.where(F.col(key).isNotNull()), words, max_bits, key)
     gone = joined.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
