@@ -95,4 +95,21 @@ best AS (SELECT row_id, count(DISTINCT u) AS units, max(dice) AS dice, arg_min(l
 SELECT doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, CAST(coalesce(units, 0) AS INTEGER) AS units FROM rows_ LEFT JOIN best USING (row_id)
 """
 
-ORACLE_SQL = {"op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+starts AS (SELECT row_id, doc_id, p, substr(x, 2 * p - 1, 100) AS s FROM (SELECT *, unnest(range(1, length(x) // 2 - 48)) AS p FROM d)),
+gone AS (SELECT row_id, p FROM (SELECT row_id, doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first_doc FROM starts) WHERE first_doc < doc_id),
+spans AS (
+  SELECT row_id, min(p) AS lo, max(p) + 49 AS hi
+  FROM (SELECT *, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY p) AS span FROM (SELECT *, lag(p, 1, -1000) OVER (PARTITION BY row_id ORDER BY p) AS before FROM gone))
+  GROUP BY row_id, span),
+gaps AS (
+  SELECT row_id, lag(hi, 1, 0) OVER (PARTITION BY row_id ORDER BY lo) + 1 AS a, lo - 1 AS b FROM spans
+  UNION ALL SELECT row_id, max(hi) + 1, 1000000000 FROM spans GROUP BY row_id),
+kept AS (SELECT row_id, string_agg(substr(x, 2 * a - 1, 2 * (b - a + 1)), '' ORDER BY a) AS k FROM gaps JOIN d USING (row_id) GROUP BY row_id),
+sums AS (SELECT row_id, count(*) AS n, sum(hi - lo + 1) AS bytes FROM spans GROUP BY row_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN sums USING (row_id) LEFT JOIN kept USING (row_id)
+"""
+
+ORACLE_SQL = {"op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}

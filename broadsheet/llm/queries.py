@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_quality, mixing, sharding, simhash, suffix_tree_lm, token_counts, url_filter
+from . import decontaminate, license_scan, line_quality, mixing, sharding, simhash, suffix_dedup, suffix_tree_lm, token_counts, url_filter
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"), best.alias("longest_overlap"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge_lines(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
@@ -57,4 +62,4 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix)}
