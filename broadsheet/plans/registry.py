@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dashboard
+from . import collection, dashboard, graphs
 from .prelude import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "dashboard"]
+__all__ = ["ORACLE", "QUERIES", "collection", "dashboard", "graphs"]
