@@ -160,7 +160,7 @@ def u9_seed_get_or_create(t: Tables):
     return judgment.seed_get_or_create(t.topics, seeds).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("", r"""SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')) AS text FROM pages""")
+@query("", r"""SELECT page_id, trim(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS text FROM pages""")
 def p1_strip_html(t: Tables):
     return t.raw("pages").select("page_id", P.strip_html(F.col("html")).alias("text"))
 

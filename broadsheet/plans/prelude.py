@@ -38,11 +38,25 @@ TABLES_SQL = {
   FROM (SELECT *, min(CASE WHEN gate IS NULL AND dated THEN (keyword_ord, item_pos) END) OVER (PARTITION BY url_hash) AS won FROM gated)""",
     "articles": """SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS body, source AS source_type, 'https://' || source || '/' || doc_id AS url, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id * 37 % 400 AS INTEGER)) AS published_at,
   CASE WHEN coalesce(quality = 1, doc_id % 3 <> 0) THEN '검증됨' ELSE '미검증' END AS status FROM documents LEFT JOIN labels USING (doc_id)""",
+    "dictionary": "SELECT * FROM (VALUES (0, 'the', ''), (1, 'tion', 'tions'), (2, 'License', 'Apache License'), (3, 'der', ''), (4, 'que', 'qué'), (5, 'MIT', ''), (6, 'and', ''), (7, 'GNU', 'General Public'), (8, 'rights reserved', ''), (9, 'é', '')) v(id, name, alias)",
+    "names": "SELECT id, lower(name) AS needle FROM dictionary WHERE id <> 6 UNION SELECT id, lower(alias) FROM dictionary WHERE alias <> '' AND id <> 6",
+    "corrections": "SELECT doc_id AS op_ord, doc_id AS news_id, CASE WHEN doc_id % 3 = 0 THEN 'add' ELSE 'remove' END AS action, doc_id % 10 AS entity_id FROM documents WHERE doc_id % 2 = 0",
+    "lines": r"""SELECT id, title, source_type, status, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM articles""",
+    "cut": r"""SELECT id, title, source_type, status, CASE WHEN sentence IS NOT NULL AND len(l) - greatest(coalesce(prose, 0), sentence) >= 2 THEN l[1:greatest(coalesce(prose, 0), sentence)] ELSE l END AS l FROM (
+  SELECT *, list_min(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(regexp_replace(regexp_replace(l[i], '["''“”‘’()\[\]『』「」《》]+$', ''), '\s+$', ''), '[.!?다요]$'))) AS sentence, list_max(list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '^[-–—]'))) AS prose FROM lines)""",
+    "cleaned": r"""SELECT id, title, source_type, status, list_filter(l, lambda x: NOT regexp_matches(x, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+') AND NOT regexp_matches(x, '^(?i:advertisement)$|^[-–—]{1,3}$|(?i:copyright.*reserved)|(?i:Tel\s*[:：].*Fax\s*[:：])')) AS l FROM cut""",
+    "tags": """SELECT DISTINCT c.id AS news_id, n.id AS entity_id FROM (SELECT id, lower(coalesce(title, '') || ' ' || array_to_string(l, chr(10))) AS t FROM cleaned) c JOIN names n
+  ON regexp_matches(t, CASE WHEN regexp_matches(needle, '^[0-9a-z]') THEN '(^|[^0-9a-z])' ELSE '' END || needle || CASE WHEN regexp_matches(needle, '[0-9a-z]$') THEN '($|[^0-9a-z])' ELSE '' END)""",
+    "old_tags": "SELECT DISTINCT doc_id AS news_id, doc_id % 10 AS entity_id FROM documents UNION SELECT doc_id, (doc_id + 3) % 10 FROM documents",
+    "reports": """SELECT id, year(d) || '년 ' || month(d) || '월 1주차(7.25~7.31) — Title ' || id AS title, CASE WHEN id % 100 = 0 THEN 'done' ELSE 'draft' END AS status, CAST(d - 200 AS DATE) AS date_from, CAST(d + 200 AS DATE) AS date_to, id % 150 = 0 AS sent
+  FROM (SELECT id, CAST(published_at AS DATE) AS d FROM news) WHERE id % 50 = 0""",
+    "refs": "SELECT r.id AS report_id, 0 AS issue_no, CAST(pos AS INTEGER) AS ref_pos, n.id AS news_id FROM reports r, (VALUES (0, 1), (3, 7)) v(pos, step) JOIN news n ON n.id = r.id + step",
+    "report_news": "SELECT id AS report_id, unnest([id + 1, id + CASE WHEN id % 100 = 0 THEN 7 ELSE 9 END]) AS news_id FROM reports",
     "span": "SELECT d, CASE WHEN d + 1 <= 364 THEN 7 ELSE 30 END AS s FROM (SELECT coalesce(DATE '2001-08-01' - min(day), 0) AS d FROM ok)",
     "buckets": "SELECT i, s, n, CAST(DATE '2001-08-01' - CAST(i * s AS INTEGER) AS DATE) AS e FROM (SELECT s, CAST(CASE WHEN d < 0 THEN 1 ELSE d // s + 2 END AS INTEGER) AS n, unnest(range(CASE WHEN d < 0 THEN 1 ELSE d // s + 2 END)) AS i FROM span)",
     "rolling": """SELECT CAST(n - 1 - i AS INTEGER) AS bucket, CAST(e - CAST(s - 1 AS INTEGER) AS DATE) AS start, e AS "end", CAST(count(id) AS BIGINT) AS count FROM buckets LEFT JOIN ok ON day BETWEEN e - CAST(s - 1 AS INTEGER) AND e GROUP BY ALL""",
 }
-_NEEDS = {"span": ["ok"], "buckets": ["span"], "rolling": ["buckets"], "ok": ["news"], "pairs": ["news_orgs", "ok"], "gated": ["hits", "known", "excluded"], "folded": ["gated"]}
+_NEEDS = {"lines": ["articles"], "cut": ["lines"], "cleaned": ["cut"], "names": ["dictionary"], "tags": ["cleaned", "names"], "reports": ["news"], "refs": ["reports"], "report_news": ["reports"], "span": ["ok"], "buckets": ["span"], "rolling": ["buckets"], "ok": ["news"], "pairs": ["news_orgs", "ok"], "gated": ["hits", "known", "excluded"], "folded": ["gated"]}
 
 
 def with_tables(names: str, sql: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collection, dashboard, graphs
+from . import audits, collection, dashboard, graphs, report_queries, texts
 from .prelude import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "collection", "dashboard", "graphs"]
+__all__ = ["ORACLE", "QUERIES", "audits", "collection", "dashboard", "graphs", "report_queries", "texts"]

@@ -12,6 +12,7 @@ from .. import schemas as S
 
 #: The fixed "today" of the volume tables; order dates end there.
 AS_OF = dt.date(2001, 8, 1)
+DICTIONARY = (("the", ""), ("tion", "tions"), ("License", "Apache License"), ("der", ""), ("que", "qué"), ("MIT", ""), ("and", ""), ("GNU", "General Public"), ("rights reserved", ""), ("é", ""))
 LABELS = ("partner", "supplier", "investor")
 
 
@@ -120,6 +121,37 @@ class Tables:
             F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id * 37 % 400 as int))").alias("published_at"), F.when(ok, S.VERIFIED).otherwise(S.UNVERIFIED).alias("status"),
         )
 
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        """Entities whose names stand in the documents; names are fixed, an alias and activity come by id."""
+        rows = [(i, n, [a] if a else [], i != 6) for i, (n, a) in enumerate(DICTIONARY)]
+        return self.spark.createDataFrame(rows, "id long, name string, aliases array<string>, is_active boolean")
+
+    @cached_property
+    def corrections(self) -> DataFrame:
+        """Tag corrections on documents, by their ids."""
+        n = F.col("doc_id")
+        name = F.element_at(F.array(*[F.lit(x) for x, _ in DICTIONARY]), (n % len(DICTIONARY) + 1).cast("int"))
+        d = self.raw("documents").where(n % 2 == 0)
+        return d.select(n.alias("op_ord"), n.alias("news_id"), F.lit("tech_topic").alias("axis"), F.when(n % 3 == 0, "add").otherwise("remove").alias("action"), name.alias("target_name"))
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        """A report for every fiftieth order: two issues, the first with references good, bad and repeated."""
+        n, day = F.col("id"), F.to_date("published_at")
+        refs = F.concat(F.lit("참고: uid-"), n + 1, F.lit(", bad, uid-"), n + 1, F.lit(",, uid-"), n + 7, F.lit(", "))
+        content = F.concat(F.lit("Head "), n, F.lit("\n### First "), n, F.lit("\nBody one.\n\nImplication.\n"), refs, F.lit("\n### Second\nBody two.\n#### no issue\n참고: not last\nEnd."))
+        title = F.concat(F.year(day), F.lit("년 "), F.month(day), F.lit("월 1주차(7.25~7.31) — Title "), n)
+        return self.news.where(n % 50 == 0).select(
+            n, title.alias("title"), content.alias("content"), F.lit("Overview.").alias("overview"), F.when(n % 100 == 0, "done").otherwise("draft").alias("status"), F.date_sub(day, 200).alias("date_from"), F.date_add(day, 200).alias("date_to"),
+            F.when(n % 150 == 0, F.col("published_at")).alias("slack_sent_at"),
+        )
+
+    @cached_property
+    def report_news(self) -> DataFrame:
+        n = self.news.where("id % 50 = 0").select(F.col("id").alias("report_id"))
+        return n.select("report_id", F.explode(F.array(F.col("report_id") + 1, F.col("report_id") + F.when(F.col("report_id") % 100 == 0, 7).otherwise(9))).alias("news_id"))
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("news_id"), F.col("embedding").alias("vector"))
