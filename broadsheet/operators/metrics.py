@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.tables import ensure_checkpoints
 from ..functions.scalars import in_period, local_date, pct, verified
 
 
@@ -146,8 +147,8 @@ def ranked(df: DataFrame, order: list[Column], name: str = "n", tiles: int | Non
     spark = df.sparkSession
     tiles = tiles or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(tiles, *order).withColumn("_tile", F.spark_partition_id())
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        dealt = dealt.checkpoint()  # range bounds are sampled: fix the tiles for both uses
+    ensure_checkpoints(spark)
+    dealt = dealt.checkpoint()  # range bounds are sampled: fix the tiles for both uses
     within = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_tile").orderBy(*order)))
     before = Window.orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_tile").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).select("_tile", "_o")

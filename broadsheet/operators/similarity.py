@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import ensure_checkpoints
+
 #: Random-hyperplane tables: a pair at cosine 0.82 shares 8 signs in one of 48 with probability 0.9999.
 TABLES, BITS, SEED = 48, 8, 7
 
@@ -103,6 +105,7 @@ def title_key(title: Column) -> Column:
 
 def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, group) by least-label propagation with pointer jumping; checkpointed, until nothing changes."""
+    ensure_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     both = both.checkpoint()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), F.col("l").alias("group")).checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_news(news: DataFrame, path: str, tz: str = S.SEOUL) -> None:
     """Parquet by publication date, so that period filters prune folders."""
-    news.withColumn("published_date", local_date(F.col("published_at"), tz)).write.mode("overwrite").partitionBy("published_date").parquet(path)
+    news.withColumn("published_date", local_date(F.col("published_at"), tz)).repartition("published_date").write.mode("overwrite").partitionBy("published_date").parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
@@ -96,3 +97,16 @@ def report_markdown(reports: DataFrame, report_news: DataFrame, news: DataFrame)
 
 def snapshot_report(reports: DataFrame, report_news: DataFrame, news: DataFrame, path: str) -> None:
     report_markdown(reports, report_news, news).select(F.col("document").alias("value"), "report_id").write.mode("overwrite").partitionBy("report_id").text(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate tables: in the cluster's shared checkpoint folder; in a temporary
+    one only where the session names none, as in local tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="broadsheet-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Sets a checkpoint folder of our own where the session has none."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-"))

@@ -63,13 +63,17 @@ def stream_gap_alert(news: DataFrame, orphans: DataFrame, as_of: dt.date, path:
     return news.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drives a stream to its end into a memory table; for tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Drives a stream to its end into Parquet; in update or complete mode the last batch's rows stay."""
+    if mode == "append":
+        q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    else:
+        q = df.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(path)).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.parquet(path)
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
