@@ -67,9 +67,9 @@ def z5_stream_gap_alert(t: Tables):
 
 @query("news", "SELECT id, day FROM news WHERE day = DATE '2001-07-31'")
 def s2_write_and_read_table(t: Tables):
-    """News written by publication date and read back: the filter prunes all folders but one."""
+    """News written by publication month and read back: the filter prunes all folders but one."""
     from ..sources.tables import read_table, write_news
 
     path = scratch(t.spark)
-    write_news(t.news, path)
-    return read_table(t.spark, path).where("published_date = date'2001-07-31'").select("id", F.col("published_date").alias("day"))
+    write_news(t.news, path, by="month")
+    return read_table(t.spark, path).where("published_part = date'2001-07-01' and published_date = date'2001-07-31'").select("id", F.col("published_date").alias("day"))

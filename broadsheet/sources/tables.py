@@ -27,9 +27,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_news(news: DataFrame, path: str, tz: str = S.SEOUL) -> None:
-    """Parquet by publication date, so that period filters prune folders."""
-    news.withColumn("published_date", local_date(F.col("published_at"), tz)).repartition("published_date").write.mode("overwrite").partitionBy("published_date").parquet(path)
+def write_news(news: DataFrame, path: str, tz: str = S.SEOUL, by: str = "day") -> None:
+    """Parquet in folders by the publication day, or month, so that period filters prune them."""
+    day = local_date(F.col("published_at"), tz)
+    dated = news.withColumn("published_date", day).withColumn("published_part", F.to_date(F.trunc(day, "month")) if by == "month" else day)
+    dated.repartition("published_part").write.mode("overwrite").partitionBy("published_part").parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
