@@ -34,12 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of the key columns; still an equi-join for Spark."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def split_rank(df: DataFrame, keys: list[str], by: Column, ties: list[str], name: str) -> DataFrame:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"  # fixed values of the base rules
@@ -66,7 +66,8 @@ def judge_lines(df: DataFrame, host: str = "source", max_share: float = 0.02, mi
     A null text counts as empty and fails on length; a null host is a host; repeated rows each get
     the same verdict; an empty table gives none; other columns are ignored.
     """
-    slim = df.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    as_text = lambda c: F.col(c).cast("string")  # noqa: E731  so that pandas keeps nulls and large numbers
+    slim = df.select(as_text("doc_id").alias("doc_id"), as_text(host).alias("host"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
 
     def figures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in _FIGURES.split(", ")]
@@ -74,8 +75,7 @@ def judge_lines(df: DataFrame, host: str = "source", max_share: float = 0.02, mi
             rows = pd.DataFrame([text_figures(t) for t in pdf.text], columns=names)
             yield pd.concat([pdf[KEY].reset_index(drop=True), rows], axis=1)
 
-    types = {f.name: f.dataType.simpleString() for f in slim.schema}
-    figs = durable(slim.mapInPandas(figures, f"doc_id {types['doc_id']}, host {types['host']}, text_hash long, {_FIGURES}"))
+    figs = durable(slim.mapInPandas(figures, f"doc_id string, host string, text_hash long, {_FIGURES}"))
     figs = figs.withColumn("_row", F.monotonically_increasing_id())  # fixed, as the rows are written
 
     distinct = figs.groupBy("host", "text_hash").agg(F.first("line_hashes").alias("lines"))
@@ -92,18 +92,21 @@ def judge_lines(df: DataFrame, host: str = "source", max_share: float = 0.02, mi
     out = figs.join(removed, "_row", "left").withColumn("left_words", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (F.col("left_words") < min_words) | (100 * F.col("left_words") < min_left_percent * F.col("n_words"))
-    return out.select(*KEY, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "left_words", "removed_lines", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    key = [F.col("doc_id").cast(df.schema["doc_id"].dataType), F.col("host").cast(df.schema[host].dataType), "text_hash"]
+    return out.select(*key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "left_words", "removed_lines", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 def keep_good(df: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The kept rows of ``df``, all columns, with boilerplate lines taken out of the text and
     ``n_chars``, if there, brought up to date. Rows without such lines stay as they are."""
+    digest, doc, at, same, gone = (fresh(df, n) for n in ("_digest", "_doc", "_host", "_same", "_gone"))
     verdicts = judge_lines(df, host, **limits).where("kept").dropDuplicates(KEY)
-    marked = verdicts.select(*[F.col(k).alias(f"_{k}") for k in KEY], "removed_lines").withColumnRenamed("removed_lines", "_gone")
-    rows = df.withColumn("_text_hash_", F.xxhash64("text"))
-    cond = rows["doc_id"].eqNullSafe(marked["_doc_id"]) & rows[host].eqNullSafe(marked["_host"]) & (rows["_text_hash_"] == marked["_text_hash"])
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    out = rows.join(marked, cond).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
+    marked = verdicts.select(F.col("doc_id").alias(doc), F.col("host").alias(at), F.col("text_hash").alias(same), F.col("removed_lines").alias(gone))
+    rows = df.withColumn(digest, F.xxhash64("text"))
+    out = rows.join(marked, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col(host).eqNullSafe(F.col(at)) & (F.col(digest) == F.col(same)))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    whole = F.col(gone).isNull()
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(left))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(df.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(df.schema["n_chars"].dataType)))
     return out.select(*df.columns)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, split_rank
+from .common import WORD, fresh, split_rank
 
 #: The knapsack's budget in words; the gap is brought below it before.
 KNAPSACK_WORDS = 16384
@@ -112,8 +112,11 @@ def mix(df: DataFrame, size: Column | None = None, source: str = "source", key:
 
 
 def mixed(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of ``df``, all columns, as often as it is taken. Equal rows are told
-    apart by no column, so they share their passes."""
-    rows = df.withColumn("_row", F.xxhash64(key, "source", "text"))
-    times = mix(rows, key="_row", **options).groupBy("_row").agg(F.sum("passes").cast("int").alias("_times")).where("_times > 0")
-    return rows.dropDuplicates(["_row"]).join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)
+    """The mix itself: each row of ``df``, all columns, as often as it is taken. Rows that agree in key,
+    source and text share their passes. Names of further columns don't matter."""
+    row, again, time = (fresh(df, n) for n in ("_row", "_again", "_time"))
+    rows = df.withColumn(row, F.xxhash64(key, "source", "text"))
+    planned = mix(rows.select(F.col(row).alias("row"), "source", "text"), key="row", **options)
+    times = planned.groupBy("row").agg(F.sum("passes").cast("int").alias(again)).where(F.col(again) > 0).withColumnRenamed("row", time)
+    met = rows.dropDuplicates([row]).join(times, F.col(row) == F.col(time))
+    return met.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(again)))).select(*df.columns)

@@ -218,13 +218,13 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     raw = F.encode(F.coalesce(df[text], F.lit("")), "UTF-8")
     doc = F.coalesce(df[key].cast("long"), F.lit((1 << 63) - 1))
-    rows = df.select(F.col(key), doc.alias("doc"), raw.alias("body")).withColumn("digest", F.unhex(F.md5("body")))
+    rows = df.select(df[key].cast("string").alias("key"), doc.alias("doc"), raw.alias("body")).withColumn("digest", F.unhex(F.md5("body")))
     rows = rows.withColumn("row", F.xxhash64("doc", "digest"))
 
     slim = rows.select("row", "doc", "digest")
     groups = slim.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     copies = slim.join(groups, "digest").where("doc > least").select("row").distinct()
-    body = rows.select(key, "row", "doc", "body")
+    body = rows.select("key", "row", "doc", "body")
     own = body.join(copies, "row", "left_anti")
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,14 +267,14 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     gone = parts.repartition("h").sortWithinPartitions("h", "doc").mapInPandas(_sort_batches, "row long, lo long, hi long")
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("row", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<bigint>").alias("lo"), F.lit(None).cast("array<bigint>").alias("hi"), F.lit(True).alias("copy")))
-    kind = df.schema[key].dataType.simpleString()
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = [_kept(*x) for x in zip(pdf.body, pdf.lo, pdf.hi, pdf["copy"])]
-            yield pd.concat([pdf[[key]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
+            yield pd.concat([pdf[["key"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
 
-    return body.join(marks, "row", "left").select(key, "body", "lo", "hi", "copy").mapInPandas(keep, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = body.join(marks, "row", "left").select("key", "body", "lo", "hi", "copy").mapInPandas(keep, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
+    return kept.select(F.col("key").cast(df.schema[key].dataType).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def _kept(body: bytes, lo, hi, copy) -> tuple[int, int, int, bytes]:
