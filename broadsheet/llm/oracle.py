@@ -95,6 +95,47 @@ best AS (SELECT row_id, count(DISTINCT u) AS units, max(dice) AS dice, arg_min(l
 SELECT doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, CAST(coalesce(units, 0) AS INTEGER) AS units FROM rows_ LEFT JOIN best USING (row_id)
 """
 
+def _crc(hex_bytes: str) -> str:
+    """CRC-32 of the bytes of a hexadecimal string, with the table ``crc_table``."""
+    parts = f"list_transform(range(1, length({hex_bytes}) // 2 + 1), lambda i: CAST('0x' || substr({hex_bytes}, 2 * i - 1, 2) AS UBIGINT))"
+    return f"CAST(xor(list_reduce(list_concat([4294967295::UBIGINT], {parts}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295::UBIGINT) AS BIGINT)"
+
+
+def _jump(shards: int, name: str) -> str:
+    """The recursive steps of the jump hash, on 64-bit keys kept in 128 bits."""
+    step = "(k * 2862933555777941757 + 1) % 18446744073709551616"
+    return f"""{name}_steps(row_id, k, b, j) AS (SELECT row_id, CAST(key AS HUGEINT), -1::BIGINT, 0::BIGINT FROM d UNION ALL
+  SELECT row_id, n, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST((n // 8589934592) + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT row_id, j, {step} AS n FROM {name}_steps WHERE j < {shards})),
+{name} AS (SELECT row_id, CAST(max(b) AS INTEGER) AS s FROM {name}_steps GROUP BY row_id)"""
+
+
+OP2 = f"""
+WITH RECURSIVE crc_steps(i, n, c) AS (SELECT i, 0, CAST(i AS UBIGINT) FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM crc_steps WHERE n < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE n = 8),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616::HUGEINT ELSE doc_id END, 0) AS key, hex(encode(coalesce(text, ''))) AS x, hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))) AS y FROM documents),
+{_jump(40, "now")},
+{_jump(41, "grown")},
+sized AS (SELECT row_id, doc_id, CAST(length(x) // 2 + 16 AS BIGINT) AS size, CASE WHEN x = '' THEN 0 ELSE {_crc("x")} END AS text_crc32, CASE WHEN y = '' THEN 0 ELSE {_crc("y")} END AS spread FROM d, crc_table)
+SELECT doc_id, size, text_crc32, 'key' AS law, now.s AS shard, row_number() OVER (PARTITION BY now.s ORDER BY spread, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown.s AS grown_shard FROM sized JOIN now USING (row_id) JOIN grown USING (row_id)
+"""
+
+_SPLIT = f"regexp_extract_all(regexp_replace({_LOWER.format('text')}, '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[^\\x20\\x09-\\x0D]+')"
+OP4 = f"""
+WITH masks(m, places, span) AS (VALUES (0, [0, 1, 2, 3, 5, 6], 7), (1, [0, 1, 2, 4, 5, 6], 7), (2, [0, 1, 3, 4, 6, 7], 8), (3, [0, 2, 3, 4, 6, 8], 9)),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, {_SPLIT} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+b AS (SELECT item_id, {_SPLIT} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len({_SPLIT}) >= 8),
+dw AS (SELECT row_id, m, p, list_transform(places, lambda o: w[p + o]) AS k FROM (SELECT row_id, m, places, w, unnest(range(1, len(w) - span + 2)) AS p FROM d, masks)),
+bw AS (SELECT item_id, m, p, list_transform(places, lambda o: w[p + o]) AS k FROM (SELECT item_id, m, places, w, unnest(range(1, len(w) - span + 2)) AS p FROM b, masks)),
+hits AS (SELECT DISTINCT row_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (m, k)),
+laid AS (SELECT row_id, item_id, shift, j, dww[j + shift] = bww[j] AS eq, least(13, len(bww)) AS win
+  FROM (SELECT row_id, item_id, shift, d.w AS dww, b.w AS bww, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1)) AS j FROM hits JOIN d USING (row_id) JOIN b USING (item_id))),
+summed AS (SELECT *, sum(CAST(eq AS INTEGER)) OVER w AS upto, row_number() OVER w AS n FROM laid WINDOW w AS (PARTITION BY row_id, item_id, shift ORDER BY j)),
+good AS (SELECT e.row_id, e.item_id, e.shift, e.j - e.win + 1 AS lo, e.j AS hi FROM summed e LEFT JOIN summed s ON s.row_id = e.row_id AND s.item_id = e.item_id AND s.shift = e.shift AND s.n = e.n - e.win WHERE e.n >= e.win AND 5 * (e.upto - coalesce(s.upto, 0)) >= 4 * e.win),
+spans AS (SELECT l.row_id, l.item_id, l.shift, count(*) AS overlap FROM laid l WHERE EXISTS (SELECT 1 FROM good g WHERE g.row_id = l.row_id AND g.item_id = l.item_id AND g.shift = l.shift AND l.j BETWEEN g.lo AND g.hi) GROUP BY ALL),
+best AS (SELECT row_id, list(DISTINCT item_id ORDER BY item_id) AS item_ids, CAST(max(overlap) AS INTEGER) AS longest_overlap FROM spans GROUP BY row_id)
+SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids, coalesce(longest_overlap, 0) AS longest_overlap FROM d LEFT JOIN best USING (row_id)
+"""
+
 OP5 = """
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
 starts AS (SELECT row_id, doc_id, p, substr(x, 2 * p - 1, 100) AS s FROM (SELECT *, unnest(range(1, length(x) // 2 - 48)) AS p FROM d)),
@@ -112,4 +153,4 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0
 FROM d LEFT JOIN sums USING (row_id) LEFT JOIN kept USING (row_id)
 """
 
-ORACLE_SQL = {"op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}
+ORACLE_SQL = {"op2_jump_sharding": OP2, "op4_spaced_seed_decontamination": OP4, "op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}

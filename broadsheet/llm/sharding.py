@@ -58,13 +58,14 @@ def shard_slots(df: DataFrame, shards: int, key: str = "doc_id", text: str = "te
     """(key, size, text_crc32, shard, slot, grown_shard) for each row.
 
     ``size``: UTF-8 bytes of the text plus 16 (a null text has none, and the CRC of no bytes, 0);
-    ``slot``: the row's gapless place from 0 in its shard, in a fixed pseudo-random order;
+    ``slot``: the row's gapless place from 0 in its shard, by the CRC of its key;
     ``grown_shard``: the shard with one more shard. The text itself isn't shuffled.
     """
     t = F.coalesce(df[text], F.lit(""))
     slim = df.select(df[key], (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
     placed = assign_shards(assign_shards(slim, shards, key), shards + 1, key, "grown_shard")
-    return split_rank(placed, ["shard"], F.xxhash64(key), [key, "text_crc32", "size"], "slot")
+    spread = F.shiftleft(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), 32)
+    return split_rank(placed, ["shard"], spread, [key, "text_crc32", "size"], "slot")
 
 
 def write_shards(df: DataFrame, shards: int, path: str, key: str = "doc_id", files_per_shard: int = 1) -> None:
