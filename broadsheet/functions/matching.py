@@ -24,6 +24,8 @@ def token_and_match(text: Column, keyword: Column) -> Column:
     return F.forall(tokens, lambda t: F.contains(F.lower(text), t))
 
 
+#: Aliases in one broadcast automaton.
+ALIASES = 200_000
 _WORD_CHARS = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -73,11 +75,23 @@ def entity_names(entities: DataFrame) -> DataFrame:
     return active.select(F.col("id").alias("entity_id"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
 
 
-def mentioned(text: Column, entities: DataFrame) -> Column:
-    """array<long>: ids of the active entities that a text mentions. The dictionary (some 10^5 aliases)
-    is broadcast."""
-    names = [(r.entity_id, r.alias) for r in entity_names(entities).toLocalIterator()]
-    shared = entities.sparkSession.sparkContext.broadcast(names)
+def in_blocks(df: DataFrame, rows: int) -> list[DataFrame]:
+    """A dimension table cut by hash into parts of about ``rows`` rows, each small enough to broadcast."""
+    parts = max(1, -(-df.count() // rows))
+    return [df] if parts == 1 else [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == n) for n in range(parts)]
+
+
+def mentioned(text: Column, entities: DataFrame, block: int = ALIASES) -> Column:
+    """array<long>: ids of the active entities that a text mentions. Each ``block`` aliases of the dictionary
+    are broadcast and matched by an automaton of their own; most dictionaries are one block."""
+    names = entity_names(entities).where("alias is not null").distinct()
+    found = [_matcher(part) for part in in_blocks(names, block)]
+    return found[0](text) if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*[f(text) for f in found])))
+
+
+def _matcher(names: DataFrame):
+    listed = [(r.entity_id, r.alias) for r in names.toLocalIterator()]
+    shared = names.sparkSession.sparkContext.broadcast(listed)
     held: list[AliasMatcher] = []
 
     @F.pandas_udf("array<long>")
@@ -86,7 +100,7 @@ def mentioned(text: Column, entities: DataFrame) -> Column:
             held.append(AliasMatcher(shared.value))
         return texts.map(held[0])
 
-    return match(text)
+    return match
 
 
 def bundle_label(title: Column) -> Column:

@@ -141,6 +141,10 @@ def news_without_org(news: DataFrame, bridge: DataFrame) -> DataFrame:
     return news.join(bridge.select(F.col("news_id").alias("id")), "id", "left_anti")
 
 
+#: Rows that one task may order for a page.
+DEEP = 10_000
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "n", tiles: int | None = None) -> DataFrame:
     """Adds the 1-based place of each row in a global order without sorting in one task: rows are dealt
     by ranges, numbered in each, and offset by the counts of the ranges before, a few numbers."""
@@ -157,7 +161,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "n", tiles: int | Non
 
 def list_page(news: DataFrame, page: object = 1, size: int = 20, order: str = "newest") -> DataFrame:
     """One page of the verified list with total_count; a page that is no number is the first, one out of
-    range the last. Only the rows up to the page's end are ordered."""
+    range the last. Pages near the front take the best rows alone; deep ones number the rows by ranges."""
     rows = verified(news)
     total = rows.count()
     last = max(1, -(-total // size))
@@ -167,7 +171,12 @@ def list_page(news: DataFrame, page: object = 1, size: int = 20, order: str = "n
         n = 1
     n = n if 1 <= n <= last else last
     by = [F.col("published_at"), F.col("id")] if order == "oldest" else [F.desc("published_at"), F.desc("id")]
-    return rows.orderBy(*by).offset((n - 1) * size).limit(size).withColumn("total_count", F.lit(total).cast("long"))
+    first = (n - 1) * size
+    if first + size <= DEEP:
+        out = rows.orderBy(*by).offset(first).limit(size)
+    else:
+        out = ranked(rows, by, "_place").where(F.col("_place").between(first + 1, first + size)).orderBy("_place").drop("_place")
+    return out.withColumn("total_count", F.lit(total).cast("long"))
 
 
 def adjacent_news(news: DataFrame) -> DataFrame:

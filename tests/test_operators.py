@@ -64,6 +64,13 @@ def test_ranking_and_lists(spark):
     assert [r.id for r in metrics.list_page(n, "x", 3).collect()] == [0, 1, 2] and [r.id for r in metrics.list_page(n, 99, 3).collect()] == [6] == [r.id for r in metrics.list_page(n, 0, 3).collect()]
 
 
+def test_deep_pages(spark, monkeypatch):
+    n = news(spark, [(i, i % 5, i % 4 != 0) for i in range(60)])
+    near = [[r.id for r in metrics.list_page(n, p, 7, o).collect()] for o in ("newest", "oldest") for p in (1, 4, 7)]
+    monkeypatch.setattr(metrics, "DEEP", 0)
+    assert [[r.id for r in metrics.list_page(n, p, 7, o).collect()] for o in ("newest", "oldest") for p in (1, 4, 7)] == near
+
+
 def test_adjacent_news_outside_the_gate(spark):
     got = {r.id: (r.prev_id, r.next_id) for r in metrics.adjacent_news(news(spark, [(1, 0, True), (2, 0, False), (3, 0, True), (4, 2, True), (5, 1, False)])).collect()}
     assert got == {1: (3, 4), 2: (3, 1), 3: (None, 1), 4: (1, None), 5: (1, 4)}

@@ -70,6 +70,13 @@ def test_matcher_against_a_plain_search():
         assert matching.AliasMatcher(names)(text) == sorted(want)
 
 
+def test_dictionary_in_blocks(spark):
+    orgs = spark.createDataFrame([(i, f"name{i}", [f"alias{i}"], i != 3) for i in range(20)], "id long, name string, aliases array<string>, is_active boolean")
+    text = spark.createDataFrame([("name1 alias1 alias17, name3 xname5 name50",), (None,)], "t string")
+    for block in (3, 1000):
+        assert [r.m for r in text.select(matching.mentioned(F.col("t"), orgs, block).alias("m")).collect()] == [[1, 17], []]
+
+
 def test_scalars(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(P.strip_html(F.lit(" <b>A</b> &lt;b&gt; &amp; "))) == "A <b> &"
