@@ -11,20 +11,25 @@ common prefixes of at least ``SPAN`` bytes show the equal strings.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN, GRAM = 50, 20
 #: Bytes of text that are hashed, and of stretches that are sorted, at once.
 CHUNK, BATCH = 1 << 20, 4 << 20
-#: A gram that more rows than this share sends each string by itself, under the string's hash, so
+#: A gram that more rows than this share sends each string by itself, to meet by the string, so
 #: that however many rows meet, the distinct strings among them stay few.
 CROWDED = 20_000
+#: Bits of a gram's hash that are shipped: at 10^13 grams a few in a hundred look shared by chance, which
+#: costs a comparison and no more.
+SHIPPED_BITS = 48
+#: Texts whose grams are looked up together.
+TEXTS = 8192
 _PAD = b"\0" * 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -40,12 +45,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _gram_hashes(buf: bytes, n: int) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes (over 8, at most 24) from each of n places."""
-    w = _words(buf, n + 16)
+    """A 64-bit hash of the GRAM bytes (8 at least) from each of n places, taken 8 bytes at a time; the
+    last 8 may overlap those before."""
+    w, h = _words(buf, n + GRAM - 8), np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        h = _mix(w[:n] * _B)
-        h = _mix((h ^ w[8 : n + 8]) * _B)
-        return _mix((h ^ (w[GRAM - 8 : n + GRAM - 8])) * _A)
+        for at in (*range(0, GRAM - 8, 8), GRAM - 8):
+            h = _mix((h ^ w[at : at + n]) * _B)
+        return h * _A
 
 
 def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -79,7 +85,7 @@ def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         a, b = np.flatnonzero(new), np.flatnonzero(inside & last)
         of = piece[a]
         shift = np.array([at for _, at, _ in part])[of] - (ends - [len(p) for _, _, p in part])[of]
-        yield np.array([i for i, _, _ in part])[of], a + shift, b + shift, gram[a] + shift, h[gram[a]].view(np.int64)
+        yield np.array([i for i, _, _ in part])[of], a + shift, b + shift, gram[a] + shift, (h[gram[a]] >> np.uint64(64 - SHIPPED_BITS)).view(np.int64)
 
 
 def two_stage_order(t: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -167,21 +173,24 @@ def removed_starts(parts: list[bytes], strings: np.ndarray, docs: np.ndarray) ->
     return part[gone], offset[gone], firsts
 
 
+#: What stretches meet by: their gram, or, for a crowded gram (place -1), the one string itself.
+_MEET = f"case when place < 0 then part else substring(part, place + 1, {GRAM}) end"
+
+
 def _sort_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (h, doc, row, start, strings, part) come sorted by h and doc; whole runs of h are sorted together.
-    A run that doesn't fit is taken in pieces, each with the strings of the pieces before it."""
+    """Rows (doc, row, start, strings, place, part) come sorted by what they meet by and doc; whole runs are
+    sorted together. A run that doesn't fit is taken in pieces, each with the strings of those before it."""
     held: list[pd.DataFrame] = []
-    size, carry_h, carry = 0, None, []
+    size, carry_key, carry = 0, None, []
 
     def sort(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
-        nonlocal carry_h, carry
-        h = pdf.h.to_numpy()
-        early = carry if carry_h is not None and h[0] == carry_h else []
+        nonlocal carry_key, carry
+        early = carry if carry_key is not None and pdf.key.iloc[0] == carry_key else []
         parts = [s for _, s in early] + pdf.part.tolist()
         docs = np.concatenate((np.array([d for d, _ in early], np.int64), pdf.doc.to_numpy(np.int64)))
         strings = np.concatenate((np.ones(len(early), np.int64), pdf.strings.to_numpy(np.int64)))
         part, offset, firsts = removed_starts(parts, strings, docs)
-        carry_h, carry = (None, []) if whole else (h[-1], firsts)
+        carry_key, carry = (None, []) if whole else (pdf.key.iloc[-1], firsts)
         mine = part >= len(early)
         part, at = part[mine] - len(early), offset[mine]
         at = at + pdf.start.to_numpy(np.int64)[part]
@@ -191,12 +200,12 @@ def _sort_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"row": row[new], "lo": at[new], "hi": at[end] + SPAN})
 
     for pdf in frames:
-        held.append(pdf)
+        held.append(pdf.assign(key=[p if o < 0 else p[o : o + GRAM] for p, o in zip(pdf.part, pdf.place)]))
         size += int(pdf.part.str.len().sum())
         if size < BATCH:
             continue
         both = pd.concat(held, ignore_index=True)
-        last = both.h.to_numpy() == both.h.iloc[-1]
+        last = (both.key == both.key.iloc[-1]).to_numpy()
         if last.all():
             yield sort(both, False)  # one run, and it may go on
             held, size = [], 0
@@ -218,65 +227,80 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     raw = F.encode(F.coalesce(df[text], F.lit("")), "UTF-8")
     doc = F.coalesce(df[key].cast("long"), F.lit((1 << 63) - 1))
-    rows = df.select(df[key].cast("string").alias("key"), doc.alias("doc"), raw.alias("body")).withColumn("digest", F.unhex(F.md5("body")))
+    rows = df.select(df[key].cast("string").alias("key"), doc.alias("doc"), raw.alias("raw")).withColumn("digest", F.unhex(F.md5("raw")))
     rows = rows.withColumn("row", F.xxhash64("doc", "digest"))
 
     slim = rows.select("row", "doc", "digest")
     groups = slim.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     copies = slim.join(groups, "digest").where("doc > least").select("row").distinct()
-    body = rows.select("key", "row", "doc", "body")
-    own = body.join(copies, "row", "left_anti")
+    # The texts are shuffled once, packed: all three steps that read them ask for these very columns.
+    body = rows.select("key", "row", "doc", _packed("raw").alias("body"))
+    own = body.join(copies, "row", "left_anti").select(*body.columns)
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             row = pdf.row.to_numpy()
-            for i, _, _, place, h in stretches(pdf.body.tolist()):
-                new = np.concatenate(([True], (place[1:] != place[:-1]) | (i[1:] != i[:-1]))) if len(i) else np.empty(0, bool)
-                yield pd.DataFrame({"h": h[new], "row": row[i[new]], "place": place[new].astype(np.int64)})
+            for i, _, _, _, h in stretches(_unpacked(pdf.body)):
+                by = np.lexsort((h, i))  # a text that repeats itself names each gram once in a while
+                i, h = i[by], h[by]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))) if len(i) else np.empty(0, bool)
+                yield pd.DataFrame({"h": h[new], "row": row[i[new]]})
 
-    found = own.mapInPandas(grams, "h long, row long, place long")
+    found = own.mapInPandas(grams, "h long, row long")
     same_gram = Window.partitionBy("h")
     spread = found.withColumn("low", F.min("row").over(same_gram)).withColumn("high", F.max("row").over(same_gram)).withColumn("n", F.count(F.lit(1)).over(same_gram))
-    shared = spread.where("low < high").groupBy("row").agg(F.collect_list(F.struct("place", (F.col("n") > CROWDED).alias("crowded"))).alias("grams"))
-    shared = shared.select("row", F.col("grams.place").alias("places"), F.col("grams.crowded").alias("crowded"))
+    shared = spread.where("low < high").groupBy("row").agg(F.collect_list(F.col("h") * 2 + (F.col("n") > CROWDED).cast("long")).alias("grams"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            bodies, row, doc = pdf.body.tolist(), pdf.row.to_numpy(), pdf.doc.to_numpy()
-            wide = max((len(b) for b in bodies), default=0) + 1
-            marked = np.concatenate([np.empty(0, np.int64), *(np.asarray(p, np.int64) + k * wide for k, p in enumerate(pdf.places))])
-            hot = np.concatenate([np.empty(0, bool), *(np.asarray(c, bool) for c in pdf.crowded)])
-            by = np.argsort(marked)
-            marked, hot = marked[by], hot[by]
+        for pdf in (part for whole in frames for _, part in whole.groupby(np.arange(len(whole)) // TEXTS)):
+            bodies, row, doc = _unpacked(pdf.body), pdf.row.to_numpy(), pdf.doc.to_numpy()
+            # A text's place in the batch, a gram's hash and whether it is crowded, in one number each.
+            marked = np.unique(np.concatenate([np.empty(0, np.int64), *(np.asarray(g, np.int64) + (k << SHIPPED_BITS + 1) for k, g in enumerate(pdf.grams))]))
+            marked, hot = marked >> 1, marked & 1 == 1
             for i, lo, hi, place, h in stretches(bodies):
-                at = np.searchsorted(marked, place + i * wide)
-                met = np.flatnonzero(marked[np.minimum(at, len(marked) - 1)] == place + i * wide) if len(marked) else []
+                mine = (i << SHIPPED_BITS) + h
+                at = np.minimum(np.searchsorted(marked, mine), len(marked) - 1)
+                met = np.flatnonzero(marked[at] == mine) if len(marked) else []
                 out = []
                 for k, crowded in zip(met, hot[at[met]] if len(marked) else []):
                     a, b, body = int(lo[k]), int(hi[k]), bodies[i[k]]
                     if crowded:
-                        out += [(int.from_bytes(hashlib.blake2b(s := body[q : q + SPAN], digest_size=8).digest(), "little", signed=True), i[k], q, 1, s) for q in range(a, b + 1)]
+                        out += [(i[k], q, 1, -1, body[q : q + SPAN]) for q in range(a, b + 1)]
                     else:
-                        out.append((h[k], i[k], a, b - a + 1, body[a : b + SPAN]))
+                        out.append((i[k], a, b - a + 1, int(place[k]) - a, body[a : b + SPAN]))
                 if out:
-                    hs, which, starts, n, parts = zip(*out)
+                    which, starts, n, at_gram, parts = zip(*out)
                     which = np.array(which)
-                    yield pd.DataFrame({"h": np.array(hs, np.int64), "doc": doc[which], "row": row[which], "start": np.array(starts, np.int64), "strings": np.array(n, np.int32), "part": list(parts)})
+                    yield pd.DataFrame({"doc": doc[which], "row": row[which], "start": np.array(starts, np.int64), "strings": np.array(n, np.int32), "place": np.array(at_gram, np.int32), "part": list(parts)})
 
-    parts = own.join(shared, "row").mapInPandas(cut, "h long, doc long, row long, start long, strings int, part binary")
-    gone = parts.repartition("h").sortWithinPartitions("h", "doc").mapInPandas(_sort_batches, "row long, lo long, hi long")
+    parts = own.join(shared, "row").mapInPandas(cut, "doc long, row long, start long, strings int, place int, part binary")
+    gone = parts.repartition(F.expr(_MEET)).sortWithinPartitions(F.expr(_MEET), "doc").mapInPandas(_sort_batches, "row long, lo long, hi long")
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("row", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<bigint>").alias("lo"), F.lit(None).cast("array<bigint>").alias("hi"), F.lit(True).alias("copy")))
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [_kept(*x) for x in zip(pdf.body, pdf.lo, pdf.hi, pdf["copy"])]
+            out = [_kept(*x) for x in zip(_unpacked(pdf.body), pdf.lo, pdf.hi, pdf["copy"])]
             yield pd.concat([pdf[["key"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
 
-    kept = body.join(marks, "row", "left").select("key", "body", "lo", "hi", "copy").mapInPandas(keep, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = body.join(marks, "row", "left").mapInPandas(keep, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.select(F.col("key").cast(df.schema[key].dataType).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
 
 
+def _packed(raw: str) -> Column:
+    @F.pandas_udf("binary")
+    def pack(bodies: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(3)
+        return bodies.map(z.compress)
+
+    return pack(raw)
+
+
+def _unpacked(bodies: pd.Series) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(b) for b in bodies]
+
+
 def _kept(body: bytes, lo, hi, copy) -> tuple[int, int, int, bytes]:
     n = len(body)
     if copy is True and n >= SPAN:

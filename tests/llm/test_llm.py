@@ -201,9 +201,9 @@ def test_substring_dedup_of_crowded_grams(spark, monkeypatch):
 
 def test_long_runs_are_sorted_in_pieces(monkeypatch):
     rng = random.Random(8)
-    stems = ["".join(rng.choice("pq") for _ in range(60)) for _ in range(4)]
-    parts = [(7, d, d, 0, 11, rng.choice(stems).encode()[:60]) for d in range(60)] + [(9, d, d, 0, 3, (stems[0][:51] + "z").encode()) for d in range(5)]
-    frame = pd.DataFrame(parts, columns=["h", "doc", "row", "start", "strings", "part"])
+    stems = [b"the very same gram!!" + "".join(rng.choice("pq") for _ in range(44)).encode() for _ in range(4)]
+    parts = [(d, d, 0, 11, 0, rng.choice(stems)[:60]) for d in range(60)] + [(d, d, 0, 3, 0, b"quite another gram!!" + stems[0][20:51] + b"z") for d in range(5)]
+    frame = pd.DataFrame(parts, columns=["doc", "row", "start", "strings", "place", "part"])
     spans = lambda f: sorted(tuple(x) for y in f for x in y.itertuples(index=False))
     whole = spans(suffix_dedup._sort_batches(iter([frame])))
     monkeypatch.setattr(suffix_dedup, "BATCH", 300)
