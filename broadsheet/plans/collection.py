@@ -165,6 +165,12 @@ def p1_strip_html(t: Tables):
     return t.raw("pages").select("page_id", P.strip_html(F.col("html")).alias("text"))
 
 
+@query("", "SELECT CAST(event_id AS INTEGER) AS item_pos, 'https://hits.example/' || (event_id % 997) AS url FROM events WHERE event_id % 29 <> 0")
+def p2_pick_url(t: Tables):
+    """Two thirds of the hits have an original link, the others the portal's; rows without either go."""
+    return t.hits.select("item_pos", P.pick_url(F.col("originallink"), F.col("link")).alias("url")).where("url is not null")
+
+
 @query("hits", "SELECT item_pos, url, sha256(url) AS url_hash FROM hits WHERE url IS NOT NULL")
 def p3_url_hash(t: Tables):
     url = P.pick_url(F.col("originallink"), F.col("link"))
