@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 
 import ahocorasick
 import pandas as pd
@@ -75,32 +78,31 @@ def entity_names(entities: DataFrame) -> DataFrame:
     return active.select(F.col("id").alias("entity_id"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
 
 
-def in_blocks(df: DataFrame, rows: int) -> list[DataFrame]:
+def in_blocks(df: DataFrame, rows: int, *by: str) -> list[DataFrame]:
     """A dimension table cut by hash into parts of about ``rows`` rows, each small enough to broadcast."""
     parts = max(1, -(-df.count() // rows))
-    return [df] if parts == 1 else [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == n) for n in range(parts)]
+    return [df] if parts == 1 else [df.where(F.pmod(F.xxhash64(*(by or df.columns)), F.lit(parts)) == n) for n in range(parts)]
 
 
-def mentioned(text: Column, entities: DataFrame, block: int = ALIASES) -> Column:
-    """array<long>: ids of the active entities that a text mentions. Each ``block`` aliases of the dictionary
-    are broadcast and matched by an automaton of their own; most dictionaries are one block."""
+def mentions(texts: DataFrame, entities: DataFrame, block: int = ALIASES) -> DataFrame:
+    """(news_id, text) -> (news_id, entity_id): the active entities that each text mentions, batch or stream.
+    Some ``block`` aliases of the dictionary are broadcast at a time, an entity's all together, and matched
+    by an automaton of their own; most dictionaries are one block. Null news ids are passed over."""
     names = entity_names(entities).where("alias is not null").distinct()
-    found = [_matcher(part) for part in in_blocks(names, block)]
-    return found[0](text) if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*[f(text) for f in found])))
+    rows = texts.where("news_id is not null").select("news_id", "text")
+    return reduce(DataFrame.union, [_matched(rows, part) for part in in_blocks(names, block, "entity_id")])
 
 
-def _matcher(names: DataFrame):
-    listed = [(r.entity_id, r.alias) for r in names.toLocalIterator()]
-    shared = names.sparkSession.sparkContext.broadcast(listed)
-    held: list[AliasMatcher] = []
+def _matched(rows: DataFrame, names: DataFrame) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast([(r.entity_id, r.alias) for r in names.toLocalIterator()])
 
-    @F.pandas_udf("array<long>")
-    def match(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(AliasMatcher(shared.value))
-        return texts.map(held[0])
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = AliasMatcher(shared.value)
+        for pdf in frames:
+            found = pdf.text.map(matcher)
+            yield pd.DataFrame({"news_id": pdf.news_id, "entity_id": found}).explode("entity_id").dropna().astype("int64")
 
-    return match
+    return rows.mapInPandas(match, "news_id long, entity_id long")
 
 
 def bundle_label(title: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import html
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,9 +19,18 @@ SPACE = r"[\s\x1c-\x1f]"
 MIN_BODY = 200
 
 
+#: The same white space as single characters.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Removes Unicode white space from both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 @F.pandas_udf(T.StringType())

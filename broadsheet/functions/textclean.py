@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import SPACE, strip
+from .scalars import SPACE, let, strip
 
 # The residue rules of the news outlets, in their order. Lines that match go.
 DROP_RULES = (
@@ -37,9 +37,8 @@ _U = "(?Ud)"  # Unicode classes, and \n as the only line end, as in the rules' f
 
 
 def ends_with_terminal(c: Column) -> Column:
-    """Ends like a sentence, closing quotes and brackets aside."""
-    bare = F.regexp_replace(c, r"""[\"'“”‘’()\[\]『』「」《》]+\z""", "")
-    return F.regexp_replace(bare, rf"(?U){SPACE}+\z", "").rlike(r"(?s)[.!?다요]\z")
+    """Ends like a sentence, closing quotes and brackets, and white space before them, aside."""
+    return c.rlike(rf"""(?Us)[.!?다요]{SPACE}*[\"'“”‘’()\[\]『』「」《》]*\z""")
 
 
 def is_bullet(c: Column) -> Column:
@@ -68,15 +67,26 @@ def raw_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), strip), lambda x: x != "")
 
 
+def _places(lines: Column, test) -> Column:
+    return F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+
+
+def _before_marker(lines: Column) -> Column:
+    first = F.array_min(_places(lines, lambda x: x.isin(*WIDGET_MARKERS)))
+    return let(first, lambda at: F.when(at.isNull(), lines).otherwise(F.slice(lines, 1, F.coalesce(at, F.lit(0)))))
+
+
+def _before_bullets(lines: Column) -> Column:
+    sentence = F.array_min(_places(lines, ends_with_terminal))
+    prose = F.coalesce(F.array_max(_places(lines, lambda x: ~is_bullet(x))), F.lit(-1))
+    at = let(sentence, lambda s: F.when(s.isNotNull(), F.greatest(prose, s) + 1))
+    return let(at, lambda a: F.when(F.size(lines) - a >= 2, F.slice(lines, 1, F.coalesce(a, F.lit(0)))).otherwise(lines))
+
+
 def cut_widgets(lines: Column) -> Column:
     """Cuts from the first widget header, then a trailing block of two or more bullet lines that follows
     a sentence."""
-    marker = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.isin(*WIDGET_MARKERS), i)), lambda i: i.isNotNull()))
-    lines = F.when(marker.isNull(), lines).otherwise(F.slice(lines, 1, F.coalesce(marker, F.lit(0))))
-    sentence = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(ends_with_terminal(x), i)), lambda i: i.isNotNull()))
-    prose = F.coalesce(F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(~is_bullet(x), i)), lambda i: i.isNotNull())), F.lit(-1))
-    at = F.greatest(prose + 1, sentence + 1)
-    return F.when(sentence.isNotNull() & (F.size(lines) - at >= 2), F.slice(lines, 1, F.coalesce(at, F.lit(0)))).otherwise(lines)
+    return let(lines, lambda whole: let(_before_marker(whole), _before_bullets))
 
 
 def clean_lines(text: Column) -> Column:

@@ -70,8 +70,7 @@ def verify_batch(news: DataFrame, ids: DataFrame, now: dt.datetime) -> DataFrame
 def tag_entities(news: DataFrame, entities: DataFrame, title: str = "title", body: str = "body") -> DataFrame:
     """(news_id, entity_id): active entities that the title or the cleaned body mentions."""
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), clean_text(F.col(body)))
-    found = news.select(F.col("id").alias("news_id"), matching.mentioned(text, entities).alias("e"))
-    return found.select("news_id", F.explode("e").alias("entity_id"))
+    return matching.mentions(news.select(F.col("id").alias("news_id"), text.alias("text")), entities)
 
 
 def remap(news: DataFrame, entities: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def stream_daily_counts(news: DataFrame, lateness: str = "3 days") -> DataFrame:
 def stream_tagging(news: DataFrame, entities: DataFrame) -> DataFrame:
     """(news_id, entity_id) on a stream with a static dictionary; stateless."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), clean_text(F.col("body")))
-    return news.select(F.col("id").alias("news_id"), F.explode(matching.mentioned(text, entities)).alias("entity_id"))
+    return matching.mentions(news.select(F.col("id").alias("news_id"), text.alias("text")), entities)
 
 
 def gap_alerts(news: DataFrame, orphans: DataFrame, as_of: dt.date) -> DataFrame:

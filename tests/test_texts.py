@@ -72,9 +72,9 @@ def test_matcher_against_a_plain_search():
 
 def test_dictionary_in_blocks(spark):
     orgs = spark.createDataFrame([(i, f"name{i}", [f"alias{i}"], i != 3) for i in range(20)], "id long, name string, aliases array<string>, is_active boolean")
-    text = spark.createDataFrame([("name1 alias1 alias17, name3 xname5 name50",), (None,)], "t string")
+    text = spark.createDataFrame([(5, "name1 alias1 alias17, name3 xname5 name50"), (6, None), (7, "")], "news_id long, text string")
     for block in (3, 1000):
-        assert [r.m for r in text.select(matching.mentioned(F.col("t"), orgs, block).alias("m")).collect()] == [[1, 17], []]
+        assert sorted((r.news_id, r.entity_id) for r in matching.mentions(text, orgs, block).collect()) == [(5, 1), (5, 17)]
 
 
 def test_scalars(spark):
