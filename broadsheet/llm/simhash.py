@@ -17,10 +17,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh, written
 from .graph import components
 
 #: Fingerprints that one trie holds at most, node pairs that are expanded at once, and pairs of
@@ -28,19 +28,29 @@ from .graph import components
 GROUP, PAIRS, LEAVES = 4096, 1 << 18, 16
 #: Mean fingerprints under one choice of blocks up to which m stays as it is.
 CROWDED = 64
+#: One of how many sets is looked at for common shingles, and how many of these are told to all tasks.
+SAMPLE, COMMON = 16, 1 << 18
 
 
-def simhash(text: str, words: int) -> int:
-    """The signed 64-bit fingerprint of a text's ``words``-word shingles, repeats included."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of a text's ``words``-word shingles, repeats included; a shorter text is one shingle."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[n - 1 :].tolist())), np.uint64, len(tokens) - n + 1)
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[n - 1 :].tolist())), np.uint64, len(tokens) - n + 1)
+
+
+def simhash(text: str, words: int) -> int:
+    """The signed 64-bit fingerprint of a text's ``words``-word shingles, repeats included."""
+    return _print_of(shingles(text, words))
+
+
+def _print_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
@@ -150,6 +160,20 @@ def _forest(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
 
 
+def _dealt(met: DataFrame, size: str, item: str, columns: list[str]) -> DataFrame:
+    """Deals groups (key) of ``size`` rows to tasks, those above GROUP as pairs of slices: (task, side,
+    columns). Side 0 is to be joined with itself, side 1 with side 2 of its task."""
+    met = met.withColumn("slices", F.ceil(F.col(size) / GROUP).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64(item), F.col("slices")).cast("int"))
+    # the pairs of slices that hold this one; in a pair of two, the lower slice is side 0
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("slices") - 1),
+        lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (k < F.col("own")).cast("int").alias("side")),
+    )
+    dealt = met.select("key", *columns, F.explode(pairs).alias("p"))
+    return dealt.select(F.xxhash64("key", "p.i", "p.j").alias("task"), F.when(F.col("p.i") == F.col("p.j"), 0).otherwise(F.col("p.side") + 1).alias("side"), *columns)
+
+
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """Distinct fingerprints (fp long) -> a spanning set (a, b) of the links between them."""
     count, m = prints.count(), 2
@@ -166,14 +190,7 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
         keys.append(key)
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(sizes, "key").withColumn("slices", F.ceil(F.col("n") / GROUP).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
-    # the pairs of slices that hold this one; in a pair of two, the lower slice is side 0
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("slices") - 1),
-        lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (k < F.col("own")).cast("int").alias("side")),
-    )
-    dealt = met.select("key", "fp", F.explode(pairs).alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("task"), F.when(F.col("p.i") == F.col("p.j"), 0).otherwise(F.col("p.side") + 1).alias("side"), "fp")
+    dealt = _dealt(rows.join(sizes, "key"), "n", "fp", ["fp"])
     unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))
     dealt = dealt.repartition("task").sortWithinPartitions("task", "side", unsigned)
     return dealt.mapInPandas(lambda frames: _join_tasks(frames, max_bits), "a long, b long").distinct()
@@ -195,10 +212,108 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, key: str =
     return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, words: int = 5, max_bits: int = 8, key: str = "doc_id") -> DataFrame:
-    """Near copies by five-word shingles and seven eighths of the fingerprint's bits: one row of each near-duplicate group, that with the least key; all columns. Rows with null keys
-    stay: they can't be told to be anybody's copy. Repeated rows of a key become one."""
-    joined = near_duplicates(df.where(F.col(key).isNotNull()), words, max_bits, key)
-    gone = joined.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    left = df.join(gone, df[key] == gone["_gone"], "left_anti")
-    return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+def _common(texts: DataFrame, words: int) -> np.ndarray:
+    """Common shingles by rising count in a sample of texts (digest, text). It only shapes the order in
+    which shingles are taken, and any one order finds all pairs; so SAMPLE and COMMON cut no result."""
+    sample = texts.where(F.pmod("digest", F.lit(SAMPLE)) == 0).dropDuplicates(["digest"]).select(F.explode(_set_of(F.col("text"), words)).alias("x"))
+    found = sample.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON)
+    return found.toPandas().x.to_numpy(np.int64)[::-1].copy()
+
+
+def _set_of(text: Column, words: int) -> Column:
+    """The set of a text's shingles."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, words)).view(np.int64) for t in texts])
+
+    return of(text)
+
+
+def _shingled(texts: DataFrame, words: int) -> Column:
+    """struct<fp, sig, n, first>: a text's fingerprint, a hash of its set of shingles, their number, and
+    the rarest of them in order. Two sets of a Jaccard of 4/5 share one of the first
+    n - ceil(4n / 5) + 1 in any order common to all."""
+    common = _common(texts, words)
+    order = np.argsort(common)
+    shared = texts.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def first(x: np.ndarray) -> np.ndarray:
+        keys, ranks = shared.value
+        rank = np.full(len(x), -1)
+        if len(keys) and len(x):
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            rank = np.where(keys[at] == x, ranks[at], -1)
+        return x[np.lexsort((x, rank))[: len(x) - (4 * len(x) + 4) // 5 + 1]]
+
+    @F.pandas_udf("fp long, sig long, n int, first array<long>")
+    def of(part: pd.Series) -> pd.DataFrame:
+        hashes = [shingles(t, words) for t in part]
+        sets = [np.unique(h) for h in hashes]
+        sig = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": np.array([_print_of(h) for h in hashes], np.int64), "sig": sig, "n": np.array([len(x) for x in sets], np.int32), "first": [first(x.view(np.int64)) for x in sets]})
+
+    return of(texts["text"])
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Rows (key, sig, n, pos, class) -> all pairs (a, b) of two classes that meet under a key and whose
+    sizes and places leave a Jaccard of 4/5 possible."""
+    group = Window.partitionBy("key")
+    met = rows.withColumns({"members": F.count(F.lit(1)).over(group), "low": F.min("class").over(group), "high": F.max("class").over(group)}).where("low <> high")
+    left = _dealt(met, "members", "sig", ["sig", "n", "pos", "class"])
+    right = left.withColumnsRenamed({c: f"{c}_" for c in left.columns if c != "task"})
+    both = left.join(right, "task").where("class <> class_ and (side = 0 and side_ = 0 and sig < sig_ or side = 1 and side_ = 2)")
+    both = both.where("5 * least(n, n_) >= 4 * greatest(n, n_) and 9 * least(n - pos, n_ - pos_) >= 4 * (n + n_)")
+    return both.select(F.least("sig", "sig_").alias("a"), F.greatest("sig", "sig_").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard is at least 4/5. Only texts of some pair are shipped, in
+    ``written`` tables, so that the join's small side is known and broadcast where it is small."""
+    pairs = written(pairs)
+    wanted = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(nodes, "sig").select("sig", "least.*"))
+    sets = written(texts.join(wanted, ["k", "digest"]).dropDuplicates(["sig"]).select("sig", _set_of(F.col("text"), words).alias("s")))
+    a, b = (sets.select(F.col("sig").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.join(a, "a").join(b, "b").where(5 * both >= 4 * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+
+def similar_sets(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """(node, component) over the links of Jaccard 4/5 between sets of shingles. rows: as ``_shingled``
+    tells; nodes: (sig, least), least being (k, digest) of one of ``texts``.
+
+    The trie join's forest of near fingerprints is checked first, and what holds is one class. Then
+    all pairs of two classes that share a shingle of their prefixes are checked, so that no link
+    is lost and none is by chance; ``max_bits`` only says how many pairs the first step spares.
+    """
+    prints = durable(rows.select("sig", "fp").distinct())
+    least = durable(prints.groupBy("fp").agg(F.min("sig").alias("least")))
+    near = links(least.select("fp"), max_bits).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = prints.join(least, "fp").select(F.col("sig").alias("x"), F.col("least").alias("y"))
+    tried = near.select("x", "y").union(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    edges = durable(_alike(tried, nodes, texts, words))
+    classes = components(edges).withColumnRenamed("node", "sig")
+    prefixes = rows.where("n > 0").select("sig", "n", "first").dropDuplicates(["sig"]).join(classes, "sig", "left")
+    prefixes = prefixes.select("sig", "n", F.coalesce("component", "sig").alias("class"), F.posexplode("first").alias("pos", "key"))
+    return components(edges.union(_alike(_pairs(prefixes), nodes, texts, words)))
+
+
+def keep_one(df: DataFrame, words: int = 5, max_bits: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies, that with the least key; all columns.
+
+    Two texts are linked if the Jaccard of their sets of ``words``-word shingles is at least 4/5, and
+    groups are what the links join. Rows with null keys stay: they can't be told to be anybody's copy.
+    Repeated rows of a key and text become one; a key's different texts are judged apart.
+    """
+    content, digest, own = F.coalesce(F.col(text), F.lit("")), fresh(df, "_digest"), F.struct("k", "digest")
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(content).alias("digest"), content.alias("text"))
+    rows = written(texts.select("k", "digest", _shingled(texts, words).alias("x")).select("k", "digest", "x.*"))
+    nodes = durable(rows.groupBy("sig").agg(F.min(own).alias("least")))
+    classes = similar_sets(rows, nodes, texts, words, max_bits)
+    named = nodes.join(classes, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
+    kept = named.join(named.groupBy("component").agg(F.min("least").alias("first")), "component").select("sig", "first")
+    gone = rows.select("k", "digest", "sig").join(kept, "sig").where(own != F.col("first")).select(F.col("k").alias("_k"), F.col("digest").alias("_d")).distinct()
+    df = df.withColumn(digest, F.xxhash64(content))
+    left = df.join(gone, (df[key] == gone["_k"]) & (df[digest] == gone["_d"]), "left_anti")
+    return left.where(F.col(key).isNotNull()).dropDuplicates([key, digest]).unionByName(left.where(F.col(key).isNull())).drop(digest)

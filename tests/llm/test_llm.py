@@ -304,6 +304,48 @@ def test_simhash(spark, rows):
     assert len([r for r in kept if r.doc_id is None]) == 1 and len({r.doc_id for r in kept}) == len(kept) < len(rows)
 
 
+def test_near_copies_at_the_threshold(spark, monkeypatch):
+    rng, rows = random.Random(6), []
+    word = lambda: f"w{rng.randrange(3000)}"
+    for i in range(60):
+        base = [word() for _ in range(150)]
+        rows.append((10 * i, " ".join(base), "s"))
+        for j in range(1, 4):
+            w = list(base)
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((10 * i + j, " ".join(w), "s"))
+    crowd = [word() for _ in range(60)]
+    rows += [(1000 + i, " ".join(crowd + [word() for _ in range(i % 40)]), "s") for i in range(200)]
+    loop = "one two three four five six seven " * 400  # outweighs the rest in a fingerprint
+    rows += [(2000 + i, loop + " ".join(word() for _ in range(80)), "s") for i in range(3)]
+    rows += [(3000, "a key of two", "s"), (3000, "A  KEY of two", "s"), (3000, "quite another text of it", "s"), (3001, "quite another text of it", "s"), (3002, "", "s"), (3003, None, "s")]
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[x : x + 5]) for x in range(max(len(w) - 4, min(len(w), 1)))})
+    label, far = list(range(len(rows))), 0
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(len(rows)):
+        before = list(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    prints = [plain_print(t, 5) for _, t, _ in rows]
+    far = sum((prints[a] ^ prints[b]).bit_count() > 8 for a, b in near)
+    assert far > 20 and all((prints[-8] ^ prints[x]).bit_count() <= 8 for x in (-7, -9))
+    want = {}
+    for (i, _, _), x in zip(rows, label):
+        want[x] = min(want.get(x, i), i)
+    df = docs(spark, rows)
+    assert Counter(r.doc_id for r in simhash.keep_one(df).collect()) == Counter(want.values())
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    got = simhash.keep_one(df)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(want.values()) and got.columns == df.columns
+
+
 def test_trie_links_are_complete(spark, monkeypatch):
     rng, vals = np.random.default_rng(0), []
     for b in rng.integers(0, 2**63, 8, dtype=np.uint64):
