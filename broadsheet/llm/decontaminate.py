@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ones are compared, zeros ignored. Each mask looks at six tokens.
-MASKS = ("1111011", "1110111", "11011011", "101110101")
+#: Ones are compared, zeros ignored. Each mask looks at six tokens. Every accepted pattern of changes in a
+#: window of 8 to 13 tokens leaves some mask a hit; a test enumerates them.
+MASKS = ("1111011", "1110111", "11011011", "101110101", "111000111", "111111", "1011111")
 #: An overlap is this many tokens, at least this share of them equal; items of fewer than LEAST
-#: tokens are too short to tell from ordinary prose and never match.
+#: tokens match as a whole and exactly, if the caller takes them.
 OVERLAP, SHARE, LEAST = 13, 0.8, 8
 #: Bytes of benchmark text in one broadcast index, and of document text scanned at once.
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
@@ -54,21 +55,22 @@ def _seeds(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
 class SeedIndex:
     """The spaced seeds of some benchmark items, and what verifies their hits."""
 
-    def __init__(self, item_ids: list[int], texts: list[str]):
-        lists = [(i, t) for i, t in ((i, tokens(t or "")) for i, t in zip(item_ids, texts)) if len(t) >= LEAST]
+    def __init__(self, item_ids: list[int], texts: list[str], least: int = LEAST):
+        lists = [(i, t) for i, t in ((i, tokens(t or "")) for i, t in zip(item_ids, texts)) if len(t) >= max(least, 1)]
         self.vocab: dict[bytes, int] = {}
         ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in t], np.int32) for _, t in lists]
         self.items = np.array([i for i, _ in lists], np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
         self.ids = np.concatenate([np.empty(0, np.int32), *ids])
         self.tables = []
-        for mask in MASKS:
-            parts = [(_seeds(x, mask), n) for n, x in enumerate(ids)]
+        short = sorted({len(x) for x in ids if len(x) < LEAST})
+        for mask, whole in (*((m, False) for m in MASKS), *(("1" * n, True) for n in short)):  # a short item's seed is all of it
+            parts = [(_seeds(x, mask), n) for n, x in enumerate(ids) if (len(x) == len(mask) if whole else len(x) >= LEAST)]
             h = np.concatenate([np.empty(0, np.uint64), *(p[1] for p, _ in parts)])
             at = np.concatenate([np.empty(0, np.int64), *(p[0] for p, _ in parts)])
             item = np.concatenate([np.empty(0, np.int64), *(np.full(len(p[0]), n) for p, n in parts)])
             order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], at[order], item[order]))
+            self.tables.append((mask, h[order], at[order], item[order]))
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text the items that overlap it: (item_id, tokens in the overlap, equal ones)."""
@@ -76,7 +78,7 @@ class SeedIndex:
         starts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         ids = np.fromiter((get(w, 0) for p in parts for w in p), np.int32, starts[-1])
         docs, diagonals, items = [], [], []
-        for mask, (h, at, item) in zip(MASKS, self.tables):
+        for mask, h, at, item in self.tables:
             pos, seed = _seeds(ids, mask)
             lo, hi = np.searchsorted(h, seed), np.searchsorted(h, seed, "right")
             n = hi - lo
@@ -104,11 +106,12 @@ class SeedIndex:
         own = self.ids[self.first[item] : self.first[item + 1]]
         lo, hi = max(start, shift), min(end, shift + len(own))
         window = min(OVERLAP, len(own))
+        share = SHARE if len(own) >= LEAST else 1
         if hi - lo < window:
             return None
         same = ids[lo:hi] == own[lo - shift : hi - shift]
         total = np.concatenate(([0], np.cumsum(same)))
-        good = np.flatnonzero(total[window:] - total[:-window] >= SHARE * window)
+        good = np.flatnonzero(total[window:] - total[:-window] >= share * window)
         if not len(good):
             return None
         inside = np.zeros(hi - lo + 1, np.int64)
@@ -118,7 +121,7 @@ class SeedIndex:
         return int(inside.sum()), int((inside & same).sum())
 
 
-def seed_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list[SeedIndex]:
+def seed_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", least: int = LEAST) -> list[SeedIndex]:
     """The benchmark's indexes, each over about BLOCK_BYTES of text, whatever the benchmark's size.
     Null texts and ids match nothing; repeated rows count once."""
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
@@ -127,14 +130,15 @@ def seed_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     out = []
     for n in range(blocks):  # one bounded block at a time
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).orderBy("i", "t").toPandas()
-        out.append(SeedIndex(part.i.tolist(), part.t.tolist()))
+        out.append(SeedIndex(part.i.tolist(), part.t.tolist(), least))
     return out
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
+def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST) -> Column:
     """array<struct<item_id, overlap, equal>>: the benchmark items of which a row's text holds an
     overlap, by item. All of the text is scanned against all items; the join needs no shuffle, as each
-    block of the benchmark is broadcast. A null or empty text, or an empty benchmark, gives none."""
+    block of the benchmark is broadcast. Items of fewer than ``least`` tokens
+    are left out. A null or empty text, or an empty benchmark, gives none."""
     kind = "array<struct<item_id: long, overlap: int, equal: int>>"
     spark = df.sparkSession
 
@@ -156,10 +160,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
 
         return scan(F.coalesce(df[text], F.lit("")))
 
-    found = [scanner(x) for x in seed_indexes(benchmark)]
+    found = [scanner(x) for x in seed_indexes(benchmark, least=least)]
     return F.array_sort(F.concat(*found)) if found else F.array().cast(kind)
 
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``df`` without an overlap with the benchmark, all columns as they are."""
-    return df.where(F.size(leaks(df, benchmark, text)) == 0)
+    return df.where(F.size(leaks(df, benchmark, text, least)) == 0)

@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), least=1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -152,6 +153,23 @@ def test_decontamination(spark):
     assert decontaminate.decontaminated(df, bench.limit(0)).count() == df.count() and decontaminate.decontaminated(df.limit(0), bench).count() == 0
 
 
+def test_seeds_hit_every_accepted_overlap():
+    words = [f"w{i}" for i in range(13)]
+    for n in range(8, 14):
+        index = decontaminate.SeedIndex([7], [" ".join(words[:n])])
+        changes = list(combinations(range(n), n - -(-4 * n // 5)))
+        texts = [" ".join("no" if i in c else w for i, w in enumerate(words[:n])) for c in changes]
+        assert all(index.scan(texts)), n
+
+
+def test_short_items_match_whole_and_exactly():
+    index = decontaminate.SeedIndex([1, 2, 3, 4, 5], ["What is two plus two?", "name it", "", "Yes.", " ".join("abcdefg")], least=1)
+    texts = ["so, what is TWO plus two", "what is two plus", "what is one plus two", "name  it; yes", "it name", "", "a b c x e f g", "z a b c d e f g", "a b", "c d e f g"]
+    got = [[i for i, _, _ in x] for x in index.scan(texts)]
+    assert got == [[1], [], [], [2, 4], [], [], [], [5], [], []]
+    assert index.scan(texts[:1]) == [[(1, 5, 5)]]
+
+
 def brute_dedup(rows, span=50):
     first, out = {}, []
     order = [(float("inf") if i is None else i, (t or "").encode()) for i, t, _ in rows]
