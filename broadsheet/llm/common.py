@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,26 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names that folder; one of our own is made only where
-    the setting is absent, which is the case in local tests.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-"))
+    Only a local master may do without: it gets a folder of its own. On a cluster that folder would be
+    on the driver's disk, so there a missing setting is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="broadsheet-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder."""
+    folder = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -69,8 +82,21 @@ def split_rank(df: DataFrame, keys: list[str], by: Column, ties: list[str], name
 
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder; compressed, so for large tables."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="broadsheet-")
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(raw: Column) -> Column:
+    """Binary values, compressed for the way through a shuffle."""
+
+    @F.pandas_udf("binary")
+    def pack(bodies: pd.Series) -> pd.Series:
+        return bodies.map(zstandard.ZstdCompressor(3).compress)
+
+    return pack(raw)
+
+
+def unpacked(bodies: pd.Series) -> list[bytes]:
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(b) for b in bodies]

@@ -11,14 +11,15 @@ common prefixes of at least ``SPAN`` bytes show the equal strings.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 SPAN, GRAM = 50, 20
 #: Bytes of text that are hashed, and of stretches that are sorted, at once.
 CHUNK, BATCH = 1 << 20, 4 << 20
@@ -30,6 +31,7 @@ CROWDED = 20_000
 SHIPPED_BITS = 48
 #: Texts whose grams are looked up together.
 TEXTS = 8192
+_NONE = np.empty(0, np.int64)
 _PAD = b"\0" * 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -152,25 +154,24 @@ def adjacent_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     return shared
 
 
-def removed_starts(parts: list[bytes], strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-    """parts: stretches of ``strings`` starts each, of documents ``docs``. -> (part, start in it) of each
-    string that also stands in a smaller document, and the strings' first documents (doc, string)."""
+def least_docs(parts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[], list[tuple[int, bytes]]]]:
+    """parts: distinct stretches, of documents ``docs`` at least. -> where the strings of each part begin in
+    a list of all, the least document of each of these strings, and what tells (document, string) once each."""
+    strings = np.array([len(p) - SPAN + 1 for p in parts], np.int64)
     t = np.frombuffer(b"\xff".join(parts) + _PAD, np.uint8)
     first = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    begin = np.cumsum(strings) - strings
     part = np.repeat(np.arange(len(parts)), strings)
-    offset = np.arange(len(part)) - np.repeat(np.cumsum(strings) - strings, strings)
-    wanted = first[part] + offset
+    wanted = first[part] + np.arange(len(part)) - begin[part]
     of = np.zeros(len(t), np.int64)
     of[wanted] = np.arange(len(wanted))
     order = two_stage_order(t, wanted)
     cut = np.flatnonzero(adjacent_prefixes(t, order) < SPAN)
     string = of[order]
     least = np.minimum.reduceat(docs[part[string]], cut)
-    sizes = np.diff(np.concatenate((cut, [len(order)])))
-    gone = string[docs[part[string]] > np.repeat(least, sizes)]
-    gone.sort()
-    firsts = [(int(d), t[p : p + SPAN].tobytes()) for d, p in zip(least, order[cut])]
-    return part[gone], offset[gone], firsts
+    out = np.empty(len(wanted), np.int64)
+    out[string] = np.repeat(least, np.diff(np.concatenate((cut, [len(order)]))))
+    return begin, out, lambda: [(int(d), t[p : p + SPAN].tobytes()) for d, p in zip(least, order[cut])]
 
 
 #: What stretches meet by: their gram, or, for a crowded gram (place -1), the one string itself.
@@ -178,26 +179,36 @@ _MEET = f"case when place < 0 then part else substring(part, place + 1, {GRAM})
 
 
 def _sort_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc, row, start, strings, place, part) come sorted by what they meet by and doc; whole runs are
-    sorted together. A run that doesn't fit is taken in pieces, each with the strings of those before it."""
+    """Rows (doc, row, start, more, place, part) come sorted by what they meet by and doc; whole runs are
+    sorted together, equal stretches as one. A run that doesn't fit is taken in pieces, each with the
+    strings of those before it."""
     held: list[pd.DataFrame] = []
     size, carry_key, carry = 0, None, []
 
     def sort(pdf: pd.DataFrame, whole: bool) -> pd.DataFrame:
         nonlocal carry_key, carry
         early = carry if carry_key is not None and pdf.key.iloc[0] == carry_key else []
-        parts = [s for _, s in early] + pdf.part.tolist()
+        codes, parts = pd.factorize(np.array([s for _, s in early] + pdf.part.tolist(), object))
         docs = np.concatenate((np.array([d for d, _ in early], np.int64), pdf.doc.to_numpy(np.int64)))
-        strings = np.concatenate((np.ones(len(early), np.int64), pdf.strings.to_numpy(np.int64)))
-        part, offset, firsts = removed_starts(parts, strings, docs)
-        carry_key, carry = (None, []) if whole else (pdf.key.iloc[-1], firsts)
-        mine = part >= len(early)
-        part, at = part[mine] - len(early), offset[mine]
-        at = at + pdf.start.to_numpy(np.int64)[part]
-        row = pdf.row.to_numpy()[part]
-        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.empty(0, np.int64)
+        first_doc = np.full(len(parts), np.iinfo(np.int64).max)
+        np.minimum.at(first_doc, codes, docs)
+        begin, least, firsts = least_docs(parts.tolist(), first_doc)
+        carry_key, carry = (None, []) if whole else (pdf.key.iloc[-1], firsts())
+        codes, docs, start = codes[len(early) :], docs[len(early) :], pdf.start.to_numpy(np.int64)
+        # A stretch stands at each of its places in the text.
+        again = [np.frombuffer(m, np.int64) if m else _NONE for m in pdf.more]
+        places = np.array([len(m) for m in again]) + 1
+        at = np.repeat(start, places)
+        at[np.arange(len(at)) != np.repeat(np.cumsum(places) - places, places)] = np.concatenate([_NONE, *(m for m in again if len(m))])
+        each = np.repeat(np.arange(len(pdf)), places)
+        n = np.diff(np.concatenate((begin, [len(least)])))[codes[each]]
+        which = np.repeat(np.arange(len(each)), n)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        gone = least[begin[codes[each[which]]] + offset] < docs[each[which]]
+        which, at = which[gone], at[which[gone]] + offset[gone]
+        new = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else _NONE
         end = np.concatenate((new[1:], [len(at)]))[: len(new)] - 1
-        return pd.DataFrame({"row": row[new], "lo": at[new], "hi": at[end] + SPAN})
+        return pd.DataFrame({"row": pdf.row.to_numpy()[each[which[new]]], "lo": at[new], "hi": at[end] + SPAN})
 
     for pdf in frames:
         held.append(pdf.assign(key=[p if o < 0 else p[o : o + GRAM] for p, o in zip(pdf.part, pdf.place)]))
@@ -234,13 +245,13 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     groups = slim.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
     copies = slim.join(groups, "digest").where("doc > least").select("row").distinct()
     # The texts are shuffled once, packed: all three steps that read them ask for these very columns.
-    body = rows.select("key", "row", "doc", _packed("raw").alias("body"))
+    body = rows.select("key", "row", "doc", packed(F.col("raw")).alias("body"))
     own = body.join(copies, "row", "left_anti").select(*body.columns)
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             row = pdf.row.to_numpy()
-            for i, _, _, _, h in stretches(_unpacked(pdf.body)):
+            for i, _, _, _, h in stretches(unpacked(pdf.body)):
                 by = np.lexsort((h, i))  # a text that repeats itself names each gram once in a while
                 i, h = i[by], h[by]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]))) if len(i) else np.empty(0, bool)
@@ -253,7 +264,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (part for whole in frames for _, part in whole.groupby(np.arange(len(whole)) // TEXTS)):
-            bodies, row, doc = _unpacked(pdf.body), pdf.row.to_numpy(), pdf.doc.to_numpy()
+            bodies, row, doc = unpacked(pdf.body), pdf.row.to_numpy(), pdf.doc.to_numpy()
             # A text's place in the batch, a gram's hash and whether it is crowded, in one number each.
             marked = np.unique(np.concatenate([np.empty(0, np.int64), *(np.asarray(g, np.int64) + (k << SHIPPED_BITS + 1) for k, g in enumerate(pdf.grams))]))
             marked, hot = marked >> 1, marked & 1 == 1
@@ -261,46 +272,35 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 mine = (i << SHIPPED_BITS) + h
                 at = np.minimum(np.searchsorted(marked, mine), len(marked) - 1)
                 met = np.flatnonzero(marked[at] == mine) if len(marked) else []
-                out = []
+                out: dict[tuple[int, bytes], list[int]] = {}  # a text that repeats itself tells a stretch once
                 for k, crowded in zip(met, hot[at[met]] if len(marked) else []):
                     a, b, body = int(lo[k]), int(hi[k]), bodies[i[k]]
-                    if crowded:
-                        out += [(i[k], q, 1, -1, body[q : q + SPAN]) for q in range(a, b + 1)]
-                    else:
-                        out.append((i[k], a, b - a + 1, int(place[k]) - a, body[a : b + SPAN]))
+                    for a, b in ((q, q) for q in range(a, b + 1)) if crowded else ((a, b),):
+                        part = body[a : b + SPAN]
+                        told = out.get((i[k], part))
+                        if told:
+                            told.append(a)
+                        else:
+                            out[i[k], part] = [-1 if crowded else int(place[k]) - a, a]
                 if out:
-                    which, starts, n, at_gram, parts = zip(*out)
-                    which = np.array(which)
-                    yield pd.DataFrame({"doc": doc[which], "row": row[which], "start": np.array(starts, np.int64), "strings": np.array(n, np.int32), "place": np.array(at_gram, np.int32), "part": list(parts)})
+                    which = np.array([i for i, _ in out])
+                    at_gram, starts, more = zip(*((x[0], x[1], np.array(x[2:], np.int64).tobytes() if len(x) > 2 else None) for x in out.values()))
+                    yield pd.DataFrame({"doc": doc[which], "row": row[which], "start": np.array(starts, np.int64), "more": pd.Series(more, dtype=object), "place": np.array(at_gram, np.int32), "part": [p for _, p in out]})
 
-    parts = own.join(shared, "row").mapInPandas(cut, "doc long, row long, start long, strings int, place int, part binary")
+    parts = own.join(shared, "row").mapInPandas(cut, "doc long, row long, start long, more binary, place int, part binary")
     gone = parts.repartition(F.expr(_MEET)).sortWithinPartitions(F.expr(_MEET), "doc").mapInPandas(_sort_batches, "row long, lo long, hi long")
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select("row", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast("array<bigint>").alias("lo"), F.lit(None).cast("array<bigint>").alias("hi"), F.lit(True).alias("copy")))
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = [_kept(*x) for x in zip(_unpacked(pdf.body), pdf.lo, pdf.hi, pdf["copy"])]
+            out = [_kept(*x) for x in zip(unpacked(pdf.body), pdf.lo, pdf.hi, pdf["copy"])]
             yield pd.concat([pdf[["key"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
 
     kept = body.join(marks, "row", "left").mapInPandas(keep, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
     return kept.select(F.col("key").cast(df.schema[key].dataType).alias(key), "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def _packed(raw: str) -> Column:
-    @F.pandas_udf("binary")
-    def pack(bodies: pd.Series) -> pd.Series:
-        z = zstandard.ZstdCompressor(3)
-        return bodies.map(z.compress)
-
-    return pack(raw)
-
-
-def _unpacked(bodies: pd.Series) -> list[bytes]:
-    z = zstandard.ZstdDecompressor()
-    return [z.decompress(b) for b in bodies]
-
-
 def _kept(body: bytes, lo, hi, copy) -> tuple[int, int, int, bytes]:
     n = len(body)
     if copy is True and n >= SPAN:
