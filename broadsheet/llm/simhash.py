@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, written
+from .common import durable, fresh, packed, unpacked, written
 from .graph import components
 
 #: Fingerprints that one trie holds at most, node pairs that are expanded at once, and pairs of
@@ -28,8 +28,13 @@ from .graph import components
 GROUP, PAIRS, LEAVES = 4096, 1 << 18, 16
 #: Mean fingerprints under one choice of blocks up to which m stays as it is.
 CROWDED = 64
-#: One of how many sets is looked at for common shingles, and how many of these are told to all tasks.
-SAMPLE, COMMON = 16, 1 << 18
+#: One of how many sets is looked at for common shingles, how many of these are told to all tasks, and
+#: the expected sets from which on a shingle isn't gathered in one window.
+SAMPLE, COMMON, HOT = 16, 1 << 18, 20_000
+#: Shingles of the sets that a task remembers while it compares.
+HELD = 1 << 22
+#: Rows of two numbers up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST = 1 << 20
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -181,14 +186,14 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
         m += 1
     blocks = max_bits + m
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), m)):
-        key = F.lit(n).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, cuts[i + 1] - cuts[i]).bitwiseOR(part[i])
-        keys.append(key)
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    choices = list(combinations(range(blocks), m))
+    # One expression for every choice: the places of its blocks are looked up in two short lists.
+    low, wide = (F.lit([f(i) for chosen in choices for i in chosen]) for f in (lambda i: cuts[i], lambda i: cuts[i + 1] - cuts[i]))
+    rows = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))).alias("n"))
+    rows = rows.select("fp", F.col("n").cast("long").alias("key"), *(f(F.col("n") * m + k + 1).alias(f"{name}{k}") for k in range(m) for name, f in (("low", lambda i: F.element_at(low, i)), ("wide", lambda i: F.element_at(wide, i)))))
+    for k in range(m):
+        rows = rows.withColumn("key", F.expr(f"shiftleft(key, wide{k}) | (shiftrightunsigned(fp, low{k}) & (shiftleft(1L, wide{k}) - 1))"))
+    rows = rows.select("fp", "key")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = _dealt(rows.join(sizes, "key"), "n", "fp", ["fp"])
     unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))
@@ -205,115 +210,222 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, key: str =
     repeated rows each return; an empty table gives none; other columns are ignored.
     """
     rows = durable(df.select(F.col(key), fingerprint(F.col(text), words).alias("fp")))
-    prints = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    classes = components(links(prints.select("fp"), max_bits))
-    named = prints.join(classes, prints["fp"] == classes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    node = F.struct(F.min(key).isNull().alias("none"), F.min(key).alias("least"), F.col("fp"))
+    prints = durable(rows.groupBy("fp").agg(node.alias("node")))
+    ends = links(prints.select("fp"), max_bits)
+    for end in "ab":  # a node is named by its least key first, so a component's least node bears its id
+        named = prints.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}"))
+        ends = ends.join(named, end)
+    classes = components(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).select("node.fp", F.col("component.least").alias("component_id"))
+    named = prints.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "node.least").alias("component_id"))
+    return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
-def _common(texts: DataFrame, words: int) -> np.ndarray:
-    """Common shingles by rising count in a sample of texts (digest, text). It only shapes the order in
-    which shingles are taken, and any one order finds all pairs; so SAMPLE and COMMON cut no result."""
-    sample = texts.where(F.pmod("digest", F.lit(SAMPLE)) == 0).dropDuplicates(["digest"]).select(F.explode(_set_of(F.col("text"), words)).alias("x"))
-    found = sample.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON)
-    return found.toPandas().x.to_numpy(np.int64)[::-1].copy()
+def _set_of(text: str, words: int) -> np.ndarray:
+    """The set of a text's shingles, in order of their hashes."""
+    return np.unique(shingles(text, words)).view(np.int64)
 
 
-def _set_of(text: Column, words: int) -> Column:
-    """The set of a text's shingles."""
+def _parity(s: np.ndarray) -> bytes:
+    """A set's parity bits, between two and four for each element: as many bits of two sets differ as
+    their difference has elements, or fewer. Halves laid over each other give the bits of half the size."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount(s & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def _may_be_alike(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """Whether parity bits leave a Jaccard of 4/5 possible: a difference of a ninth of both sizes."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(k, digest, text) -> (k, digest, fp, sig, n, bits, z): the fingerprint, a hash of the set of shingles
+    (null if there are none), their number, the set's parity bits and the packed text."""
+
+    @F.pandas_udf("fp long, sig long, n int, bits binary")
+    def of(part: pd.Series) -> pd.DataFrame:
+        hashes = [shingles(t, words) for t in part]
+        sets = [np.unique(h).view(np.int64) for h in hashes]
+        sig = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+        return pd.DataFrame({"fp": np.array([_print_of(h) for h in hashes], np.int64), "sig": pd.Series(sig, dtype="Int64"), "n": np.array([len(s) for s in sets], np.int32), "bits": [_parity(s) for s in sets]})
+
+    return texts.select("k", "digest", of(F.col("text")).alias("x"), packed(F.encode("text", "UTF-8")).alias("z")).select("k", "digest", "x.*", "z")
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t, words)).view(np.int64) for t in texts])
 
-    return of(text)
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, by rising count in a sample of the sets, and how many sets hold them presumably. This
+    only shapes the order in which shingles are taken, and any one order finds all pairs."""
 
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for z in pdf.z:
+                yield pd.DataFrame({"x": _set_of(unpacked([z])[0].decode(), words)})
 
-def _shingled(texts: DataFrame, words: int) -> Column:
-    """struct<fp, sig, n, first>: a text's fingerprint, a hash of its set of shingles, their number, and
-    the rarest of them in order. Two sets of a Jaccard of 4/5 share one of the first
-    n - ceil(4n / 5) + 1 in any order common to all."""
-    common = _common(texts, words)
+    sample = rows.where(F.pmod("sig", F.lit(SAMPLE)) == 0).dropDuplicates(["sig"]).select("z").mapInPandas(sets, "x long")
+    found = sample.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).toPandas()[::-1]
+    return found.x.to_numpy(np.int64), found.n.to_numpy(np.int64) * SAMPLE
+
+
+def _postings(rows: DataFrame, words: int) -> DataFrame:
+    """(key, sig, at, hot): the rarest shingles of each set. Two sets of a Jaccard of 4/5 share one of the
+    first n - ceil(4n / 5) + 1 of either in any order common to all. ``at`` holds the set's size and the
+    shingle's place; hot: too common to be gathered by one window. A task names a set once."""
+    common, counts = _common(rows, words)
     order = np.argsort(common)
-    shared = texts.sparkSession.sparkContext.broadcast((common[order], order))
+    shared = rows.sparkSession.sparkContext.broadcast((common[order], order, counts))
 
-    def first(x: np.ndarray) -> np.ndarray:
-        keys, ranks = shared.value
+    def first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, ranks, times = shared.value
         rank = np.full(len(x), -1)
-        if len(keys) and len(x):
+        if len(keys):
             at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
             rank = np.where(keys[at] == x, ranks[at], -1)
-        return x[np.lexsort((x, rank))[: len(x) - (4 * len(x) + 4) // 5 + 1]]
+        by = np.lexsort((x, rank))[: len(x) - (4 * len(x) + 4) // 5 + 1]
+        return x[by], np.where(rank[by] < 0, False, times[rank[by]] > HOT) if len(keys) else np.zeros(len(by), bool)
+
+    def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named: set[int] = set()
+        for pdf in frames:
+            out, size = [], 0
+            for sig, z in zip(pdf.sig.tolist(), pdf.z):
+                if sig in named:
+                    continue
+                named.add(sig)
+                x = _set_of(unpacked([z])[0].decode(), words)
+                key, hot = first(x)
+                out.append(pd.DataFrame({"key": key, "sig": sig, "at": (len(x) << 32) + np.arange(len(key)), "hot": hot}))
+                size += len(key)
+                if size > PAIRS:
+                    yield pd.concat(out)
+                    out, size = [], 0
+            if out:
+                yield pd.concat(out)
+
+    return rows.where("sig is not null").select("sig", "z").mapInPandas(post, "key long, sig long, at long, hot boolean")
+
+
+def _contested(postings: DataFrame) -> DataFrame:
+    """(key, sig, at) of the shingles that two sets hold at least, each once."""
+    group = Window.partitionBy("key")
+    cold = postings.where("not hot").select("key", "sig", "at", F.min("sig").over(group).alias("low"), F.max("sig").over(group).alias("high")).where("low < high")
+    return cold.select("key", "sig", "at").union(postings.where("hot").select("key", "sig", "at")).distinct()
 
-    @F.pandas_udf("fp long, sig long, n int, first array<long>")
-    def of(part: pd.Series) -> pd.DataFrame:
-        hashes = [shingles(t, words) for t in part]
-        sets = [np.unique(h) for h in hashes]
-        sig = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": np.array([_print_of(h) for h in hashes], np.int64), "sig": sig, "n": np.array([len(x) for x in sets], np.int32), "first": [first(x.view(np.int64)) for x in sets]})
 
-    return of(texts["text"])
+def _stars(members: DataFrame, pick=F.min) -> DataFrame:
+    """(key, sig, at, class) -> pairs (a, b): under each key, one set with those of other classes and a like size."""
+    n = F.shiftright("at", 32)
+    firsts = members.groupBy("key").agg(pick(F.struct("sig", n.alias("n"), "class")).alias("head"))
+    met = members.join(firsts, "key").where((F.col("class") != F.col("head.class")) & (5 * F.least(n, "head.n") >= 4 * F.greatest(n, "head.n")))
+    return met.select(F.least("sig", "head.sig").alias("a"), F.greatest("sig", "head.sig").alias("b")).distinct()
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Rows (key, sig, n, pos, class) -> all pairs (a, b) of two classes that meet under a key and whose
-    sizes and places leave a Jaccard of 4/5 possible."""
-    group = Window.partitionBy("key")
-    met = rows.withColumns({"members": F.count(F.lit(1)).over(group), "low": F.min("class").over(group), "high": F.max("class").over(group)}).where("low <> high")
-    left = _dealt(met, "members", "sig", ["sig", "n", "pos", "class"])
+def _pairs(members: DataFrame) -> DataFrame:
+    """(key, sig, at, class) -> all pairs (a, b) of two classes that meet under a key and whose sizes and
+    places leave a Jaccard of 4/5 possible."""
+    open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "members")
+    slim = members.select("key", "sig", "class", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    left = _dealt(slim.join(open_keys, "key"), "members", "sig", ["sig", "n", "pos", "class"])
     right = left.withColumnsRenamed({c: f"{c}_" for c in left.columns if c != "task"})
     both = left.join(right, "task").where("class <> class_ and (side = 0 and side_ = 0 and sig < sig_ or side = 1 and side_ = 2)")
     both = both.where("5 * least(n, n_) >= 4 * greatest(n, n_) and 9 * least(n - pos, n_ - pos_) >= 4 * (n + n_)")
     return both.select(F.least("sig", "sig_").alias("a"), F.greatest("sig", "sig_").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard is at least 4/5. Only texts of some pair are shipped, in
-    ``written`` tables, so that the join's small side is known and broadcast where it is small."""
-    pairs = written(pairs)
-    wanted = written(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(nodes, "sig").select("sig", "least.*"))
-    sets = written(texts.join(wanted, ["k", "digest"]).dropDuplicates(["sig"]).select("sig", _set_of(F.col("text"), words).alias("s")))
-    a, b = (sets.select(F.col("sig").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(a, "a").join(b, "b").where(5 * both >= 4 * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
-
-
-def similar_sets(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, max_bits: int) -> DataFrame:
-    """(node, component) over the links of Jaccard 4/5 between sets of shingles. rows: as ``_shingled``
-    tells; nodes: (sig, least), least being (k, digest) of one of ``texts``.
-
-    The trie join's forest of near fingerprints is checked first, and what holds is one class. Then
-    all pairs of two classes that share a shingle of their prefixes are checked, so that no link
-    is lost and none is by chance; ``max_bits`` only says how many pairs the first step spares.
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard is at least 4/5, as a written table. Parity bits rule most of
+    the others out; of what they leave, the packed texts meet."""
+
+    def may(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.loc[[_may_be_alike(*x) for x in zip(pdf.bits_a, pdf.bits_b, pdf.n_a, pdf.n_b)], ["a", "b"]]
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def of(sig: int, z: bytes) -> np.ndarray:
+            nonlocal size
+            if sig not in held:
+                if size > HELD:
+                    held.clear()
+                    size = 0
+                held[sig] = _set_of(unpacked([z])[0].decode(), words)
+                size += len(held[sig])
+            return held[sig]
+
+        for pdf in frames:
+            near = []
+            for a, b, za, zb in zip(pdf.a.tolist(), pdf.b.tolist(), pdf.za, pdf.zb):
+                x, y = of(a, za), of(b, zb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(5 * both >= 4 * (len(x) + len(y) - both))
+            yield pdf.loc[near, ["a", "b"]]
+
+    met = pairs
+    for x in "ab":
+        met = met.join(nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    left = written(met.mapInPandas(may, "a long, b long"))
+    ends = _few(left.select(F.col("a").alias("sig")).union(left.select("b")).distinct().join(nodes, "sig").select("sig", "least.*"))
+    bodies = written(rows.join(ends, ["sig", "k", "digest"]).select("sig", "z").dropDuplicates(["sig"]))
+    a, b = (bodies.select(F.col("sig").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
+    return written(left.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInPandas(check, "a long, b long"))
+
+
+def similar_sets(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """(node, component) over the links of Jaccard 4/5 between sets of shingles; rows: as ``_sketches`` tells.
+
+    The trie join's links come first, and with them, under each of the sets' rarest shingles, the first
+    set with the others; then the last set with those of other classes. What holds is one class. At
+    last all pairs of two classes that share one of their rarest shingles are checked, so no link is
+    lost and none is by chance: ``max_bits`` and the stars only say how many pairs that step is spared.
     """
-    prints = durable(rows.select("sig", "fp").distinct())
-    least = durable(prints.groupBy("fp").agg(F.min("sig").alias("least")))
-    near = links(least.select("fp"), max_bits).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
-    same = prints.join(least, "fp").select(F.col("sig").alias("x"), F.col("least").alias("y"))
-    tried = near.select("x", "y").union(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    edges = durable(_alike(tried, nodes, texts, words))
-    classes = components(edges).withColumnRenamed("node", "sig")
-    prefixes = rows.where("n > 0").select("sig", "n", "first").dropDuplicates(["sig"]).join(classes, "sig", "left")
-    prefixes = prefixes.select("sig", "n", F.coalesce("component", "sig").alias("class"), F.posexplode("first").alias("pos", "key"))
-    return components(edges.union(_alike(_pairs(prefixes), nodes, texts, words)))
-
-
-def keep_one(df: DataFrame, words: int = 5, max_bits: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    nodes = rows.where("sig is not null").groupBy("sig").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("k", "digest")).alias("least"))
+    nodes = written(nodes)
+    contested = written(_contested(_postings(rows, words)))
+    prints = nodes.select("sig", "fp")
+    least = prints.groupBy("fp").agg(F.min("sig").alias("least_sig"))
+    near = links(least.select("fp"), max_bits)
+    for fp, sig in (("a", "x"), ("b", "y")):
+        near = near.join(least.select(F.col("fp").alias(fp), F.col("least_sig").alias(sig)), fp)
+    same = prints.join(least, "fp").select(F.col("sig").alias("x"), F.col("least_sig").alias("y"))
+    near = near.select("x", "y").union(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    tried = written(near.union(_stars(contested.withColumn("class", F.col("sig")))).distinct())
+    edges = _alike(tried, nodes, rows, words)
+    for next_pairs in (lambda m: _stars(m, F.max), _pairs):
+        classes = components(edges)
+        members = contested.join(classes, F.col("sig") == F.col("node"), "left").select("key", "sig", "at", F.coalesce("component", "sig").alias("class"))
+        rest = written(next_pairs(members).join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.union(_alike(rest, nodes, rows, words)), tried.union(rest)
+    return components(edges)
+
+
+def keep_one(df: DataFrame, words: int = 5, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies, that with the least key; all columns.
 
-    Two texts are linked if the Jaccard of their sets of ``words``-word shingles is at least 4/5, and
-    groups are what the links join. Rows with null keys stay: they can't be told to be anybody's copy.
-    Repeated rows of a key and text become one; a key's different texts are judged apart.
+    Two texts are linked if the Jaccard of their sets of ``words``-word shingles is at least 4/5, or if
+    neither has a word; groups are what the links join. Rows with null keys stay: they can't be told to
+    be anybody's copy. Repeated rows of a key and text become one; a key's different texts are judged apart.
     """
-    content, digest, own = F.coalesce(F.col(text), F.lit("")), fresh(df, "_digest"), F.struct("k", "digest")
+    content, own = F.coalesce(F.col(text), F.lit("")), F.struct("k", "digest")
+    digest, k, d, goes = (fresh(df, x) for x in ("_digest", "_k", "_d", "_goes"))
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(content).alias("digest"), content.alias("text"))
-    rows = written(texts.select("k", "digest", _shingled(texts, words).alias("x")).select("k", "digest", "x.*"))
-    nodes = durable(rows.groupBy("sig").agg(F.min(own).alias("least")))
-    classes = similar_sets(rows, nodes, texts, words, max_bits)
-    named = nodes.join(classes, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("component", "sig").alias("component"))
-    kept = named.join(named.groupBy("component").agg(F.min("least").alias("first")), "component").select("sig", "first")
-    gone = rows.select("k", "digest", "sig").join(kept, "sig").where(own != F.col("first")).select(F.col("k").alias("_k"), F.col("digest").alias("_d")).distinct()
+    rows = written(_sketches(texts, words))
+    slim = rows.groupBy("k", "digest").agg(F.min(F.coalesce("sig", F.lit(0))).alias("sig"), F.count(F.lit(1)).alias("times"))
+    classes = durable(similar_sets(rows, words, max_bits))
+    named = slim.join(classes, F.col("sig") == F.col("node"), "left").select("k", "digest", "times", F.coalesce("component", "sig").alias("component"))
+    firsts = named.groupBy("component").agg(F.min(own).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    marks = named.join(firsts, ["k", "digest"], "left").where("stays is null or times > 1").select(F.col("k").alias(k), F.col("digest").alias(d), F.col("stays").isNull().alias(goes))
     df = df.withColumn(digest, F.xxhash64(content))
-    left = df.join(gone, (df[key] == gone["_k"]) & (df[digest] == gone["_d"]), "left_anti")
-    return left.where(F.col(key).isNotNull()).dropDuplicates([key, digest]).unionByName(left.where(F.col(key).isNull())).drop(digest)
+    met = df.join(_few(marks), (df[key] == F.col(k)) & (df[digest] == F.col(d)), "left")
+    once = met.where(F.col(goes).isNull())
+    return once.unionByName(met.where(~F.col(goes)).dropDuplicates([key, digest])).drop(digest, k, d, goes)
