@@ -7,19 +7,24 @@ documents; around each hit the two texts are laid side by side and the overlap i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
 #: Ones are compared, zeros ignored. Each mask looks at six tokens. Every accepted pattern of changes in a
 #: window of 8 to 13 tokens leaves some mask a hit; a test enumerates them.
 MASKS = ("1111011", "1110111", "11011011", "101110101", "111000111", "111111", "1011111")
 #: An overlap is this many tokens, at least this share of them equal; items of fewer than LEAST
 #: tokens match as a whole and exactly, if the caller takes them.
 OVERLAP, SHARE, LEAST = 13, 0.8, 8
-#: Bytes of benchmark text in one broadcast index, and of document text scanned at once.
-BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
+#: Bytes of benchmark text in one broadcast index, and of document text scanned at once, and hits
+#: that are laid out at once.
+BLOCK_BYTES, CHUNK_BYTES, HITS = 8 << 20, 2 << 20, 1 << 19
 
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses nothing
@@ -77,30 +82,52 @@ class SeedIndex:
         get, parts = self.vocab.get, [tokens(t) for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
         ids = np.fromiter((get(w, 0) for p in parts for w in p), np.int32, starts[-1])
-        docs, diagonals, items = [], [], []
-        for mask, h, at, item in self.tables:
-            pos, seed = _seeds(ids, mask)
-            lo, hi = np.searchsorted(h, seed), np.searchsorted(h, seed, "right")
-            n = hi - lo
-            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
-            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(pos, n)
-            doc = np.searchsorted(starts, where, "right") - 1
-            inside = where + len(mask) <= starts[doc + 1]
-            docs.append(doc[inside])
-            diagonals.append((where - at[entry])[inside])
-            items.append(item[entry][inside])
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        hits = np.unique(np.stack([np.concatenate(x) for x in (docs, items, diagonals)]), axis=1) if docs else np.empty((3, 0), np.int64)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for doc, item, shift in hits.T.tolist():
+        whole: set[int] = set()  # pairs of document and item whose overlap is the whole item
+        for pair, shift in self._diagonals(ids, starts, whole):
+            doc, item = divmod(pair, len(self.items))
             got = self._overlap(ids, starts[doc], starts[doc + 1], item, shift)
             if got and got > best.get((doc, item), (0, 0)):
                 best[doc, item] = got
+                n = int(self.first[item + 1] - self.first[item])
+                if got == (n, n):
+                    whole.add(pair)
         for (doc, item), (length, equal) in sorted(best.items()):
             out[doc].append((int(self.items[item]), length, equal))
         return out
 
+    def _diagonals(self, ids: np.ndarray, starts: np.ndarray, whole: set[int]) -> Iterator[tuple[int, int]]:
+        """(document and item as one number, shift) of the seeds' hits, without those of ``whole``. HITS of
+        them are laid out and 8 HITS remembered at a time, so that words that repeat take no room."""
+        codes: dict[int, int] = {}
+        seen = np.empty(0, np.int64)
+        for mask, h, at, item in self.tables:
+            pos, seed = _seeds(ids, mask)
+            lo = np.searchsorted(h, seed)
+            n = np.searchsorted(h, seed, "right") - lo
+            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
+            doc = np.searchsorted(starts, pos, "right") - 1
+            inside = pos + len(mask) <= starts[doc + 1]
+            pos, lo, n, doc = pos[inside], lo[inside], n[inside], doc[inside]
+            ends, k = np.concatenate(([0], np.cumsum(n))), 0
+            while k < len(n):
+                upto = max(k + 1, int(np.searchsorted(ends, ends[k] + HITS, "right")) - 1)
+                m = n[k:upto]
+                entry = np.repeat(lo[k:upto], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                pair = np.repeat(doc[k:upto], m) * len(self.items) + item[entry]
+                shift = np.repeat(pos[k:upto], m) - at[entry]
+                k = upto
+                if whole:
+                    open_ = ~np.isin(pair, np.fromiter(whole, np.int64, len(whole)))
+                    pair, shift = pair[open_], shift[open_]
+                pairs, which = np.unique(pair, return_inverse=True)
+                code = np.array([codes.setdefault(p, len(codes)) for p in pairs.tolist()], np.int64)
+                each, first = np.unique((code[which] << 32) + shift + (1 << 31), return_index=True)
+                new = ~np.isin(each, seen, assume_unique=True)
+                seen = np.concatenate((seen, each[new])) if len(seen) < 8 * HITS else each
+                yield from ((p, s) for p, s in zip(pair[first[new]].tolist(), shift[first[new]].tolist()) if p not in whole)
+
     def _overlap(self, ids: np.ndarray, start: int, end: int, item: int, shift: int) -> tuple[int, int] | None:
         """The union of the windows on a diagonal in which enough tokens agree."""
         own = self.ids[self.first[item] : self.first[item + 1]]
@@ -121,49 +148,69 @@ class SeedIndex:
         return int(inside.sum()), int((inside & same).sum())
 
 
-def seed_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", least: int = LEAST) -> list[SeedIndex]:
-    """The benchmark's indexes, each over about BLOCK_BYTES of text, whatever the benchmark's size.
+def seed_indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", least: int = LEAST) -> tuple[int, Iterator[SeedIndex]]:
+    """How many indexes the benchmark takes, each over about BLOCK_BYTES of text, and one after the other.
     Null texts and ids match nothing; repeated rows count once."""
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
-    out = []
-    for n in range(blocks):  # one bounded block at a time
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).orderBy("i", "t").toPandas()
-        out.append(SeedIndex(part.i.tolist(), part.t.tolist(), least))
-    return out
-
-
-def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST) -> Column:
-    """array<struct<item_id, overlap, equal>>: the benchmark items of which a row's text holds an
-    overlap, by item. All of the text is scanned against all items; the join needs no shuffle, as each
-    block of the benchmark is broadcast. Items of fewer than ``least`` tokens
-    are left out. A null or empty text, or an empty benchmark, gives none."""
-    kind = "array<struct<item_id: long, overlap: int, equal: int>>"
-    spark = df.sparkSession
 
-    def scanner(index: SeedIndex) -> Column:
-        shared = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf(kind)
-        def scan(texts: pd.Series) -> pd.Series:
-            out: list[list[tuple[int, int, int]]] = []
-            chunk, size = [], 0
-            for t in texts:
-                chunk.append(t)
-                size += len(t)
-                if size > CHUNK_BYTES:
-                    out += shared.value.scan(chunk)
-                    chunk, size = [], 0
-            out += shared.value.scan(chunk)
-            return pd.Series([[{"item_id": i, "overlap": n, "equal": e} for i, n, e in x] for x in out])
-
-        return scan(F.coalesce(df[text], F.lit("")))
-
-    found = [scanner(x) for x in seed_indexes(benchmark, least=least)]
-    return F.array_sort(F.concat(*found)) if found else F.array().cast(kind)
+    def index(n: int) -> SeedIndex:
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).orderBy("i", "t").toPandas()
+        return SeedIndex(part.i.tolist(), part.t.tolist(), least)
+
+    return blocks, map(index, range(blocks))
+
+
+_KIND = "array<struct<item_id: long, overlap: int, equal: int>>"
+
+
+def _scanner(index, text: Column) -> Column:
+    """The leaks that a broadcast index finds."""
+
+    @F.pandas_udf(_KIND)
+    def scan(texts: pd.Series) -> pd.Series:
+        out: list[list[tuple[int, int, int]]] = []
+        chunk, size = [], 0
+        for t in texts:
+            chunk.append(t)
+            size += len(t)
+            if size > CHUNK_BYTES:
+                out += index.value.scan(chunk)
+                chunk, size = [], 0
+        out += index.value.scan(chunk)
+        return pd.Series([[{"item_id": i, "overlap": n, "equal": e} for i, n, e in x] for x in out])
+
+    return scan(F.coalesce(text, F.lit("")))
+
+
+def with_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST, out: str = "leaks") -> DataFrame:
+    """``df`` with column ``out``, array<struct<item_id, overlap, equal>>: the benchmark items of which a
+    row's text holds an overlap, by item; a column of that name is replaced.
+
+    All of the text is scanned against all items. A benchmark of one block is broadcast, and nothing is
+    shuffled. A larger one is taken block by block, so that driver and executors hold one at a time;
+    what a block finds is written, by the text's digest, and joined to the rows in the end.
+    Items of fewer than ``least`` tokens are left out. A null or empty text, or an empty
+    benchmark, gives none; repeated rows get equal results; an empty table stays empty.
+    """
+    context = df.sparkSession.sparkContext
+    blocks, indexes = seed_indexes(benchmark, least=least)
+    if blocks < 2:
+        return df.withColumn(out, F.array_sort(_scanner(context.broadcast(next(indexes)), df[text])) if blocks else F.array().cast(_KIND))
+    digest = F.md5(F.coalesce(df[text], F.lit("")))
+    found = None
+    for index in indexes:
+        shared = context.broadcast(index)
+        part = written(df.select(digest.alias("digest"), _scanner(shared, df[text]).alias("leaks")).where(F.size("leaks") > 0).distinct())
+        shared.destroy()
+        found = part if found is None else found.union(part)
+    mark = fresh(df, "_digest")
+    by_text = found.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("_leaks")).select(F.col("digest").alias(mark), "_leaks")
+    return df.drop(out).join(by_text, digest == F.col(mark), "left").withColumn(out, F.coalesce("_leaks", F.array().cast(_KIND))).drop(mark, "_leaks")
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``df`` without an overlap with the benchmark, all columns as they are."""
-    return df.where(F.size(leaks(df, benchmark, text, least)) == 0)
+    out = fresh(df, "_leaks_found")
+    return with_leaks(df, benchmark, text, least, out).where(F.size(out) == 0).drop(out)

@@ -120,19 +120,23 @@ SELECT doc_id, size, text_crc32, 'key' AS law, now.s AS shard, row_number() OVER
 """
 
 _SPLIT = f"regexp_extract_all(regexp_replace({_LOWER.format('text')}, '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[^\\x20\\x09-\\x0D]+')"
+# Of 13 tokens with two changed, or as few as 8 with one, three in a row agree: plain trigrams find every overlap.
 OP4 = f"""
-WITH masks(m, places, span) AS (VALUES (0, [0, 1, 2, 3, 5, 6], 7), (1, [0, 1, 2, 4, 5, 6], 7), (2, [0, 1, 3, 4, 6, 7], 8), (3, [0, 2, 3, 4, 6, 8], 9)),
-d AS (SELECT row_number() OVER () AS row_id, doc_id, {_SPLIT} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-b AS (SELECT item_id, {_SPLIT} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len({_SPLIT}) >= 8),
-dw AS (SELECT row_id, m, p, list_transform(places, lambda o: w[p + o]) AS k FROM (SELECT row_id, m, places, w, unnest(range(1, len(w) - span + 2)) AS p FROM d, masks)),
-bw AS (SELECT item_id, m, p, list_transform(places, lambda o: w[p + o]) AS k FROM (SELECT item_id, m, places, w, unnest(range(1, len(w) - span + 2)) AS p FROM b, masks)),
-hits AS (SELECT DISTINCT row_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (m, k)),
-laid AS (SELECT row_id, item_id, shift, j, dww[j + shift] = bww[j] AS eq, least(13, len(bww)) AS win
-  FROM (SELECT row_id, item_id, shift, d.w AS dww, b.w AS bww, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1)) AS j FROM hits JOIN d USING (row_id) JOIN b USING (item_id))),
-summed AS (SELECT *, sum(CAST(eq AS INTEGER)) OVER w AS upto, row_number() OVER w AS n FROM laid WINDOW w AS (PARTITION BY row_id, item_id, shift ORDER BY j)),
-good AS (SELECT e.row_id, e.item_id, e.shift, e.j - e.win + 1 AS lo, e.j AS hi FROM summed e LEFT JOIN summed s ON s.row_id = e.row_id AND s.item_id = e.item_id AND s.shift = e.shift AND s.n = e.n - e.win WHERE e.n >= e.win AND 5 * (e.upto - coalesce(s.upto, 0)) >= 4 * e.win),
-spans AS (SELECT l.row_id, l.item_id, l.shift, count(*) AS overlap FROM laid l WHERE EXISTS (SELECT 1 FROM good g WHERE g.row_id = l.row_id AND g.item_id = l.item_id AND g.shift = l.shift AND l.j BETWEEN g.lo AND g.hi) GROUP BY ALL),
-best AS (SELECT row_id, list(DISTINCT item_id ORDER BY item_id) AS item_ids, CAST(max(overlap) AS INTEGER) AS longest_overlap FROM spans GROUP BY row_id)
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_SPLIT} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+items AS (SELECT row_number() OVER () AS b_id, item_id, w FROM (SELECT item_id, {_SPLIT} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL)) WHERE len(w) > 0),
+b AS (SELECT * FROM items WHERE len(w) >= 8),
+dw AS (SELECT row_id, p, w[p:p + 2] AS k FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+bw AS (SELECT b_id, p, w[p:p + 2] AS k FROM (SELECT b_id, w, unnest(range(1, len(w) - 1)) AS p FROM b)),
+hits AS (SELECT DISTINCT row_id, b_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (k)),
+laid AS (SELECT row_id, b_id, shift, j, dww[j + shift] = bww[j] AS eq, least(13, len(bww)) AS win
+  FROM (SELECT row_id, b_id, shift, d.w AS dww, b.w AS bww, unnest(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1)) AS j FROM hits JOIN d USING (row_id) JOIN b USING (b_id))),
+summed AS (SELECT *, sum(CAST(eq AS INTEGER)) OVER w AS upto, row_number() OVER w AS n FROM laid WINDOW w AS (PARTITION BY row_id, b_id, shift ORDER BY j)),
+good AS (SELECT e.row_id, e.b_id, e.shift, e.j - e.win + 1 AS lo, e.j AS hi FROM summed e LEFT JOIN summed s ON s.row_id = e.row_id AND s.b_id = e.b_id AND s.shift = e.shift AND s.n = e.n - e.win WHERE e.n >= e.win AND 5 * (e.upto - coalesce(s.upto, 0)) >= 4 * e.win),
+spans AS (SELECT l.row_id, l.b_id, l.shift, count(*) AS overlap FROM laid l WHERE EXISTS (SELECT 1 FROM good g WHERE g.row_id = l.row_id AND g.b_id = l.b_id AND g.shift = l.shift AND l.j BETWEEN g.lo AND g.hi) GROUP BY ALL),
+short AS (
+  SELECT row_id, b_id, n AS overlap FROM (SELECT row_id, n, w[p:p + n - 1] AS k FROM (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT len(w) AS n FROM items WHERE len(w) < 8)))
+  JOIN (SELECT b_id, w AS k FROM items WHERE len(w) < 8) USING (k)),
+best AS (SELECT row_id, list(DISTINCT item_id ORDER BY item_id) AS item_ids, CAST(max(overlap) AS INTEGER) AS longest_overlap FROM (SELECT row_id, b_id, overlap FROM spans UNION ALL SELECT * FROM short) JOIN items USING (b_id) GROUP BY row_id)
 SELECT doc_id, item_ids IS NOT NULL AS contaminated, coalesce(item_ids, []) AS item_ids, coalesce(longest_overlap, 0) AS longest_overlap FROM d LEFT JOIN best USING (row_id)
 """
 

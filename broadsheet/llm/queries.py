@@ -26,9 +26,9 @@ def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), least=1).alias("leaks"))
+    found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), least=1)
     best = F.coalesce(F.array_max(F.col("leaks.overlap")), F.lit(0))
-    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"), best.alias("longest_overlap"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.array_distinct("leaks.item_id").alias("item_ids"), best.alias("longest_overlap"))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -134,7 +135,7 @@ def test_token_counts_against_brute_force(spark):
     assert all(got[i] == best(t) for i, t in enumerate(texts)) and got[None] == got[999] == (0, 0.0)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
     item = lambda n: [rng.choice(words) for _ in range(n)]
@@ -147,8 +148,11 @@ def test_decontamination(spark):
     }
     df = docs(spark, [(i, " ".join(w), "a") for i, (w, _) in cases.items()] + [(50, None, None), (51, "long word " * 30_000 + " ".join(items[0]), "a")])
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(90, None), (None, "x"), (91, "")], "item_id long, text string")
-    got = {r.doc_id: {x.item_id for x in r.l} for r in df.select("doc_id", decontaminate.leaks(df, bench).alias("l")).collect()}
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in decontaminate.with_leaks(df, bench).collect()}
     assert got == {i: want for i, (_, want) in cases.items()} | {50: set(), 51: {0}}
+    whole = sorted(map(tuple, decontaminate.with_leaks(df, bench).select("doc_id", "leaks").collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)  # several blocks
+    assert decontaminate.seed_indexes(bench)[0] > 3 and sorted(map(tuple, decontaminate.with_leaks(df, bench).select("doc_id", "leaks").collect())) == whole
     assert {r.doc_id for r in decontaminate.decontaminated(df, bench).collect()} == {4, 5, 7, 8, 10, 50}
     assert decontaminate.decontaminated(df, bench.limit(0)).count() == df.count() and decontaminate.decontaminated(df.limit(0), bench).count() == 0
 
@@ -162,6 +166,14 @@ def test_seeds_hit_every_accepted_overlap():
         assert all(index.scan(texts)), n
 
 
+def test_repeated_words_take_no_room():
+    index = decontaminate.SeedIndex([1, 2], ["go " * 500, "go " * 20 + "stop"])
+    tracemalloc.start()
+    got = index.scan(["go " * 20_000, "Go, go! " * 15 + "stop", "no " * 50])
+    assert got == [[(1, 500, 500), (2, 21, 20)], [(1, 31, 30), (2, 21, 21)], []] and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_short_items_match_whole_and_exactly():
     index = decontaminate.SeedIndex([1, 2, 3, 4, 5], ["What is two plus two?", "name it", "", "Yes.", " ".join("abcdefg")], least=1)
     texts = ["so, what is TWO plus two", "what is two plus", "what is one plus two", "name  it; yes", "it name", "", "a b c x e f g", "z a b c d e f g", "a b", "c d e f g"]
@@ -220,8 +232,8 @@ def test_substring_dedup_of_crowded_grams(spark, monkeypatch):
 def test_long_runs_are_sorted_in_pieces(monkeypatch):
     rng = random.Random(8)
     stems = [b"the very same gram!!" + "".join(rng.choice("pq") for _ in range(44)).encode() for _ in range(4)]
-    parts = [(d, d, 0, 11, 0, rng.choice(stems)[:60]) for d in range(60)] + [(d, d, 0, 3, 0, b"quite another gram!!" + stems[0][20:51] + b"z") for d in range(5)]
-    frame = pd.DataFrame(parts, columns=["doc", "row", "start", "strings", "place", "part"])
+    parts = [(d, d, 0, None if d % 3 else np.array([100, 300]).tobytes(), 0, rng.choice(stems)[:60]) for d in range(60)] + [(d, d, 0, None, 0, b"quite another gram!!" + stems[0][20:51] + b"z") for d in range(5)]
+    frame = pd.DataFrame(parts, columns=["doc", "row", "start", "more", "place", "part"])
     spans = lambda f: sorted(tuple(x) for y in f for x in y.itertuples(index=False))
     whole = spans(suffix_dedup._sort_batches(iter([frame])))
     monkeypatch.setattr(suffix_dedup, "BATCH", 300)
@@ -232,6 +244,7 @@ def test_two_stage_order():
     rng = random.Random(6)
     for _ in range(200):
         alphabet = bytes(rng.sample(range(1, 255), rng.choice([1, 2, 4])))
+        alphabet = alphabet if rng.random() < 0.8 else alphabet + b"\0\xff"
         s = bytes(rng.choice(alphabet) for _ in range(rng.randrange(1, 150)))
         t = np.frombuffer(s + suffix_dedup._PAD, np.uint8)
         wanted = np.array(sorted(rng.sample(range(len(s)), rng.randrange(1, len(s) + 1))))
@@ -360,6 +373,7 @@ def test_near_copies_at_the_threshold(spark, monkeypatch):
     assert Counter(r.doc_id for r in simhash.keep_one(df).collect()) == Counter(want.values())
     monkeypatch.setattr(simhash, "GROUP", 16)
     monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "HOT", 30)
     got = simhash.keep_one(df)
     assert Counter(r.doc_id for r in got.collect()) == Counter(want.values()) and got.columns == df.columns
 
@@ -384,6 +398,20 @@ def test_trie_links_are_complete(spark, monkeypatch):
     assert (simhash.least_labels(len(v), *np.array(e).T) == simhash.least_labels(len(v), a, b)).all()
 
 
+@pytest.mark.parametrize("crowded, budget", [(1e-3, 8), (1e-5, 8), (1e-9, 8), (1e-9, 4)])
+def test_links_are_complete_with_more_blocks(spark, monkeypatch, crowded, budget):
+    rng, vals = np.random.default_rng(1), []
+    for b in rng.integers(0, 2**63, 40, dtype=np.uint64):
+        for _ in range(8):
+            vals.append(b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 10)).astype(np.uint64)))
+    v = np.unique(np.array(vals, np.uint64))
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    place = {int(x): k for k, x in enumerate(v.view(np.int64))}
+    e = [(place[r.a], place[r.b]) for r in simhash.links(spark.createDataFrame([(k,) for k in place], "fp long"), budget).collect()]
+    a, b = np.nonzero(np.bitwise_count(v[:, None] ^ v[None, :]) <= budget)
+    assert (simhash.least_labels(len(v), *np.array(e).T) == simhash.least_labels(len(v), a, b)).all()
+
+
 def test_language_model(spark):
     rng, rows = random.Random(5), []
     for i in range(400):
