@@ -184,6 +184,10 @@ def period_start(period: str | None, as_of: dt.date) -> dt.date | None:
 
 
 def in_period(news: DataFrame, period: str | None, as_of: dt.date, tz: str = S.SEOUL) -> DataFrame:
-    """Rows published in the period; ``all`` has no bound on either side."""
+    """Rows published in the period; ``all`` has no bound on either side. The bounds are constants on the
+    stored time, so they reach the scan and prune files and row groups."""
     start = period_start(period, as_of)
-    return news if start is None else news.where(local_date(F.col("published_at"), tz).between(F.lit(start), F.lit(as_of)))
+    if start is None:
+        return news
+    first, end = (F.to_utc_timestamp(F.lit(f"{day} 00:00:00").cast("timestamp"), tz) for day in (start, as_of + dt.timedelta(days=1)))
+    return news.where((F.col("published_at") >= first) & (F.col("published_at") < end))

@@ -53,13 +53,25 @@ def rule_of(line: Column) -> Column:
     return out
 
 
-_DROP = _U + "|".join(f"(?:{p})" for _, p in DROP_RULES)
+# An address has its @, and one character on each side finds it; a line that any other rule drops holds
+# one of these hints, which are far cheaper to look for than the rules.
+_EMAIL = _U + r"[\w.+-]@[\w-]+\.[\w.-]"
+_HINTS = _U + r"^\[|^[-–—]|기자|디자이너|입력|수정|제공|전재|재배포|재판매|사진|그래픽|댓글|써주세요|제보|구독|^▶|등록번호|보호|읽는|(?i:advertisement|copyright|tel)"
+_DROP = _U + "|".join(f"(?:{p})" for name, p in DROP_RULES if name != "email")
+_TRIM_HINTS = _U + "기자|특파원|^이미지"
+
+
+def is_residue(line: Column) -> Column:
+    """Whether any rule drops the line."""
+    return (line.contains("@") & line.rlike(_EMAIL)) | (line.rlike(_HINTS) & line.rlike(_DROP))
 
 
 def trim_line(line: Column) -> Column:
+    """A stripped line without what the rules cut off its front."""
+    trimmed = line
     for _, pattern in TRIM_RULES:
-        line = F.regexp_replace(line, _U + pattern, "")
-    return strip(line)
+        trimmed = F.regexp_replace(trimmed, _U + pattern, "")
+    return F.when(line.rlike(_TRIM_HINTS), strip(trimmed)).otherwise(line)
 
 
 def raw_lines(text: Column) -> Column:
@@ -91,7 +103,7 @@ def cut_widgets(lines: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """array<string>: the body's lines without scrape residue. Null and empty give no lines."""
-    kept = F.filter(cut_widgets(raw_lines(text)), lambda x: ~x.rlike(_DROP))
+    kept = F.filter(cut_widgets(raw_lines(text)), lambda x: ~is_residue(x))
     return F.filter(F.transform(kept, trim_line), lambda x: x != "")
 
 

@@ -211,15 +211,21 @@ def alias_containment(entities: DataFrame) -> DataFrame:
 
 def missed_runs(checks: DataFrame, runs: DataFrame, first: dt.date, last: dt.date, tz: str = S.SEOUL, hour: int = 9, grace_hours: int = 15, registered: bool = True) -> DataFrame:
     """(check_at, last_run, last_fire, state) for each check time: clear if a run came at or after the latest
-    expected fire (weekdays at ``hour``), pending within the grace after it, else stale. As-of by one
-    ordered union of the three series."""
+    expected fire (weekdays at ``hour``), pending within the grace after it, else stale. As-of within
+    each day by an ordered union of the three series, across days by one row a day."""
     spark = checks.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("d")).where(F.dayofweek("d").between(2, 6))
     fires = days.select(F.to_utc_timestamp(F.col("d").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(hour)), tz).alias("t"))
     series = checks.select(F.col("check_at").alias("t"), F.lit(2).alias("o")).union(runs.select("started_at", F.lit(1))).union(fires.select("t", F.lit(0)))
-    before = Window.orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = series.withColumn("last_run", F.last(F.when(F.col("o") == 1, F.col("t")), True).over(before)).withColumn("last_fire", F.last(F.when(F.col("o") == 0, F.col("t")), True).over(before))
+    run, fire = F.when(F.col("o") == 1, F.col("t")), F.when(F.col("o") == 0, F.col("t"))
+    series = series.withColumn("day", F.to_date("t"))
+    by_day = series.groupBy("day").agg(F.max(run).alias("run"), F.max(fire).alias("fire"))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    carried = by_day.select("day", F.max("run").over(earlier).alias("_run"), F.max("fire").over(earlier).alias("_fire"))
+    before = Window.partitionBy("day").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = series.withColumn("last_run", F.max(run).over(before)).withColumn("last_fire", F.max(fire).over(before)).where("o = 2").join(carried, "day")
+    seen = seen.withColumn("last_run", F.coalesce("last_run", "_run")).withColumn("last_fire", F.coalesce("last_fire", "_fire"))
     clear = F.col("last_fire").isNull() | F.coalesce(F.col("last_run") >= F.col("last_fire"), F.lit(False))
     late = F.col("t") >= F.col("last_fire") + F.make_dt_interval(F.lit(0), F.lit(grace_hours))
     state = F.when(clear, "clear").when(late | F.lit(not registered), "stale").otherwise("pending")
-    return seen.where("o = 2").select(F.col("t").alias("check_at"), "last_run", "last_fire", state.alias("state"))
+    return seen.select(F.col("t").alias("check_at"), "last_run", "last_fire", state.alias("state"))

@@ -44,15 +44,19 @@ def fold(hits: DataFrame, keywords: DataFrame, news: DataFrame, excluded: DataFr
     """The hits with their outcome: no_url, skipped_filter, skipped_dup, skipped_excluded, no_date or collected.
 
     In order of keyword and position, the first dated hit of a new url is collected; later hits of it
-    are duplicates; undated ones before it are dropped. One window over the url hash decides.
+    are duplicates; undated ones before it are dropped. One window over the url hash decides; hits
+    without a url take no part in it.
     """
-    flagged = known_flags(normalize_hits(hits, keywords), news, excluded)
-    gate = F.when(F.col("url").isNull(), "no_url").when(F.size("blocked") > 0, "skipped_filter").when(F.col("is_known"), "skipped_dup").when(F.col("is_excluded"), "skipped_excluded")
+    hits = normalize_hits(hits, keywords)
+    flagged = known_flags(hits.where("url is not null"), news, excluded)
+    gate = F.when(F.size("blocked") > 0, "skipped_filter").when(F.col("is_known"), "skipped_dup").when(F.col("is_excluded"), "skipped_excluded")
     order = F.struct("keyword_ord", "item_pos")
     first = F.min(F.when(F.col("gate").isNull() & F.col("published_at").isNotNull(), F.col("ord"))).over(Window.partitionBy("url_hash"))
     rows = flagged.withColumn("gate", gate).withColumn("ord", order).withColumn("first", first)
     new = F.when(F.col("first").isNull() | (F.col("ord") < F.col("first")), "no_date").when(F.col("ord") == F.col("first"), "collected").otherwise("skipped_dup")
-    return rows.withColumn("outcome", F.coalesce("gate", new)).drop("gate", "first", "ord")
+    decided = rows.withColumn("outcome", F.coalesce("gate", new)).drop("gate", "first", "ord")
+    none = hits.where("url is null").withColumns({"is_known": F.lit(False), "is_excluded": F.lit(False), "outcome": F.lit("no_url")})
+    return decided.unionByName(none)
 
 
 def merge_keywords(folded: DataFrame, news: DataFrame) -> DataFrame:

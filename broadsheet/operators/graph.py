@@ -58,8 +58,7 @@ def shown_relations(relations: DataFrame, orgs: DataFrame) -> DataFrame:
 def edges(news: DataFrame, bridge: DataFrame, orgs: DataFrame, relations: DataFrame, period: str, as_of: dt.date, tz: str = S.SEOUL) -> DataFrame:
     """(org_a, org_b, label, weight); only tags of labelled organisations are paired."""
     shown = shown_relations(relations, orgs)
-    ends = shown.select(F.col("org_a").alias("entity_id")).union(shown.select("org_b")).distinct()
-    tagged = _tagged(news, bridge.join(ends, "entity_id", "left_semi"), period, as_of, tz)
+    tagged = _tagged(news, _of_relations(bridge, shown), period, as_of, tz)
     weights = pair_rows(tagged).groupBy("org_a", "org_b").agg(F.count(F.lit(1)).alias("weight"))
     return shown.join(weights, ["org_a", "org_b"]).select("org_a", "org_b", "label", "weight")
 
@@ -71,14 +70,20 @@ def pair_evidence(news: DataFrame, bridge: DataFrame, a: int, b: int, period: st
     return found.select("id", "title", "published_at").orderBy(F.desc("published_at"), F.desc("id"))
 
 
+def _of_relations(bridge: DataFrame, relations: DataFrame) -> DataFrame:
+    """The tags of organisations that some relation names; no others are worth pairing."""
+    ends = relations.select(F.col("org_a").alias("entity_id")).union(relations.select("org_b")).distinct()
+    return bridge.join(ends, "entity_id", "left_semi")
+
+
 def all_evidence(news: DataFrame, bridge: DataFrame, relations: DataFrame, period: str = "all", as_of: dt.date | None = None, tz: str = S.SEOUL) -> DataFrame:
     """(org_a, org_b, news_id) of every labelled pair, as rows, not lists."""
-    return pair_rows(_tagged(news, bridge, period, as_of, tz)).join(relations.select("org_a", "org_b"), ["org_a", "org_b"], "left_semi")
+    return pair_rows(_tagged(news, _of_relations(bridge, relations), period, as_of, tz)).join(relations.select("org_a", "org_b"), ["org_a", "org_b"], "left_semi")
 
 
 def orphan_relations(news: DataFrame, bridge: DataFrame, relations: DataFrame) -> DataFrame:
     """Labelled pairs that no verified article mentions together, at any time, whatever their types."""
-    return relations.join(co_mention_pairs(news, bridge), ["org_a", "org_b"], "left_anti").select("org_a", "org_b", "label")
+    return relations.join(co_mention_pairs(news, _of_relations(bridge, relations)), ["org_a", "org_b"], "left_anti").select("org_a", "org_b", "label")
 
 
 def edge_invariants(edge_rows: DataFrame, node_rows: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -113,12 +118,24 @@ def set_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("org_a", "org_b", F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "lost").otherwise("weight").alias("change"), "before", "after")
 
 
-def upsert_relation(relations: DataFrame, changes: DataFrame) -> DataFrame:
-    """Relations after changes (org_a, org_b, label, description): pairs are ordered, labels trimmed; an empty or
-    too long label changes nothing; an organisation with itself is refused. The last change of a pair wins by ``op_ord``."""
+def _last_changes(changes: DataFrame) -> DataFrame:
+    """(org_a, org_b, n): the last valid change of each pair by ``op_ord``. Pairs are ordered, labels trimmed;
+    an empty or too long label and an organisation with itself change nothing."""
     label = strip(F.coalesce("label", F.lit("")))
     new = changes.where("org_a <> org_b").withColumn("_l", label).where((F.col("_l") != "") & (F.char_length("_l") <= S.MAX_LABEL))
     new = new.select(F.least("org_a", "org_b").alias("org_a"), F.greatest("org_a", "org_b").alias("org_b"), "op_ord", F.col("_l").alias("label"), strip(F.coalesce("description", F.lit(""))).alias("description"))
-    last = new.groupBy("org_a", "org_b").agg(F.max_by(F.struct("label", "description"), "op_ord").alias("n"))
-    j = relations.join(last, ["org_a", "org_b"], "full")
+    return new.groupBy("org_a", "org_b").agg(F.max_by(F.struct("label", "description"), "op_ord").alias("n"))
+
+
+def upsert_relation(relations: DataFrame, changes: DataFrame) -> DataFrame:
+    """Relations after changes (org_a, org_b, label, description), of which a pair's last valid one wins."""
+    j = relations.join(_last_changes(changes), ["org_a", "org_b"], "full")
     return j.select("org_a", "org_b", F.coalesce("n.label", "label").alias("label"), F.when(F.col("n").isNull(), F.col("description")).otherwise(F.col("n.description")).alias("description"))
+
+
+def replace_evidence(evidence: DataFrame, changes: DataFrame, news: DataFrame, bridge: DataFrame, period: str, as_of: dt.date, tz: str = S.SEOUL) -> DataFrame:
+    """(org_a, org_b, news_id) after the same changes: a changed pair's evidence becomes the verified news of
+    the period that mention both; other pairs keep theirs. Commit it with the relations in one step."""
+    changed = _last_changes(changes).select("org_a", "org_b")
+    kept = evidence.select("org_a", "org_b", "news_id").join(changed, ["org_a", "org_b"], "left_anti")
+    return kept.unionByName(all_evidence(news, bridge, changed, period, as_of, tz))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,11 +11,18 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import ensure_checkpoints
 
-#: Random-hyperplane tables: a pair at cosine 0.82 shares 8 signs in one of 48 with probability 0.9999.
-TABLES, BITS, SEED = 48, 8, 7
+#: Of the pairs at the threshold this share may be missed; vectors that meet in a bucket on average.
+MISSED, MET, SEED = 1e-4, 32, 7
+
+
+def table_plan(rows: int, threshold: float) -> tuple[int, int]:
+    """(tables, bits): bits grow with the rows, so that buckets don't; tables keep the share that is missed."""
+    bits = min(30, max(8, math.ceil(math.log2(max(rows, 1) / MET))))
+    same = (1 - math.acos(threshold) / math.pi) ** bits  # of two vectors at the threshold, in one table
+    return math.ceil(math.log(MISSED) / math.log1p(-same)), bits
 
 
-def hyperplane_keys(vector: Column, dims: int, tables: int = TABLES, bits: int = BITS) -> Column:
+def hyperplane_keys(vector: Column, dims: int, tables: int, bits: int) -> Column:
     """array<int>: the sign pattern of a vector in each table."""
     planes = np.random.default_rng(SEED).standard_normal((dims, tables * bits))
     weights = 1 << np.arange(bits)
@@ -49,7 +58,7 @@ def similar_classes(embeddings: DataFrame, dims: int, threshold: float = 0.82) -
     """(a, b, cosine) with a < b between distinct vectors, and (news_id, rep): their members. Candidates meet in
     a hyperplane bucket; only ids travel there, and each candidate pair is checked exactly once."""
     reps, members = _units(embeddings)
-    buckets = reps.select("rep", F.posexplode(hyperplane_keys(F.col("u"), dims)).alias("table", "key"))
+    buckets = reps.select("rep", F.posexplode(hyperplane_keys(F.col("u"), dims, *table_plan(reps.count(), threshold))).alias("table", "key"))
     pairs = buckets.withColumnRenamed("rep", "a").join(buckets.withColumnRenamed("rep", "b"), ["table", "key"]).where("a < b").select("a", "b").distinct()
     u = reps.select("rep", "u")
     scored = pairs.join(u.withColumnsRenamed({"rep": "a", "u": "_a"}), "a").join(u.withColumnsRenamed({"rep": "b", "u": "_b"}), "b").withColumn("cosine", dot(F.col("_a"), F.col("_b")))
@@ -65,6 +74,14 @@ def similar_pairs(embeddings: DataFrame, dims: int, threshold: float = 0.82) ->
     return across.union(within)
 
 
+def similar_counts(embeddings: DataFrame, dims: int, threshold: float = 0.82) -> DataFrame:
+    """(news_id, class_id, links) for each row with a vector: the least id with an equal vector, and how
+    many other classes are related to it. Copies aren't expanded into pairs."""
+    pairs, members = similar_classes(embeddings, dims, threshold)
+    links = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, "rep", "left").select("news_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def similar_topk(embeddings: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
     """(query_id, place, news_id, cosine): exact nearest neighbours of a stated query set against all rows.
     Queries are taken in blocks of a bounded size; each task keeps its own k best, which are then merged."""
@@ -86,7 +103,8 @@ def similar_topk(embeddings: DataFrame, queries: DataFrame, k: int = 5, block: i
                     own = pdf.news_id.to_numpy(np.int64)
                     cosine = vectors @ np.stack(pdf.u.to_list()).T
                     cosine[ids[:, None] == own[None, :]] = -np.inf
-                    best = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 8]
+                    # By cosine, then id, as the merge ranks them: k of a batch are enough, ties or not.
+                    best = np.stack([np.lexsort((own, -np.round(c, 9)))[:k] for c in cosine])
                     at = np.repeat(np.arange(len(ids)), best.shape[1])
                     yield pd.DataFrame({"query_id": ids[at], "news_id": own[best.ravel()], "cosine": cosine[at, best.ravel()]}).query("cosine > -inf")
 
@@ -94,7 +112,7 @@ def similar_topk(embeddings: DataFrame, queries: DataFrame, k: int = 5, block: i
         parts = found if parts is None else parts.union(found)
     if parts is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, place int, news_id long, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "news_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "news_id")
     return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "news_id", "cosine")
 
 
@@ -103,13 +121,13 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s*\[[^\]]+\]", "")), r"(?U)[^\w]+", "")
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, group) by least-label propagation with pointer jumping; checkpointed, until nothing changes."""
     ensure_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     both = both.checkpoint()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), F.col("l").alias("group")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "group": "g"}), "b").groupBy("a").agg(F.min("g").alias("g"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("group", "g").alias("group"))
         jump = step.withColumnsRenamed({"node": "_n", "group": "_g"})
@@ -117,7 +135,6 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if new.join(labels.withColumnRenamed("group", "old"), "node").where("group <> old").isEmpty():
             return new
         labels = new
-    raise RuntimeError("the groups did not settle")
 
 
 def duplicate_groups(news: DataFrame, related: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
@@ -73,11 +74,17 @@ def x2_exclude_union(t: Tables):
 
 @query("", "SELECT keyword_ord, CAST(pos AS INTEGER) AS item_pos, title FROM (SELECT CAST(user_id % 20 AS INTEGER) AS keyword_ord, event_type AS title, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS pos FROM events)")
 def s1_read_hits(t: Tables):
-    """Payloads as they land, one for each keyword, exploded into hits."""
-    item = F.struct(F.col("event_id").alias("o"), F.col("event_type").alias("title"), F.lit("").alias("description"), F.lit("").alias("originallink"), F.lit("").alias("link"), F.lit("").alias("pubDate"))
-    lists = t.raw("events").groupBy((F.col("user_id") % 20).cast("int").alias("keyword_ord")).agg(F.array_sort(F.collect_list(item)).alias("l"))
-    items = F.transform("l", lambda x: F.struct(x["title"].alias("title"), x["description"].alias("description"), x["originallink"].alias("originallink"), x["link"].alias("link"), x["pubDate"].alias("pubDate")))
-    payloads = lists.select("keyword_ord", F.concat(F.lit("kw"), "keyword_ord").alias("keyword"), items.alias("items"))
+    """Payloads as they land, pages of a hundred items of a keyword, exploded into hits. Items are numbered
+    by counts a day and places within it, so no task orders a whole keyword."""
+    e = t.raw("events").select((F.col("user_id") % 20).cast("int").alias("keyword_ord"), F.expr("event_id div 1000").alias("block"), "event_id", "event_type")
+    counts = e.groupBy("keyword_ord", "block").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("keyword_ord", "block", F.coalesce(F.sum("n").over(Window.partitionBy("keyword_ord").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("keyword_ord", "block").orderBy("event_id")) - 1
+    numbered = e.withColumn("place", place).join(offsets, ["keyword_ord", "block"]).withColumn("pos", F.col("before") + F.col("place")).withColumn("page", F.expr("pos div 100"))
+    empty = {n: F.lit("").alias(n) for n in ("description", "originallink", "link", "pubDate")}
+    pages = numbered.groupBy("keyword_ord", "page").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("event_type").alias("title")))).alias("l"))
+    items = F.transform("l", lambda x: F.struct(x["title"].alias("title"), *empty.values()))
+    payloads = pages.select("keyword_ord", F.concat(F.lit("kw"), "keyword_ord").alias("keyword"), items.alias("items"), (F.col("page") * 100).alias("first_pos"))
     return sources.explode_payloads(payloads).select("keyword_ord", "item_pos", "title")
 
 
@@ -85,7 +92,8 @@ def s1_read_hits(t: Tables):
   nullif(coalesce(string_agg(CASE WHEN event_type = 'error' THEN 'event ' || event_id END, chr(10) ORDER BY event_id), ''), '') AS error_message, 'job' AS actor FROM events GROUP BY 1""")
 def s3_append_log(t: Tables):
     """One run a day: its errors are the day's error events."""
-    errors = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.when(x["event_type"] == "error", F.concat(F.lit("event "), x["event_id"]))), lambda x: x.isNotNull())
+    found = F.collect_list(F.when(F.col("event_type") == "error", F.col("event_id")))  # leaves nulls out
+    errors = F.transform(F.array_sort(found), lambda x: F.concat(F.lit("event "), x))
     runs = t.raw("events").groupBy(F.to_date("ts").alias("started_at")).agg(F.count(F.when(F.col("event_type") != "error", 1)).alias("collected_count"), errors.alias("errors"), F.lit("job").alias("actor"))
     return sources.log_rows(runs).withColumnRenamed("started_at", "day")
 
@@ -165,7 +173,7 @@ def p1_strip_html(t: Tables):
     return t.raw("pages").select("page_id", P.strip_html(F.col("html")).alias("text"))
 
 
-@query("", "SELECT CAST(event_id AS INTEGER) AS item_pos, 'https://hits.example/' || (event_id % 997) AS url FROM events WHERE event_id % 29 <> 0")
+@query("", "SELECT CAST(event_id AS INTEGER) AS item_pos, 'https://hits.example/' || (event_id // 3) AS url FROM events WHERE event_id % 29 <> 0")
 def p2_pick_url(t: Tables):
     """Two thirds of the hits have an original link, the others the portal's; rows without either go."""
     return t.hits.select("item_pos", P.pick_url(F.col("originallink"), F.col("link")).alias("url")).where("url is not null")

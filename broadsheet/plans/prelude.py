@@ -29,9 +29,9 @@ TABLES_SQL = {
     "insight_news": "SELECT o_custkey % 200 AS insight_id, o_orderkey AS news_id FROM orders WHERE o_orderkey % 3 = 0",
     "keywords": "SELECT id, CASE WHEN id < 20 THEN 'kw' || id WHEN id = 21 THEN 'error 3' ELSE 'error' END AS keyword, id < 20 AS collects, CASE WHEN id % 2 = 0 THEN 'date' ELSE 'sim' END AS sort, id <> 5 AS is_active FROM (SELECT unnest(range(22)) AS id)",
     "hits": """SELECT CAST(user_id % 20 AS INTEGER) AS keyword_ord, 'kw' || (user_id % 20) AS keyword, CAST(event_id AS INTEGER) AS item_pos, event_type || ' ' || (event_id % 10) AS title, 'about ' || (event_id % 17) AS description,
-  CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'https://hits.example/' || (event_id % 997) END AS url, event_id % 31 <> 0 AS dated, date_trunc('second', ts) AS published_at FROM events""",
-    "known": "SELECT sha256('https://hits.example/' || n) AS url_hash, ['kw' || (n % 3)] AS matched_keywords FROM (SELECT unnest(range(997)) AS n) WHERE n % 10 = 0",
-    "excluded": "SELECT sha256('https://hits.example/' || n) AS url_hash FROM (SELECT unnest(range(997)) AS n) WHERE n % 7 = 0",
+  CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'https://hits.example/' || (event_id // 3) END AS url, event_id % 31 <> 0 AS dated, date_trunc('second', ts) AS published_at FROM events""",
+    "known": "SELECT sha256('https://hits.example/' || n) AS url_hash, ['kw' || (n % 3)] AS matched_keywords FROM (SELECT DISTINCT event_id // 3 AS n FROM events) WHERE n % 10 = 0",
+    "excluded": "SELECT sha256('https://hits.example/' || n) AS url_hash FROM (SELECT DISTINCT event_id // 3 AS n FROM events) WHERE n % 7 = 0",
     "gated": """SELECT *, CASE WHEN url IS NULL THEN 'no_url' WHEN contains(title || ' ' || description, 'error') THEN 'skipped_filter'
   WHEN url_hash IN (SELECT url_hash FROM known) THEN 'skipped_dup' WHEN url_hash IN (SELECT url_hash FROM excluded) THEN 'skipped_excluded' END AS gate FROM (SELECT *, sha256(url) AS url_hash FROM hits)""",
     "folded": """SELECT * EXCLUDE (gate, won), coalesce(gate, CASE WHEN won IS NULL OR (keyword_ord, item_pos) < won THEN 'no_date' WHEN (keyword_ord, item_pos) = won THEN 'collected' ELSE 'skipped_dup' END) AS outcome

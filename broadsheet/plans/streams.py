@@ -32,7 +32,7 @@ def z1_stream_collect(t: Tables):
     known = t.known.select("url_hash", text("url"), text("title"), text("body"), F.lit("stored").alias("source_type"), F.lit(None).cast("timestamp").alias("published_at"), F.lit("검증됨").alias("status"), "matched_keywords")
     store.commit(news=known, excluded=t.excluded)
     jobs.stream_collect(StreamTables(t, "events").hits, store, t.keywords, f"{path}-state").awaitTermination()
-    return store.read("news").select("url_hash", "matched_keywords")
+    return store.read("news", "url_hash").select("url_hash", "matched_keywords")
 
 
 ORACLE["z1_stream_collect"] = ORACLE["c2_merge_matched_keywords"]
@@ -45,7 +45,7 @@ def z2_stream_dedup(t: Tables):
     return jobs.run_to_table(jobs.stream_dedup(dated, "1000 days"), scratch(t.spark)).select("url_hash")
 
 
-@query("ok", "SELECT CAST(published_at AS DATE) AS day, count(*) AS count FROM ok GROUP BY 1")
+@query("ok", "SELECT day, count(*) AS count FROM ok GROUP BY 1")
 def z3_stream_daily_counts(t: Tables):
     counts = jobs.stream_daily_counts(StreamTables(t, "orders").news, "10000 days")
     return jobs.run_to_table(counts, scratch(t.spark), "complete")

@@ -91,7 +91,7 @@ class Tables:
     def hits(self) -> DataFrame:
         """Search hits from events: blank links, missing dates and excluded words come by modulus."""
         e = self.raw("events").withColumn("n", F.col("event_id"))
-        link = F.concat(F.lit("https://hits.example/"), F.col("n") % 997)
+        link = F.concat(F.lit("https://hits.example/"), F.expr("n div 3"))
         return e.select(
             (F.col("user_id") % 20).cast("int").alias("keyword_ord"), F.concat(F.lit("kw"), F.col("user_id") % 20).alias("keyword"), F.col("n").cast("int").alias("item_pos"),
             F.concat(F.col("event_type"), F.lit(" "), F.col("n") % 10).alias("title"), F.concat(F.lit("about "), F.col("n") % 17).alias("description"),
@@ -99,15 +99,19 @@ class Tables:
             F.when(F.col("n") % 31 == 0, "unknown").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss +0000")).alias("pubDate"),
         )
 
+    def _links(self) -> DataFrame:
+        """The links of the hits, by number: each is seen three times."""
+        return self.raw("events").select(F.expr("event_id div 3").alias("id")).distinct()
+
     @cached_property
     def known(self) -> DataFrame:
         """Articles that the store holds before the hits: every tenth link, under one keyword."""
-        n = self.spark.range(0, 997).where("id % 10 = 0")
+        n = self._links().where("id % 10 = 0")
         return n.select(F.sha2(F.concat(F.lit("https://hits.example/"), F.col("id")), 256).alias("url_hash"), F.array(F.concat(F.lit("kw"), F.col("id") % 3)).alias("matched_keywords"))
 
     @cached_property
     def excluded(self) -> DataFrame:
-        n = self.spark.range(0, 997).where("id % 7 = 0")
+        n = self._links().where("id % 7 = 0")
         return n.select(F.sha2(F.concat(F.lit("https://hits.example/"), F.col("id")), 256).alias("url_hash"))
 
     @cached_property

@@ -19,8 +19,10 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_payloads(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select("keyword_ord", "keyword", F.posexplode(F.coalesce("items", F.array().cast(S.PAYLOAD["items"].dataType))).alias("item_pos", "item"))
-    return rows.select("keyword_ord", "keyword", "item_pos", "item.*")
+    """One hit for each item; a payload may be a page, whose ``first_pos`` is its first item's place."""
+    first = F.col("first_pos") if "first_pos" in payloads.columns else F.lit(0)
+    rows = payloads.select("keyword_ord", "keyword", first.cast("int").alias("first"), F.posexplode(F.coalesce("items", F.array().cast(S.PAYLOAD["items"].dataType))).alias("item_pos", "item"))
+    return rows.select("keyword_ord", "keyword", (F.col("first") + F.col("item_pos")).alias("item_pos"), "item.*")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +30,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_news(news: DataFrame, path: str, tz: str = S.SEOUL, by: str = "day") -> None:
-    """Parquet in folders by the publication day, or month, so that period filters prune them."""
+    """Parquet in folders by the publication day, or month, so that period filters prune them. Rows are
+    rebalanced by the folder, so a large day is written by many tasks and small days share one."""
     day = local_date(F.col("published_at"), tz)
     dated = news.withColumn("published_date", day).withColumn("published_part", F.to_date(F.trunc(day, "month")) if by == "month" else day)
-    dated.repartition("published_part").write.mode("overwrite").partitionBy("published_part").parquet(path)
+    dated.hint("rebalance", "published_part").write.mode("overwrite").partitionBy("published_part").parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
@@ -43,8 +46,15 @@ def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **optio
 
 
 class Store:
-    """Several tables that change together. A commit writes new versions beside the old ones and then
-    renames one manifest into place; a failure before that leaves the old state."""
+    """Several tables that change together. A commit writes new files beside the old ones and then one
+    manifest under the next number, by a rename; the highest number is the state. A failure before the
+    rename leaves the old state, and of two commits at once the second fails.
+
+    A table is a list of parts. ``commit(name=df)`` replaces it; ``upsert`` adds a part whose rows
+    take the place of older rows with the same key, so that a small change writes little."""
+
+    #: Parts after which an upsert writes the table anew.
+    PARTS = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -52,29 +62,46 @@ class Store:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        at = f"{self.root}/MANIFEST"
-        if not self._fs.exists(self._path(at)):
-            return {}
-        return json.loads(self.spark.read.text(at, wholetext=True).first()[0])
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.manifest()[name]}")
-
-    def commit(self, **tables: DataFrame) -> None:
-        version = uuid.uuid4().hex
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = (x.getPath().getName() for x in self._fs.listStatus(self._path(self.root)))
+        return sorted(int(n.removeprefix("MANIFEST-")) for n in names if n.removeprefix("MANIFEST-").isdigit())
+
+    def manifest(self) -> dict[str, list[str]]:
+        numbers = self._numbers()
+        return json.loads(self.spark.read.text(f"{self.root}/MANIFEST-{numbers[-1]:012d}", wholetext=True).first()[0]) if numbers else {}
+
+    def read(self, name: str, key: str | None = None) -> DataFrame:
+        """A table; ``key``: that of its upserts, if it has any."""
+        parts = [self.spark.read.parquet(f"{self.root}/{p}") for p in self.manifest()[name]]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.join(part.select(key), key, "left_anti").unionByName(part)
+        return out
+
+    def commit(self, upsert: dict[str, tuple[str, DataFrame]] | None = None, **tables: DataFrame) -> None:
+        """Replaces ``tables`` and upserts (key, rows) of others, in one step."""
+        numbers, version, entries = self._numbers(), uuid.uuid4().hex, self.manifest()
+        for name, (key, df) in (upsert or {}).items():
+            if len(entries[name]) >= self.PARTS:
+                tables[name] = self.read(name, key).join(df.select(key), key, "left_anti").unionByName(df)
+            else:
+                df.write.parquet(f"{self.root}/{name}-{version}")
+                entries[name] = [*entries[name], f"{name}-{version}"]
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}-{version}")
-        entries = self.manifest() | {name: f"{name}-{version}" for name in tables}
-        fresh = self._path(f"{self.root}/MANIFEST-{version}")
+            entries[name] = [f"{name}-{version}"]
+        self._publish(numbers[-1] + 1 if numbers else 1, version, json.dumps(entries))
+
+    def _publish(self, number: int, version: str, text: str) -> None:
+        fresh = self._path(f"{self.root}/.manifest-{version}")
         out = self._fs.create(fresh)
-        out.write(bytearray(json.dumps(entries).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(f"{self.root}/MANIFEST")
-        old = self._path(f"{self.root}/MANIFEST-before-{version}")
-        if self._fs.exists(target):
-            self._fs.rename(target, old)
-        self._fs.rename(fresh, target)
+        target = self._path(f"{self.root}/MANIFEST-{number:012d}")
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            raise RuntimeError(f"another commit came first: {target}")
 
 
 def log_rows(runs: DataFrame) -> DataFrame:
@@ -101,14 +128,25 @@ def snapshot_report(reports: DataFrame, report_news: DataFrame, news: DataFrame,
     report_markdown(reports, report_news, news).select(F.col("document").alias("value"), "report_id").write.mode("overwrite").partitionBy("report_id").text(path)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder, which ``spark.checkpoint.dir`` names. Only a local master may do without:
+    it gets a folder of its own. On a cluster that folder would be on the driver's disk, so there a
+    missing setting is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="broadsheet-")
+    return named
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder for intermediate tables: in the cluster's shared checkpoint folder; in a temporary
-    one only where the session names none, as in local tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="broadsheet-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder for intermediate tables."""
+    return f"{_shared(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder of our own where the session has none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-"))
+    """Sets the checkpoint folder where the session has none."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_shared(spark))

@@ -10,25 +10,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..functions import matching
+from ..functions.scalars import local_date
 from ..functions.textclean import clean_text
 from ..operators import collect, metrics
 from ..sources.tables import Store
 
 
 def collect_batch(hits: DataFrame, batch_id: int, store: Store, keywords: DataFrame) -> None:
-    """Folds one micro-batch into the stored articles. The batch's number is committed with the tables,
-    so a replayed batch changes nothing."""
+    """Folds one micro-batch into the stored articles; only new and changed articles are written. The
+    batch's number is committed with them, so a replayed batch changes nothing."""
     spark = hits.sparkSession
     done = store.manifest()
     if "batches" in done and not store.read("batches").where(F.col("batch_id") >= batch_id).isEmpty():
         return
     hits = hits.checkpoint() if spark.sparkContext.getCheckpointDir() else hits.persist()
-    news = store.read("news")
+    news = store.read("news", "url_hash")
     folded = collect.fold(hits, keywords, news, store.read("excluded"))
     merged = collect.merge_keywords(folded, news)
     new = collect.new_articles(folded, merged).select(*news.columns)
-    kept = news.drop("matched_keywords").join(merged, "url_hash").select(*news.columns)
-    store.commit(news=kept.unionByName(new), batches=spark.createDataFrame([(batch_id,)], "batch_id long"))
+    reached = folded.where("outcome = 'skipped_dup'").select("url_hash").distinct()
+    changed = news.drop("matched_keywords").join(reached, "url_hash", "left_semi").join(merged, "url_hash").select(*news.columns)
+    store.commit({"news": ("url_hash", changed.unionByName(new))}, batches=spark.createDataFrame([(batch_id,)], "batch_id long"))
 
 
 def stream_collect(hits: DataFrame, store: Store, keywords: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -40,10 +42,12 @@ def stream_dedup(hits: DataFrame, lateness: str = "1 day") -> DataFrame:
     return hits.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["url_hash"])
 
 
-def stream_daily_counts(news: DataFrame, lateness: str = "3 days") -> DataFrame:
-    """(day, count) of verified news by UTC day; late articles change old days until the watermark."""
-    counts = news.where(F.col("status") == S.VERIFIED).withWatermark("published_at", lateness).groupBy(F.window("published_at", "1 day")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(F.to_date("window.start").alias("day"), "count")
+def stream_daily_counts(news: DataFrame, lateness: str = "3 days", tz: str = S.SEOUL, day_starts: str = "15 hours") -> DataFrame:
+    """(day, count) of verified news by the days of ``tz``, which start at ``day_starts`` of UTC (a zone
+    without summer time); late articles change old days until the watermark."""
+    day = F.window("published_at", "1 day", startTime=day_starts)
+    counts = news.where(F.col("status") == S.VERIFIED).withWatermark("published_at", lateness).groupBy(day).agg(F.count(F.lit(1)).alias("count"))
+    return counts.select(local_date(F.col("window.start"), tz).alias("day"), "count")
 
 
 def stream_tagging(news: DataFrame, entities: DataFrame) -> DataFrame:

@@ -147,3 +147,29 @@ def test_missed_runs(spark):
     checks = spark.createDataFrame([(t(6, 1),), (t(6, 14),), (t(6, 16),), (t(9, 1),)], "check_at timestamp")  # Thursday; Sunday
     runs = spark.createDataFrame([(t(5, 0, 30),), (t(7, 0, 10),)], "started_at timestamp")
     assert [r.state for r in audit.missed_runs(checks, runs, dt.date(2026, 8, 3), dt.date(2026, 8, 12)).orderBy("check_at").collect()] == ["pending", "pending", "stale", "clear"]
+
+
+def test_nearest_of_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(60, 102)] + [(500, [1.0, 2.0, 0.5]), (3, [2.0, -1.0, 0.0])]
+    e = spark.createDataFrame(rows[::-1], "news_id long, vector array<float>").repartition(3)
+    top = similarity.similar_topk(e, e.where("news_id = 500"), 5).orderBy("place").collect()
+    assert [r.news_id for r in top] == [60, 61, 62, 63, 64]
+    counts = {r.news_id: (r.class_id, r.links) for r in similarity.similar_counts(e, 3).collect()}
+    assert counts[500] == (60, 0) and counts[3] == (3, 0) and len(counts) == 44
+
+
+def test_table_plan_keeps_recall_as_rows_grow():
+    import math
+
+    for rows in (10, 10**4, 10**6, 10**9):
+        tables, bits = similarity.table_plan(rows, 0.82)
+        assert rows / 2**bits <= max(similarity.MET, rows / 256) and (1 - (1 - math.acos(0.82) / math.pi) ** bits) ** tables <= 1e-4
+
+
+def test_changed_relations_replace_their_evidence(spark):
+    news = spark.createDataFrame([(i, S.VERIFIED if i != 3 else S.UNVERIFIED, f"2026-08-{d:02d} 03:00:00") for i, d in ((1, 10), (2, 11), (3, 11), (4, 1))], "id long, status string, p string").withColumn("published_at", F.col("p").cast("timestamp"))
+    bridge = spark.createDataFrame([(n, o) for n in (1, 2, 3, 4) for o in (7, 8)] + [(2, 9)], "news_id long, entity_id long")
+    old = spark.createDataFrame([(7, 8, 99), (8, 9, 98)], "org_a long, org_b long, news_id long")
+    changes = spark.createDataFrame([(8, 7, "partner", "", 1), (8, 9, "  ", "", 2)], "org_a long, org_b long, label string, description string, op_ord int")
+    got = {tuple(r) for r in graph.replace_evidence(old, changes, news, bridge, "7d", dt.date(2026, 8, 12)).collect()}
+    assert got == {(7, 8, 1), (7, 8, 2), (8, 9, 98)}
