@@ -10,6 +10,7 @@ score less 10 and counts as its UTF-8 bytes (byte fallback).
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import pandas as pd
@@ -21,10 +22,13 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units whose counts a worker remembers at a time; the others are counted again.
 REMEMBERED = 200_000
-_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Places of a long unit that are kept besides those that a piece can reach back to.
+KEPT = 1 << 16
+_NO_MATCH = (-1, None)
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def read_pieces(model_file: str = _MODEL) -> list[tuple[str, float]]:
+def read_pieces(model_file: str = MODEL) -> list[tuple[str, float]]:
     """(piece, score) of a sentencepiece model, without control, unknown, unused and byte pieces.
     A BPE vocabulary's scores are minus its merge ranks; they serve as unigram scores all the same."""
     import sentencepiece
@@ -43,6 +47,7 @@ class Counter:
         for piece, score in pieces:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=0) + 1
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         whole = any(SPACE in p.lstrip(SPACE) for p, _ in pieces)  # a piece crosses words: no units then
         lone = "" if any("\n" in p for p, _ in pieces) else "\n"
@@ -50,21 +55,27 @@ class Counter:
         self.known: dict[str, tuple[int, float]] = {}
 
     def unit(self, text: str) -> tuple[int, float]:
-        best, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
-        at, found = 0, [*self.matches.iter(text), (len(text), None)]
+        """Only the places that a piece can still reach back to are kept, however long the unit is."""
+        best, count, base = [0.0], [0], 0
+        found = self.matches.iter(text)
+        ahead = next(found, _NO_MATCH)
         for end in range(1, len(text) + 1):
             top, pieces, first, single = float("-inf"), 0, end, False
-            while found[at][0] == end - 1:
-                length, score = found[at][1]
+            while ahead[0] == end - 1:
+                length, score = ahead[1]
                 start = end - length
-                score += best[start]
+                score += best[start - base]
                 if score > top or score == top and start < first:
-                    top, pieces, first = score, count[start] + 1, start
+                    top, pieces, first = score, count[start - base] + 1, start
                 single |= length == 1
-                at += 1
-            if not single and best[end - 1] + self.unknown > top:
-                top, pieces = best[end - 1] + self.unknown, count[end - 1] + len(text[end - 1].encode())
-            best[end], count[end] = top, pieces
+                ahead = next(found, _NO_MATCH)
+            if not single and best[-1] + self.unknown > top:
+                top, pieces = best[-1] + self.unknown, count[-1] + len(text[end - 1].encode())
+            best.append(top)
+            count.append(pieces)
+            if len(best) > KEPT + self.longest:
+                base += len(best) - self.longest
+                del best[: -self.longest], count[: -self.longest]
         return count[-1], best[-1]
 
     def text(self, text: str) -> tuple[int, float]:
@@ -85,23 +96,22 @@ class Counter:
         return n, total
 
 
-_counters: dict[int, Counter] = {}
+_counters: dict[str, Counter] = {}
 
 
 def count_tokens(df: DataFrame, pieces: list[tuple[str, float]], text: str = "text") -> Column:
     """struct<n_tokens long, score double> of a row's whole text; a null text counts as empty.
 
     The vocabulary is broadcast (its size is the tokenizer's); each worker builds the automaton once.
-    Sums are exact for whole-number scores, and the same at any partitioning."""
-    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    Repeated rows get equal counts, other columns are ignored, an empty table stays empty. Sums are exact for whole-number scores, and the same at any partitioning."""
+    name, shared = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(pieces)
 
     @F.pandas_udf("n_tokens long, score double")
     def count(texts: pd.Series) -> pd.DataFrame:
-        key = id(shared.value)
-        if key not in _counters:
+        if name not in _counters:
             _counters.clear()
-            _counters[key] = Counter(shared.value)
-        counter = _counters[key]
+            _counters[name] = Counter(shared.value)
+        counter = _counters[name]
         return pd.DataFrame([counter.text(t) for t in texts], columns=["n_tokens", "score"]).astype({"n_tokens": "int64", "score": "float64"})
 
     return count(F.coalesce(df[text], F.lit("")))
