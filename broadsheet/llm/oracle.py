@@ -11,6 +11,7 @@ _HOST = _LOWER.format("regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1)")
 _PATH = "regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _NODE = f"CASE WHEN contains({{0}}, '://') THEN {_LOWER.format("regexp_extract({0}, '(?s)^(.*?://[^/?#]*)', 1)")} || regexp_extract({{0}}, '(?s)^.*?://[^/?#]*([^#]*)', 1) ELSE regexp_extract({{0}}, '(?s)^([^#]*)', 1) END"
 
+# Links are resolved where they are absolute or begin with a slash; the pages hold no others, nor these.
 OP1 = f"""
 WITH RECURSIVE tags AS (
   SELECT url, unnest(list_concat(
@@ -39,6 +40,9 @@ SELECT page_id, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.for
 FROM pages LEFT JOIN ruled ON u = url LEFT JOIN classes ON node = {_NODE.format("url")}
 """
 
+#: The same with redirects from every third page to the next, a table derived from the pages.
+OP1_REDIRECTS = OP1.replace("FROM links WHERE dst IS NOT NULL)", f"FROM links WHERE dst IS NOT NULL UNION ALL SELECT {_NODE.format('p.url')}, {_NODE.format('q.url')} FROM pages p JOIN pages q ON q.page_id = p.page_id + 1 WHERE p.page_id % 3 = 0)")
+
 #: Words and verdicts of the line-frequency rules; ``{docs}`` is the table.
 LINE_VERDICTS = f"""
 SELECT row_id, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -86,12 +90,17 @@ blocks AS (
   SELECT row_id, string_agg(part, chr(10) ORDER BY pos) AS part
   FROM (SELECT *, sum(CASE WHEN len(w) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY pos) AS block FROM (SELECT *, {_TOKENS.format("part")} AS w FROM lines_)) WHERE len(w) > 0
   GROUP BY row_id, block HAVING count(*) > 1),
-units AS (SELECT row_id, part FROM lines_ UNION ALL SELECT * FROM blocks UNION ALL SELECT row_id, text FROM rows_ WHERE contains(text, chr(10))),
+sentences AS (SELECT row_id, unnest(string_split_regex(part, '[.!?][ \t]+')) AS part FROM lines_ WHERE regexp_matches(part, '[.!?][ \t]+')),
+units AS (SELECT row_id, part FROM lines_ UNION ALL SELECT * FROM blocks UNION ALL SELECT row_id, text FROM rows_ WHERE contains(text, chr(10)) UNION ALL SELECT * FROM sentences),
 bags AS (SELECT row_id, u, {_GRAMS.format("w")} AS g FROM (SELECT row_id, row_number() OVER () AS u, {_TOKENS.format("part")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 100000),
 scored AS (
-  SELECT row_id, u, license, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice
+  SELECT row_id, u, license, len(t.g) AS size, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice
   FROM bags b JOIN templates t ON len(b.g) * 2 <= len(t.g) * 3 AND len(t.g) * 2 <= len(b.g) * 3),
-best AS (SELECT row_id, count(DISTINCT u) AS units, max(dice) AS dice, arg_min(license, (-dice, license)) AS license FROM scored WHERE dice >= 0.8 GROUP BY row_id)
+nearest AS (SELECT row_id, u, max(dice) AS dice, arg_min(size, (-dice, -size, license)) AS size, arg_min(license, (-dice, -size, license)) AS license FROM scored WHERE dice >= 0.8 GROUP BY row_id, u),
+matched AS (SELECT *, max(dice) OVER (PARTITION BY row_id) AS top FROM nearest),
+best AS (
+  SELECT row_id, count(DISTINCT u) AS units, arg_min(dice, (-size, -dice, license)) FILTER (dice >= top - 0.05) AS dice, arg_min(license, (-size, -dice, license)) FILTER (dice >= top - 0.05) AS license
+  FROM matched GROUP BY row_id)
 SELECT doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, CAST(coalesce(units, 0) AS INTEGER) AS units FROM rows_ LEFT JOIN best USING (row_id)
 """
 
@@ -157,4 +166,4 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0
 FROM d LEFT JOIN sums USING (row_id) LEFT JOIN kept USING (row_id)
 """
 
-ORACLE_SQL = {"op2_jump_sharding": OP2, "op4_spaced_seed_decontamination": OP4, "op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}
+ORACLE_SQL = {"redirect_classes": OP1_REDIRECTS, "op2_jump_sharding": OP2, "op4_spaced_seed_decontamination": OP4, "op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}

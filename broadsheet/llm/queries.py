@@ -13,14 +13,22 @@ def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's operator with a table of redirects, from every third page to the next."""
+    pages = table(spark, sf_dir, "pages")
+    target = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
+    edges = pages.where("page_id % 3 = 0").join(target, "page_id").select(F.col("url").alias("src"), "dst")
+    return url_filter.judge_urls(pages, edges)
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_slots(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_viterbi_token_counts(spark: SparkSession, sf_dir: str, model_file: str = token_counts.MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.select("doc_id", token_counts.count_tokens(docs, token_counts.read_pieces()).alias("t"))
+    counted = docs.select("doc_id", token_counts.count_tokens(docs, token_counts.read_pieces(model_file)).alias("t"))
     return counted.select("doc_id", "t.n_tokens", "t.score")
 
 
@@ -62,4 +70,4 @@ def op10_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix)}
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix, redirect_classes)}

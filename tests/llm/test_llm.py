@@ -74,6 +74,28 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0 and url_filter.judge_urls(df).count() == len(pages)
 
 
+def test_links_of_pages(spark):
+    from urllib.parse import urljoin
+
+    links = ["page2", "./x", "../x", "../../../y", "?a=b", "#z", "/q/./r/../s", "//o.org/z", "http://k/l", "d/", "..", ".", "o'brien.html"]
+    cases = [(b, x) for b in ("http://h.com/a/b/c?x=1#f", "http://h.com", "http://h.com?q") for x in links]
+    got = spark.createDataFrame(cases, "b string, l string").select("b", "l", url_filter._absolute(F.col("b"), F.col("l")).alias("u")).collect()
+    assert [r.u for r in got if r.l not in ("?a=b", "#z", "..", ".") or r.b.count("/") > 3] == [urljoin(r.b, r.l) for r in got if r.l not in ("?a=b", "#z", "..", ".") or r.b.count("/") > 3]
+    pages = [
+        ("http://h.com/d/1", """<link href="http://h/o'brien" rel='canonical'>""", "http://h/o'brien"), ("http://h.com/d/2", """<base href='/e/'><link rel="alternate canonical" href=x.html>""", "http://h.com/e/x.html"),
+        ("http://h.com/d/3", """<meta http-equiv="Refresh" content="0; URL='../k?a=1&amp;b=2'">""", "http://h.com/k?a=1&b=2"), ("http://h.com/d/4", "<link rel=stylesheet href=y.css><meta name=refresh content='url=z'>", None), ("http://h.com/d/5", "<link data-rel=canonical rel=next href=n>" + "<p>" * 50_000, None),
+    ]
+    found = url_filter.page_links(spark.createDataFrame([p[:2] for p in pages], "url string, html string")).collect()
+    assert {r.src: r.dst for r in found} == {p[0]: p[2] for p in pages if p[2]}
+
+
+def test_a_hot_class_of_aliases(spark):
+    pages = spark.createDataFrame([(i, f"http://m{i}.net/", "") for i in range(300)] + [(900 + i, None, None) for i in range(50)], "page_id long, url string, html string")
+    edges = spark.createDataFrame([(f"http://m{i}.net/", "http://x.com/de/hub") for i in range(0, 300, 2)], "src string, dst string")
+    got = {r.page_id: (r.verdict, r.alias_class) for r in url_filter.judge_urls(pages, edges).collect()}
+    assert len(got) == 350 and all(got[i] == (("block", "http://m0.net/") if i % 2 == 0 else ("allow", None)) for i in range(300)) and got[900] == ("allow", None)
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.concatenate((np.arange(5000), [-1, 2**62]))
     def plain(key, n):
@@ -135,6 +157,23 @@ def test_token_counts_against_brute_force(spark):
     assert all(got[i] == best(t) for i, t in enumerate(texts)) and got[None] == got[999] == (0, 0.0)
 
 
+def test_token_counts_of_long_units_and_odd_tables(spark, rows, monkeypatch):
+    pieces = token_counts.read_pieces()
+    whole = token_counts.Counter(pieces)
+    texts = ["".join(random.Random(s).choice("abcdefghij") for _ in range(3000)) for s in range(3)]
+    want = [whole.text(t) for t in texts]
+    monkeypatch.setattr(token_counts, "KEPT", 50)
+    assert [token_counts.Counter(pieces).text(t) for t in texts] == want
+    tracemalloc.start()
+    token_counts.Counter(pieces).unit("ab" * 300_000)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    df = docs(spark, [*rows[:20], *rows[:20], (77, None, "a")])
+    got = df.select("doc_id", "text", token_counts.count_tokens(df, pieces).alias("t")).collect()
+    assert len(got) == 41 and all(tuple(r.t) == whole.text(r.text or "") for r in got)
+    assert df.limit(0).select(token_counts.count_tokens(df, pieces)).count() == 0
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
@@ -296,13 +335,45 @@ def test_line_quality(spark):
 
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES[4][1]
+    of = lambda name: [x for n, x in license_scan.TEMPLATES if n == name]
+    bsd = [license_scan._BSD_GRANT, license_scan._BSD_SOURCE, license_scan._BSD_BINARY, license_scan._BSD_NAMES, license_scan._BSD_WARRANTY]
     cases = {
+        **{x: n for n, x in license_scan.TEMPLATES if x not in bsd and not n.startswith("BSD")},
+        "Copyright 2020 Foo Inc. Released under the MIT License.": "MIT", "See below.\n\n" + "\n".join([*bsd[:3], bsd[4]]): "BSD-2-Clause", "See below.\n\n" + "\n".join(bsd): "BSD-3-Clause",
+        "(c) me\n\n" + of("AGPL-3.0-or-later")[0].replace("Affero ", "Affero\n"): "AGPL-3.0-or-later",
         "Released under the MIT License.": "MIT", "x\nThis work is licensed under the GNU General Public License, version 3.\ny": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
         "prose " * 50: None, "": None, mit.replace(", ", ",\n").replace("Software", "software"): "MIT", "Released under the terms of another license.": None,
     }
     df = docs(spark, [(i, t, "s") for i, t in enumerate(cases)] + [(99, None, "s")])
     got = {r.doc_id: r.l for r in df.select("doc_id", license_scan.scan_licenses(df["text"]).alias("l")).collect()}
     assert [got[i].license for i in range(len(cases))] == list(cases.values()) and got[99].license is None and got[0].dice == 1.0
+    assert df.limit(0).select(license_scan.scan_licenses(df["text"])).count() == 0
+
+
+def test_license_dice_against_brute_force():
+    import re
+
+    rng, words = random.Random(3), "licensed under the mit apache license version 2 0 of foo released".split()
+    templates = [("A", "licensed under the apache license version 2 0"), ("B", "released under the mit license"), ("C", "licensed under the mit license version 2 of the foo")]
+    scanner = license_scan.Scanner(templates)
+    grams = lambda x: {tuple(w) for w in zip(*(re.findall(r"[a-z0-9]+", x.lower())[k:] for k in (0, 1)))}
+    hits = 0
+    for _ in range(3000):
+        parts = [[w if rng.random() < 0.9 else rng.choice(words) for w in rng.choice(templates)[1].split()] for _ in range(rng.randrange(1, 4))]
+        text = rng.choice([". ", "\n", "\n\n", " x. y\n"]).join(" ".join(p) for p in parts)
+        lines = text.split("\n")
+        units = lines + [s for x in lines for s in re.split(r"[.!?][ \t]+", x) if len(re.split(r"[.!?][ \t]+", x)) > 1] + [b for b in (x.strip("\n") for x in re.split(r"\n(?:[ \t.]*\n)+", text)) if "\n" in b] + ([text] if len(lines) > 1 else [])
+        dice = [max((2 * len(grams(u) & grams(b)) / (len(grams(u)) + len(grams(b))), n) for n, b in templates) for u in units if grams(u)]
+        found = [d for d in dice if d[0] >= 0.8]
+        name, value, _ = scanner.text(text)
+        hits += bool(found)
+        assert (name is not None) == bool(found) and (not found or max(found)[0] - license_scan.NEAR <= value <= max(found)[0])
+    assert hits > 100
+
+
+def test_long_license_text():
+    name, _, units = license_scan.Scanner().text("many plain words. " * 200_000 + "Released under the MIT License.")
+    assert (name, units) == ("MIT", 1)
 
 
 def plain_print(text, n):
