@@ -400,13 +400,14 @@ def similar_sets(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
     same = prints.join(least, "fp").select(F.col("sig").alias("x"), F.col("least_sig").alias("y"))
     near = near.select("x", "y").union(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     tried = written(near.union(_stars(contested.withColumn("class", F.col("sig")))).distinct())
-    edges = _alike(tried, nodes, rows, words)
+    classes = components(_alike(tried, nodes, rows, words))
     for next_pairs in (lambda m: _stars(m, F.max), _pairs):
-        classes = components(edges)
         members = contested.join(classes, F.col("sig") == F.col("node"), "left").select("key", "sig", "at", F.coalesce("component", "sig").alias("class"))
         rest = written(next_pairs(members).join(tried, ["a", "b"], "left_anti"))
-        edges, tried = edges.union(_alike(rest, nodes, rows, words)), tried.union(rest)
-    return components(edges)
+        # Classes are stars already, so few rounds join them by the new links.
+        stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes, tried = components(stars.union(_alike(rest, nodes, rows, words))), tried.union(rest)
+    return classes
 
 
 def keep_one(df: DataFrame, words: int = 5, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
