@@ -16,6 +16,8 @@ from .common import WORD, fresh, split_rank
 
 #: The knapsack's budget in words; the gap is brought below it before.
 KNAPSACK_WORDS = 16384
+#: Documents of each length, of those taken, that the knapsack may give back.
+OPEN = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -58,6 +60,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         extra = min(int(counts[i] - take[i]), (gap - KNAPSACK_WORDS + int(lengths[i]) - 1) // int(lengths[i]), gap // int(lengths[i]))
         take[i] += extra
         gap -= extra * int(lengths[i])
+    for i in order[::-1]:  # some of what is taken is open again, so that the knapsack has a choice at every length
+        free = max(0, min(int(take[i]), OPEN, (KNAPSACK_WORDS - gap) // int(lengths[i])))
+        take[i] -= free
+        gap += free * int(lengths[i])
     left = counts - take
     mask, reach, steps = (1 << (min(gap, KNAPSACK_WORDS) + 1)) - 1, 1, []
     goal = min(gap, KNAPSACK_WORDS)

@@ -548,6 +548,10 @@ def test_fit_budget():
         budget = rng.randrange(0, int((lengths * counts).sum()) + 5)
         take = mixing.fit_budget(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all() and (lengths * take).sum() <= budget
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        assert (lengths * take).sum() == max(s for s in sums if s <= budget)  # the true optimum
         spare = counts - take
         assert not (spare > 0).any() or budget - (lengths * take).sum() < lengths[spare > 0].min()
     assert (mixing.fit_budget(np.array([3, 50_000]), np.array([10**6, 2]), 10**6) * np.array([3, 50_000])).sum() > 10**6 - 3
