@@ -61,8 +61,7 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, words = suffix_tree_lm.train(docs.where(~suffix_tree_lm.held_out()))
-    scored = suffix_tree_lm.score(docs, tree, words)
+    scored = suffix_tree_lm.suffix_tree_scores(docs, ~suffix_tree_lm.held_out())
     return scored.select("doc_id", suffix_tree_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,34 +1,44 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are words lower-cased in ASCII and one end per text. The root's distribution is the add-half
-unigram one, over every word seen in training. Contexts of one and two words are candidates if their
-share of all training tokens is at least ``least_share``; one is retained if its next-symbol
-distribution diverges from that of its suffix by more than its description costs, and with it its
-suffixes. A state's distribution is its own counts, smoothed towards its suffix's distribution.
-Scoring takes the longest suffix of the history that is a state.
-
-There are at most 1 / least_share contexts, and as many next symbols, of a length: that is the proven
-bound of what is broadcast. The counts of all other words, which grow with the corpus, stay distributed.
+unigram one, over every word seen in training. A context of one to ``depth`` words is a state if it was
+seen ``least`` times in training and if its next-symbol distribution diverges from that of its suffix by
+more than its description costs. A state's distribution is its own counts, smoothed towards that of its
+longest suffix that is a state, or of the root. Scoring takes the longest suffix of the history that is
+a state. ``least`` and the test are the same at every size, so the tree grows with the corpus.
+
+The tree is never held in one place. Documents are packed into chunks of some two million tokens. A
+chunk asks for its distinct grams, of one to ``depth + 1`` words, with its own training counts; the asks
+meet by ranges of the grams' hashes, where a gram is counted once for each chunk at most, so no gram is
+hot; and the totals go back to the chunks, in the order in which they were asked. The divergence test is
+a sum over training tokens, so chunks add up their parts and meet in the same way. At last each chunk
+holds what its own documents need of the tree. Nothing is broadcast, and the driver gets three numbers.
+
+Words and grams are told apart by hashes of 53 bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 END = b" "  # no word holds a space
-#: Words counted or bytes encoded at once in a task.
-DISTINCT, CHUNK_BYTES = 400_000, 2 << 20
+#: Characters that are cut into words at once, tokens of a chunk, tokens for each range of grams.
+CHUNK_CHARS, CHUNK, RANGE = 2 << 20, 1 << 21, 1 << 20
 SMOOTHING = 5.0
+#: Grams are numbers of 56 bits, the last three of which tell the words in them.
+BITS, LENGTH = 56, 7
+ASKS = "chunk long, bucket long, n long, keys binary, counts binary"
+ANSWERS = "chunk long, bucket long, totals binary, tokens long, words long"
 
 
 def _tokens(text: str) -> list[bytes]:
@@ -37,225 +47,220 @@ def _tokens(text: str) -> list[bytes]:
     return words
 
 
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        if len(pdf):
-            part = np.cumsum(pdf.text.str.len().to_numpy()) // CHUNK_BYTES
-            yield from (x for _, x in pdf.groupby(part, sort=True))
-
-
 def _hashes(words) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words)).view(np.int64)
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The place of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def _encode(texts: pd.Series, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol of each token or -1, its word's hash, its row, its place in the row)."""
-    rows = [_tokens(t) for t in texts]
-    lengths = np.array([len(r) for r in rows])
-    words = np.empty(lengths.sum(), object)
-    words[:] = [w for r in rows for w in r]
-    codes, distinct = pd.factorize(words)
-    hashes = _hashes(distinct)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return _find(symbols, hashes)[codes], hashes[codes], row, place
-
-
-@dataclass
-class SuffixTree:
-    """The states, each list sorted by key. ``pairs`` are key p * K + w over the K symbols; a context of
-    two words is one of the pairs, and a triple's key is its pair's place times K plus w."""
-
-    train_tokens: int
-    distinct: int
-    symbols: np.ndarray  # hashes of the frequent words and the end
-    counts: np.ndarray
-    one: np.ndarray  # which symbols are states
-    one_left: np.ndarray  # what a state hands to its suffix, of its count and SMOOTHING
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    two: np.ndarray  # which pairs are states
-    two_left: np.ndarray
-    triples: np.ndarray
-    triple_counts: np.ndarray
+    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """An array's bytes, those of equal weight together, compressed."""
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
-    @property
-    def scale(self) -> float:
-        return self.train_tokens + 0.5 * (self.distinct + 1)
-
-    def ratios(self, word: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """P(word | history) over P(word | root). Symbols, -1 for another word or none."""
-        k = len(self.symbols)
-        root = (np.where(word >= 0, self.counts[word], 0) + 0.5) / self.scale
-        ratio = np.ones(len(word))
-        on = np.flatnonzero((before >= 0) & self.one[before])
-        s, w = before[on], word[on]
-        pair = _find(self.pairs, np.where(w >= 0, s * k + w, -1))
-        own = np.where(pair >= 0, self.pair_counts[pair] if len(self.pairs) else 0, 0) / root[on]
-        ratio[on] = (own + self.one_left[s]) / (self.counts[s] + SMOOTHING)
-        context = _find(self.pairs, np.where(before2[on] >= 0, before2[on] * k + s, -1))
-        deep = (context >= 0) & self.two[context] if len(self.pairs) else np.zeros(len(on), bool)
-        on, context = on[deep], context[deep]
-        w = word[on]
-        triple = _find(self.triples, np.where(w >= 0, context * k + w, -1))
-        own = np.where(triple >= 0, self.triple_counts[triple] if len(self.triples) else 0, 0) / root[on]
-        ratio[on] = (own + self.two_left[context] * ratio[on]) / (self.pair_counts[context] + SMOOTHING)
-        return ratio
-
-
-def _counted(df: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], symbols, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts keys over all training texts; those counted ``least`` times at least, sorted by key."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pdf in _chunks(frames):
-            ids, _, _, place = _encode(pdf.text, symbols.value)
-            keys, n = np.unique(keys_of(ids, place), return_counts=True)
-            held.append((keys, n))
-            size += len(keys)
-            if size > 4 * DISTINCT:
-                held = [_merged(held)]
-                yield pd.DataFrame({"key": held[0][0], "n": held[0][1]})
-                held, size = [], 0
-        if held:
-            keys, n = _merged(held)
-            yield pd.DataFrame({"key": keys, "n": n})
 
-    found = df.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pdf = found.toPandas().sort_values("key")
-    return pdf.key.to_numpy(np.int64), pdf.n.to_numpy(np.int64)
+def _unpack(body: bytes, dtype) -> np.ndarray:
+    raw, wide = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(wide, -1).T).reshape(-1).view(dtype)
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+def _pack_keys(keys: np.ndarray, start: int) -> bytes:
+    """Rising keys from ``start`` on by their distances, of five bytes each if all fit."""
+    steps = np.diff(keys, prepend=start)
+    if len(steps) and steps.max() < 1 << 40:
+        return steps.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return steps.tobytes()
 
 
-def _retained(context: np.ndarray, count: np.ndarray, suffix_p: np.ndarray, totals: np.ndarray, total_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """The divergence test. Entries (context, count of context and symbol, the symbol's probability
-    after the context's suffix) -> which of the contexts pass, and what each leaves to its suffix."""
-    n = len(totals)
-    p = count / totals[context]
-    seen, seen_suffix = np.bincount(context, p, n), np.bincount(context, suffix_p, n)
-    gain = np.bincount(context, p * np.log(p / suffix_p), n)
-    rest, rest_suffix = np.maximum(1 - seen, 1e-12), np.maximum(1 - seen_suffix, 1e-12)
-    divergence = gain + rest * np.log(rest / rest_suffix)
-    entries = np.bincount(context, minlength=n)
-    passes = (entries > 0) & (totals * divergence > 0.5 * (entries + 1) * np.log(max(total_tokens, 2)))
-    return passes, totals * (1 - seen) + SMOOTHING
+def _unpack_keys(body: bytes, n: int, start: int) -> np.ndarray:
+    wide = len(body) // n
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(body, np.uint8).reshape(n, wide)
+    return start + np.cumsum(steps.view(np.int64).reshape(-1))
 
 
-def train(df: DataFrame, least_share: float = 1e-5, text: str = "text") -> tuple[SuffixTree, DataFrame]:
-    """The tree, and (h, c): hash and count of every training word, as a written table.
+def _chunks(df: DataFrame) -> DataFrame:
+    """(key string, trains, text) -> one row for each chunk: its tokens as places in its list of word hashes."""
 
-    Null texts count as empty and so as one end each; words are told apart by a 64-bit hash."""
-    spark = df.sparkSession
-    texts = df.select(F.coalesce(df[text], F.lit("")).alias("text"))
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def chunk() -> pd.DataFrame:
+            words, ids, times = np.unique(np.concatenate([h for *_, h in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            keys = [k for ks, *_ in held for k in ks]
+            trains, lengths = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+            return pd.DataFrame({"chunk": [at], "tokens": len(ids), "keys": [keys], "trains": [_pack(trains)], "lengths": [_pack(lengths)], "words": [_pack(words[order])], "ids": [_pack(rank[ids])]})
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
         for pdf in frames:
-            for t in pdf.text:
-                seen.update(_tokens(t))
-                if len(seen) > DISTINCT:
-                    yield pd.DataFrame({"h": _hashes(seen), "c": list(seen.values())})
-                    seen.clear()
-        if seen:
-            yield pd.DataFrame({"h": _hashes(seen), "c": list(seen.values())})
-
-    words = written(texts.mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(2, int(np.ceil(total * least_share)))
-    frequent = words.where(F.col("c") >= least).toPandas().sort_values("h")
-    symbols, counts = frequent.h.to_numpy(np.int64), frequent.c.to_numpy(np.int64)
-    k, shared = len(symbols), spark.sparkContext.broadcast(symbols)
-
-    def pair_keys(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        fits = (place[1:] > 0) & (ids[:-1] >= 0) & (ids[1:] >= 0)
-        return ids[:-1][fits] * k + ids[1:][fits]
-
-    pairs, pair_counts = _counted(texts, pair_keys, shared, least)
-    known = spark.sparkContext.broadcast(pairs)
-
-    def triple_keys(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        if len(ids) < 3:
-            return np.empty(0, np.int64)
-        fits = (place[2:] > 1) & (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
-        a, b, c = ids[:-2][fits], ids[1:-1][fits], ids[2:][fits]
-        first = _find(known.value, a * k + b)
-        both = (first >= 0) & (_find(known.value, b * k + c) >= 0)  # a triple is no commoner than its pairs
-        return first[both] * k + c[both]
-
-    triples, triple_counts = _counted(texts, triple_keys, shared, least)
-
-    root = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-    one, one_left = _retained(pairs // max(k, 1), pair_counts, root[pairs % max(k, 1)], counts, total)
-    # A child's suffix: the smoothed distribution after its last word.
-    context, w = triples // max(k, 1), triples % max(k, 1)
-    last = pairs[context] % max(k, 1)
-    middle = _find(pairs, last * k + w)
-    suffix_p = (np.where(middle >= 0, pair_counts[middle], 0) + one_left[last] * root[w]) / (counts[last] + SMOOTHING)
-    two, two_left = _retained(context, triple_counts, suffix_p, pair_counts, total)
-    one[pairs[two] % max(k, 1)] = True
-    return SuffixTree(total, distinct, symbols, counts, one, one_left, pairs, pair_counts, two, two_left, triples, triple_counts), words
-
-
-def score(df: DataFrame, tree: SuffixTree, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) for each row; other columns are ignored.
-
-    ``base_score`` and ``score``: log10 probability under the root's distribution and under the tree.
-    Frequent words are scored where they stand; only the other words are shuffled, to meet their
-    counts. Repeated rows each return; null texts are one end; an empty table gives none.
+            if not len(pdf):
+                continue
+            parts = np.cumsum(pdf.text.str.len().to_numpy()) // CHUNK_CHARS
+            for _, part in pdf.groupby(parts, sort=True):
+                rows = [_tokens(t) for t in part.text]
+                words = np.empty(sum(map(len, rows)), object)
+                words[:] = [w for r in rows for w in r]
+                codes, distinct = pd.factorize(words)
+                held.append((part.key.tolist(), part.trains.to_numpy(np.uint8), np.array([len(r) for r in rows], np.int64), _hashes(distinct)[codes]))
+                size += len(words)
+                if size >= CHUNK:
+                    yield chunk()
+                    at, held, size = at + 1, [], 0
+        if held:
+            yield chunk()
+
+    return df.mapInPandas(gather, "chunk long, tokens long, keys array<string>, trains binary, lengths binary, words binary, ids binary")
+
+
+class Chunk:
+    """A chunk's tokens: ``place`` in the document, ``trains``, and for each n from 1 to depth + 1 the places
+    of tokens that end a gram of n words, and where these stand in the chunk's rising list of ``grams``."""
+
+    def __init__(self, row, depth: int):
+        self.keys = list(row["keys"])
+        self.lengths = _unpack(row["lengths"], np.int64)
+        n = self.lengths.sum()
+        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.place = np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.trains = _unpack(row["trains"], np.uint8)[self.row].astype(bool)
+        word = _unpack(row["words"], np.uint64)[_unpack(row["ids"], np.int32)]
+        self.ends, ids, so_far = [], [], np.zeros(n, np.uint64)
+        for length in range(1, depth + 2):
+            before = np.concatenate((np.zeros(1, np.uint64), so_far[:-1])) if n else so_far
+            so_far = (before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+            so_far = (so_far ^ (so_far >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            so_far[self.place < length - 1] = 0
+            self.ends.append(np.flatnonzero(self.place >= length - 1))
+            ids.append((so_far[self.ends[-1]] >> np.uint64(64 - BITS)).view(np.int64) & ~LENGTH | length)
+        self.grams, at = np.unique(np.concatenate(ids), return_inverse=True)
+        self.at = np.split(at, np.cumsum([len(x) for x in ids])[:-1])
+
+    def contexts(self, totals: np.ndarray, least: int) -> np.ndarray:
+        """The grams that may be states, where they stand in ``grams``."""
+        return np.flatnonzero((self.grams & LENGTH < self.grams_most) & (totals >= least))
+
+    @property
+    def grams_most(self) -> int:
+        return len(self.ends)
+
+    def steps(self, totals: np.ndarray, root: np.ndarray, states: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """From contexts of one word up: (tokens after one of the ``states``, the state, the count of both, the
+        token's probability before). ``root`` comes to hold the probabilities after the longest state."""
+        for n in range(1, self.grams_most):
+            context = np.full(len(self.place), -1)
+            context[self.ends[n - 1]] = self.at[n - 1]
+            tokens, gram = self.ends[n], self.at[n]
+            context = context[tokens - 1]
+            on = states[context]
+            tokens, context, count = tokens[on], context[on], totals[gram[on]]
+            yield tokens, context, count, root[tokens]
+            root[tokens] = (count + SMOOTHING * root[tokens]) / (totals[context] + SMOOTHING)
+
+    def root(self, totals: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
+        return (totals[self.at[0]] + 0.5) / (tokens + 0.5 * (distinct + 1))
+
+
+def _ranges(grams: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of the ranges of ``width`` that hold some of the rising grams."""
+    bucket = grams // width
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    yield from zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(grams)])
+
+
+def _met(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A range's distinct grams, where each ask's grams stand in them, and where asks end."""
+    keys = [_unpack_keys(k, n, b * width) for k, n, b in zip(pdf["keys"], pdf.n, pdf.bucket)]
+    grams, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return grams, at, np.cumsum(pdf.n.to_numpy())[:-1]
+
+
+def suffix_tree_scores(df: DataFrame, trains: Column, depth: int = 2, least: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) for each row, learnt from those where ``trains``.
+
+    ``base_score`` and ``score``: log10 probability under the root's distribution and under the tree;
+    ``n_known``: tokens whose word training rows hold. Repeated rows each count and return; null texts count
+    as empty, and so as one end; null keys return as such; rows where ``trains`` is null aren't learnt from;
+    without training rows both scores are the root's; an empty table gives none; other columns are ignored.
+    ``depth`` is from 1 to 6.
     """
-    shared = df.sparkSession.sparkContext.broadcast(tree)
-    rows = df.select(df[key].cast("string").alias("key"), F.xxhash64(key, text).alias("row"), F.coalesce(df[text], F.lit("")).alias("text"))
-
-    def figures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _chunks(frames):
-            t = shared.value
-            ids, hashes, row, place = _encode(pdf.text, t.symbols)
-            before, before2 = np.full(len(ids), -1), np.full(len(ids), -1)
-            before[1:], before2[2:] = ids[:-1], ids[:-2]
-            before[place < 1], before2[place < 2] = -1, -1
-            known, n = ids >= 0, len(pdf)
-            base = np.where(known, np.log10((t.counts[ids] + 0.5) / t.scale) if len(t.counts) else 0.0, 0.0)
-            change = np.log10(t.ratios(ids, before, before2)) if len(t.counts) else np.zeros(len(ids))
-            rare_row, rare = row[~known], hashes[~known]
-            cuts = np.searchsorted(rare_row, np.arange(1, n))
-            yield pd.DataFrame(
-                {
-                    "key": pdf.key.to_numpy(), "row": pdf.row.to_numpy(), "n_tokens": np.bincount(row, minlength=n), "n_known": np.bincount(row, known, n).astype(np.int64),
-                    "base": np.bincount(row, base, n), "change": np.bincount(row, change, n), "rare": np.split(rare, cuts),
-                }
-            )
-
-    scored = rows.mapInPandas(figures, "key string, row long, n_tokens long, n_known long, base double, change double, rare array<long>")
-    # One element for the row itself, and one for each other word; all of a row's meet again by ``row``.
-    itself = F.struct(F.col("row").alias("h"), F.struct("key", "n_tokens", "n_known", "base", "change").alias("doc"))
-    others = F.transform("rare", lambda h: F.struct(h.alias("h"), F.lit(None).cast("struct<key:string,n_tokens:bigint,n_known:bigint,base:double,change:double>").alias("doc")))
-    parts = scored.select("row", F.inline(F.concat(F.array(itself), others)))
-    joined = parts.join(words, "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    mine = F.col("doc").isNotNull()
-    met = joined.select("row", "doc", F.when(mine, 0.0).otherwise(F.log10((c + 0.5) / tree.scale)).alias("base"), F.when(mine, 0).otherwise((c > 0).cast("int")).alias("known"))
-    by_row = met.groupBy("row").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("base").alias("base"), F.sum("known").alias("known"), F.count("doc").alias("times"))
-    base = F.col("doc.base") + F.col("base") / F.col("times")
-    out = by_row.select(
-        F.col("doc.key").cast(df.schema[key].dataType).alias(key), "doc.n_tokens", (F.col("doc.n_known") + (F.col("known") / F.col("times")).cast("long")).alias("n_known"), F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("doc.change")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_time"),
-    )
-    return out.drop("_time")
-
-
-def held_out(key: str = "doc_id"):
+    if not 1 <= depth <= 6:
+        raise ValueError("depth is from 1 to 6")
+    texts = df.select(F.col(key).cast("string").alias("key"), F.coalesce(trains, F.lit(False)).alias("trains"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chunks = written(_chunks(texts))
+    total = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    buckets = 1 + int(total) // RANGE
+    width = (1 << BITS) // buckets + 1
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for _, row in pdf.iterrows():
+                c = Chunk(row, depth)
+                learnt = np.concatenate([c.trains[e] for e in c.ends])
+                counts = np.bincount(np.concatenate(c.at), learnt, len(c.grams)).astype(np.int32)
+                parts = [(row["chunk"], b, e - s, _pack_keys(c.grams[s:e], b * width), _pack(counts[s:e])) for b, s, e in _ranges(c.grams, width)]
+                yield pd.DataFrame(parts, columns=["chunk", "bucket", "n", "keys", "counts"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams, at, cuts = _met(pdf, width)
+        totals = np.bincount(at, np.concatenate([_unpack(c, np.int32) for c in pdf.counts]), len(grams)).astype(np.int64)
+        single = totals[grams & LENGTH == 1]
+        out = pd.DataFrame({"chunk": pdf.chunk, "bucket": pdf.bucket, "totals": [_pack(x) for x in np.split(totals[at], cuts)], "tokens": 0, "words": 0})
+        out.loc[out.index[0], ["tokens", "words"]] = int(single.sum()), int((single > 0).sum())
+        return out
+
+    slim = chunks.drop("tokens")
+    answers = written(slim.mapInPandas(ask, ASKS).groupBy("bucket").applyInPandas(answer, ANSWERS))
+    tokens, distinct = (int(x) for x in answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
+    answers = answers.select("chunk", "bucket", "totals")
+
+    def totals_of(told: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([_unpack(t, np.int64) for t in told.totals])
+
+    def parts_of_test(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """What the chunk's training tokens gain by each context, and its share of the context's next symbols."""
+        c, totals = Chunk(chunk.iloc[0], depth), totals_of(told.sort_values("bucket"))
+        may = c.contexts(totals, least)
+        states = np.zeros(len(totals), bool)
+        states[may] = True
+        gain, entries = np.zeros(len(totals)), np.zeros(len(totals))
+        for at, context, count, before in c.steps(totals, c.root(totals, tokens, distinct), states):
+            on = c.trains[at]
+            gain += np.bincount(context[on], np.log(count[on] / totals[context[on]] / before[on]), len(totals))
+            entries += np.bincount(context[on], 1 / count[on], len(totals))
+        grams, sums = c.grams[may], np.stack([gain[may], entries[may]], 1).astype(np.float32)
+        parts = [(chunk.chunk.iloc[0], b, e - s, _pack_keys(grams[s:e], b * width), _pack(sums[s:e].reshape(-1))) for b, s, e in _ranges(grams, width)]
+        return pd.DataFrame(parts, columns=["chunk", "bucket", "n", "keys", "counts"])
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        grams, at, cuts = _met(pdf, width)
+        sums = np.concatenate([_unpack(c, np.float32) for c in pdf.counts]).reshape(-1, 2).astype(float)
+        gain, entries = (np.bincount(at, sums[:, i], len(grams)) for i in (0, 1))
+        passes = gain > 0.5 * (entries + 1) * np.log(max(tokens, 2))
+        return pd.DataFrame({"chunk": pdf.chunk, "bucket": pdf.bucket, "states": [_pack(x.astype(np.uint8)) for x in np.split(passes[at], cuts)]})
+
+    parts = slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(parts_of_test, ASKS)
+    states = written(parts.groupBy("bucket").applyInPandas(test, "chunk long, bucket long, states binary"))
+
+    def scores(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("bucket")
+        c, totals = Chunk(chunk.iloc[0], depth), totals_of(told)
+        passes = [_unpack(s, np.uint8) for s in told.states if s is not None]
+        states = np.zeros(len(totals), bool)
+        if passes:
+            states[c.contexts(totals, least)] = np.concatenate(passes).astype(bool)
+        p, n = c.root(totals, tokens, distinct), len(c.lengths)
+        base = np.bincount(c.row, np.log10(p), n)
+        for _ in c.steps(totals, p, states):
+            pass
+        known = np.bincount(c.row, totals[c.at[0]] > 0, n).astype(np.int64)
+        return pd.DataFrame({"key": c.keys, "n_tokens": c.lengths, "n_known": known, "train_tokens": tokens, "base_score": base, "score": np.bincount(c.row, np.log10(p), n)})
+
+    told = answers.join(states, ["chunk", "bucket"], "left")
+    out = slim.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scores, "key string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumn("key", F.col("key").cast(df.schema[key].dataType)).withColumnRenamed("key", key)
+
+
+def held_out(key: str = "doc_id") -> Column:
     """Whether a row is kept from training: crc32 of its key as text, mod 5, is 1 (a null key's is not)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 1

@@ -483,44 +483,81 @@ def test_links_are_complete_with_more_blocks(spark, monkeypatch, crowded, budget
     assert (simhash.least_labels(len(v), *np.array(e).T) == simhash.least_labels(len(v), a, b)).all()
 
 
-def test_language_model(spark):
+def brute_tree(rows, depth, least):
+    """Scores by plain dictionaries: (n_tokens, n_known, base, score) of each text, the training tokens and the states."""
+    toks = lambda t: (t or "").encode().lower().split() + [b" "]
+    seen, texts = Counter(), [toks(t) for _, t, _ in rows]
+    for (i, *_), t in zip(rows, texts):
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
+            seen.update(tuple(t[a : a + n]) for n in range(1, depth + 2) for a in range(len(t) - n + 1))
+    total = sum(c for g, c in seen.items() if len(g) == 1)
+    distinct = sum(len(g) == 1 for g in seen)
+    root = lambda w: (seen[w,] + 0.5) / (total + 0.5 * (distinct + 1))
+    after = {}
+    for g in seen:
+        after.setdefault(g[:-1], []).append(g[-1])
+
+    def plain(s, w):
+        return (seen[*s, w] + 5 * plain(s[1:], w)) / (seen[s] + 5) if s else root(w)
+
+    def passes(s):
+        gain = sum(seen[*s, w] * math.log(seen[*s, w] / seen[s] / plain(s[1:], w)) for w in after[s])
+        return gain > 0.5 * (len(after[s]) + 1) * math.log(total)
+
+    states = {s for s in after if s and seen[s] >= least and passes(s)}
+
+    def p(history, w):
+        own = root(w)
+        for n in range(1, depth + 1):
+            s = tuple(history[-n:])
+            if len(s) == n and s in states:
+                own = (seen[*s, w] + 5 * own) / (seen[s] + 5)
+        return own
+
+    words = {g[0] for g in seen if len(g) == 1}
+    for s in states:  # the probabilities of all words, and of one for all that were never seen, add up to one
+        assert sum(p(s, w) for w in [*words, b"never"]) == pytest.approx(1.0)
+    out = [(len(t), sum(seen[w,] > 0 for w in t), sum(math.log10(root(w)) for w in t), sum(math.log10(p(t[:i], w)) for i, w in enumerate(t))) for t in texts]
+    return out, total, states
+
+
+@pytest.mark.parametrize("depth, least, chunk", [(1, 5, 1 << 21), (2, 5, 1 << 21), (3, 3, 300)])
+def test_language_model(spark, monkeypatch, depth, least, chunk):
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK_CHARS", 20 * chunk)
+    monkeypatch.setattr(suffix_tree_lm, "RANGE", max(700, chunk >> 2))
     rng, rows = random.Random(5), []
     for i in range(400):
         w = ["start"]
-        while len(w) < 40:
-            w.append({"start": "alpha", "alpha": "beta", "beta": rng.choice(["gamma", "delta"]), "gamma": "start"}.get(w[-1], rng.choice(["start", f"rare{rng.randrange(300)}"])))
+        while len(w) < 40:  # a word depends on one to three words before it
+            free = rng.choice(["start", "alpha", "gamma", f"rare{rng.randrange(300)}"])
+            w.append({"start": "alpha", "alpha": "beta", "gamma": "beta", "beta": "delta" if rng.random() < 0.5 else {"alpha": "gamma", "gamma": "start"}.get(w[-2], free) if len(w) > 1 else free, "delta": {"alpha": "omega", "gamma": "start"}.get(w[-3] if len(w) > 2 else "", free)}.get(w[-1], free))
         rows.append((i, " ".join(w).title(), "s"))
-    rows += [(1000, None, "s"), (1001, "", "s"), (7, rows[7][1], "s"), (None, "Start alpha", "s")]
-    df = docs(spark, rows)
-    out = suffix_tree_lm.held_out()
-    tree, words = suffix_tree_lm.train(df.where(~out), 2e-3)
-    got = suffix_tree_lm.score(df, tree, words).withColumn("out", out).collect()
-    count = Counter()
-    toks = lambda t: (t or "").encode().lower().split() + [b" "]
-    for i, t, _ in rows:
-        if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1:
-            count.update(toks(t))
-    n, v = sum(count.values()), len(count)
-    text = {i: t for i, t, _ in rows}
-    assert len(got) == len(rows) and Counter(str(r.doc_id) for r in got)["7"] == 2
-    for r in got:
-        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks(text[r.doc_id]))
-        assert r.base_score == pytest.approx(base) and r.train_tokens == n and r.n_tokens == len(toks(text[r.doc_id])) and r.n_known == sum(count[w] > 0 for w in toks(text[r.doc_id]))
-        assert r.out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 1)
-    held = [r for r in got if r.out]
-    assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held) and tree.one.any() and tree.two.any()
-    # In any state the probabilities of all words, seen or not, add up to one.
-    k = len(tree.symbols)
-    root = np.concatenate(((tree.counts + 0.5) / tree.scale, [0.0]))
-    root[-1] = 1 - root[:-1].sum()
-    for before in range(k):
-        for before2 in (-1, *range(k)):
-            w = np.concatenate((np.arange(k), [-1]))
-            p = tree.ratios(w, np.full(k + 1, before), np.full(k + 1, before2)) * root
-            assert p.sum() == pytest.approx(1.0)
-    empty, none = suffix_tree_lm.train(df.limit(0))
-    assert all(r.n_known == 0 and r.score == r.base_score for r in suffix_tree_lm.score(df, empty, none).collect())
-    assert suffix_tree_lm.score(df.limit(0), tree, words).count() == 0
+    rows += [(1000, None, "s"), (1001, "", "s"), (7, rows[7][1], "s"), (None, "Start alpha", "s"), (1002, "\u00fcn\u00ef\u2003x alpha", None), (1003, "start alpha beta " * 20_000, "s")]
+    df, out = docs(spark, rows), suffix_tree_lm.held_out()
+    got = suffix_tree_lm.suffix_tree_scores(df, ~out, depth, least).withColumn("out", out).collect()
+    want, total, states = brute_tree(rows, depth, least)
+    assert {len(s) for s in states} == set(range(1, depth + 1))
+    mine = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
+    theirs = sorted((str(i), *x) for (i, *_), x in zip(rows, want))
+    assert [x[:3] for x in mine] == [x[:3] for x in theirs] and all(r.train_tokens == total for r in got)
+    np.testing.assert_allclose([x[3:] for x in mine], [x[3:] for x in theirs], rtol=1e-9)
+    assert all(r.out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 1) for r in got)
+    held = [r for r in got if r.out and r.doc_id is not None and r.doc_id < 400]  # drawn as the training texts were
+    assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+
+
+def test_language_model_without_rows(spark):
+    df = docs(spark, [(1, "a b a b", "s"), (None, None, "s")])
+    got = suffix_tree_lm.suffix_tree_scores(df, F.lit(False)).collect()
+    assert len(got) == 2 and all(r.n_known == r.train_tokens == 0 and r.score == r.base_score for r in got)
+    assert suffix_tree_lm.suffix_tree_scores(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_keys_of_grams_round_trip():
+    for keys in ([5], [7, 8, 1 << 39], [7, 1 << 50, (1 << 56) - 1]):
+        keys = np.array(keys)
+        assert (suffix_tree_lm._unpack_keys(suffix_tree_lm._pack_keys(keys, 3), len(keys), 3) == keys).all()
 
 
 def test_targets(spark):
