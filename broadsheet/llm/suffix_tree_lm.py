@@ -7,7 +7,7 @@ more than its description costs. A state's distribution is its own counts, smoot
 longest suffix that is a state, or of the root. Scoring takes the longest suffix of the history that is
 a state. ``least`` and the test are the same at every size, so the tree grows with the corpus.
 
-The tree is never held in one place. Documents are packed into chunks of some two million tokens. A
+The tree is never held in one place. Documents are packed into chunks of some million tokens. A
 chunk asks for its distinct grams, of one to ``depth + 1`` words, with its own training counts; the asks
 meet by ranges of the grams' hashes, where a gram is counted once for each chunk at most, so no gram is
 hot; and the totals go back to the chunks, in the order in which they were asked. The divergence test is
@@ -33,7 +33,7 @@ from .common import written
 
 END = b" "  # no word holds a space
 #: Characters that are cut into words at once, tokens of a chunk, tokens for each range of grams.
-CHUNK_CHARS, CHUNK, RANGE = 2 << 20, 1 << 21, 1 << 20
+CHUNK_CHARS, CHUNK, RANGE = 2 << 20, 1 << 20, 1 << 20
 SMOOTHING = 5.0
 #: Grams are numbers of 56 bits, the last three of which tell the words in them.
 BITS, LENGTH = 56, 7
@@ -63,18 +63,14 @@ def _unpack(body: bytes, dtype) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray, start: int) -> bytes:
-    """Rising keys from ``start`` on by their distances, of five bytes each if all fit."""
+    """Rising keys from ``start`` on by their distances: the lower four bytes plain, the others compressed."""
     steps = np.diff(keys, prepend=start)
-    if len(steps) and steps.max() < 1 << 40:
-        return steps.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    return steps.tobytes()
+    return steps.astype(np.uint32).tobytes() + _pack((steps >> 32).astype(np.int32))
 
 
 def _unpack_keys(body: bytes, n: int, start: int) -> np.ndarray:
-    wide = len(body) // n
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :wide] = np.frombuffer(body, np.uint8).reshape(n, wide)
-    return start + np.cumsum(steps.view(np.int64).reshape(-1))
+    steps = _unpack(body[4 * n :], np.int32).astype(np.int64) << 32 | np.frombuffer(body, np.uint32, n)
+    return start + np.cumsum(steps)
 
 
 def _chunks(df: DataFrame) -> DataFrame:
@@ -112,6 +108,18 @@ def _chunks(df: DataFrame) -> DataFrame:
     return df.mapInPandas(gather, "chunk long, tokens long, keys array<string>, trains binary, lengths binary, words binary, ids binary")
 
 
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of the parts, rising, and where each number stands among them. Empties the list."""
+    x = np.concatenate(parts)
+    parts.clear()
+    order = np.argsort(x).astype(np.int32)
+    x = x[order]
+    first = np.diff(x, prepend=-1) > 0
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - 1
+    return x[first], at
+
+
 class Chunk:
     """A chunk's tokens: ``place`` in the document, ``trains``, and for each n from 1 to depth + 1 the places
     of tokens that end a gram of n words, and where these stand in the chunk's rising list of ``grams``."""
@@ -120,8 +128,8 @@ class Chunk:
         self.keys = list(row["keys"])
         self.lengths = _unpack(row["lengths"], np.int64)
         n = self.lengths.sum()
-        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.row = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        self.place = (np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)).astype(np.int32)
         self.trains = _unpack(row["trains"], np.uint8)[self.row].astype(bool)
         word = _unpack(row["words"], np.uint64)[_unpack(row["ids"], np.int32)]
         self.ends, ids, so_far = [], [], np.zeros(n, np.uint64)
@@ -130,10 +138,11 @@ class Chunk:
             so_far = (before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
             so_far = (so_far ^ (so_far >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             so_far[self.place < length - 1] = 0
-            self.ends.append(np.flatnonzero(self.place >= length - 1))
+            self.ends.append(np.flatnonzero(self.place >= length - 1).astype(np.int32))
             ids.append((so_far[self.ends[-1]] >> np.uint64(64 - BITS)).view(np.int64) & ~LENGTH | length)
-        self.grams, at = np.unique(np.concatenate(ids), return_inverse=True)
-        self.at = np.split(at, np.cumsum([len(x) for x in ids])[:-1])
+        cuts = np.cumsum([len(x) for x in ids])[:-1]
+        self.grams, at = _distinct(ids)
+        self.at = np.split(at, cuts)
 
     def contexts(self, totals: np.ndarray, least: int) -> np.ndarray:
         """The grams that may be states, where they stand in ``grams``."""
@@ -147,7 +156,7 @@ class Chunk:
         """From contexts of one word up: (tokens after one of the ``states``, the state, the count of both, the
         token's probability before). ``root`` comes to hold the probabilities after the longest state."""
         for n in range(1, self.grams_most):
-            context = np.full(len(self.place), -1)
+            context = np.full(len(self.place), -1, np.int32)
             context[self.ends[n - 1]] = self.at[n - 1]
             tokens, gram = self.ends[n], self.at[n]
             context = context[tokens - 1]
@@ -170,7 +179,7 @@ def _ranges(grams: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
 def _met(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A range's distinct grams, where each ask's grams stand in them, and where asks end."""
     keys = [_unpack_keys(k, n, b * width) for k, n, b in zip(pdf["keys"], pdf.n, pdf.bucket)]
-    grams, at = np.unique(np.concatenate(keys), return_inverse=True)
+    grams, at = _distinct(keys)
     return grams, at, np.cumsum(pdf.n.to_numpy())[:-1]
 
 
@@ -195,8 +204,9 @@ def suffix_tree_scores(df: DataFrame, trains: Column, depth: int = 2, least: int
         for pdf in frames:
             for _, row in pdf.iterrows():
                 c = Chunk(row, depth)
-                learnt = np.concatenate([c.trains[e] for e in c.ends])
-                counts = np.bincount(np.concatenate(c.at), learnt, len(c.grams)).astype(np.int32)
+                counts = np.zeros(len(c.grams), np.int32)
+                for end, at in zip(c.ends, c.at):
+                    counts += np.bincount(at[c.trains[end]], minlength=len(counts)).astype(np.int32)
                 parts = [(row["chunk"], b, e - s, _pack_keys(c.grams[s:e], b * width), _pack(counts[s:e])) for b, s, e in _ranges(c.grams, width)]
                 yield pd.DataFrame(parts, columns=["chunk", "bucket", "n", "keys", "counts"])
 
@@ -240,11 +250,11 @@ def suffix_tree_scores(df: DataFrame, trains: Column, depth: int = 2, least: int
         return pd.DataFrame({"chunk": pdf.chunk, "bucket": pdf.bucket, "states": [_pack(x.astype(np.uint8)) for x in np.split(passes[at], cuts)]})
 
     parts = slim.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(parts_of_test, ASKS)
-    states = written(parts.groupBy("bucket").applyInPandas(test, "chunk long, bucket long, states binary"))
+    states = parts.groupBy("bucket").applyInPandas(test, "chunk long, bucket long, states binary")
 
     def scores(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("bucket")
-        c, totals = Chunk(chunk.iloc[0], depth), totals_of(told)
+        c, totals = Chunk(chunk.iloc[0], depth), totals_of(told[told.totals.notna()])
         passes = [_unpack(s, np.uint8) for s in told.states if s is not None]
         states = np.zeros(len(totals), bool)
         if passes:
@@ -256,7 +266,8 @@ def suffix_tree_scores(df: DataFrame, trains: Column, depth: int = 2, least: int
         known = np.bincount(c.row, totals[c.at[0]] > 0, n).astype(np.int64)
         return pd.DataFrame({"key": c.keys, "n_tokens": c.lengths, "n_known": known, "train_tokens": tokens, "base_score": base, "score": np.bincount(c.row, np.log10(p), n)})
 
-    told = answers.join(states, ["chunk", "bucket"], "left")
+    # Both cogroups take the chunks by one exchange, and what is told needs no join to meet them.
+    told = answers.unionByName(states, allowMissingColumns=True)
     out = slim.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scores, "key string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("key", F.col("key").cast(df.schema[key].dataType)).withColumnRenamed("key", key)
 
