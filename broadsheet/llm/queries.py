@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_quality, mixing, packing, sharding, simhash, suffix_dedup, suffix_tree_lm, token_counts, url_filter, whitening
+from . import conversations, decontaminate, license_scan, line_quality, mixing, packing, sharding, simhash, suffix_dedup, suffix_tree_lm, token_counts, url_filter, whitening
 from .common import table
 
 
@@ -78,4 +78,9 @@ def op12_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix, op11_shifted_cholesky_whitening, op12_shortest_pack_first, redirect_classes)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.every(conversations.reports(conversations.repair(conversations.damage(rows))), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix, op11_shifted_cholesky_whitening, op12_shortest_pack_first, op13_conversation_repair, redirect_classes)}
