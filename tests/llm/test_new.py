@@ -243,11 +243,12 @@ def test_conversations_without_rows(spark):
 
 
 def test_survivors_are_few_and_freed():
+    """Mostly sound turns: what isn't resolved stays short, and all the rest has gone."""
     rng = random.Random(9)
-    tree, emitted = conversations.Survivors(), 0
+    tree, emitted, most = conversations.Survivors(), 0, 0
     for k in range(20_000):
-        tree.add(k, rng.choice("uaua" if k % 7 else "s"), rng.choice([0, 0, 0, 3, 1]))
+        tree.add(k, "ua"[k % 2] if rng.random() < 0.9 else rng.choice("sua"), rng.choice([0] * 8 + [1, 3]))
         emitted += len(tree.take())
-        assert tree.held < 2_000
+        most = max(most, tree.held)
     place = conversations.end(tree.state)
-    assert emitted + len(tree.finish(place)) == 20_000 and emitted > 19_000
+    assert emitted + len(tree.finish(place)) == 20_000 and most < 400
