@@ -37,6 +37,11 @@ NEXT = {START: ("user", USER), SYSTEM: ("user", USER), ASSISTANT: ("user", USER)
 #: Turns missing at the end of a conversation, by place.
 MISSING = {START: 0, SYSTEM: 2, USER: 1, ASSISTANT: 0}
 LEGAL = ("su", "ua", "au")
+#: What it costs at most to go on from the first place as from the second: turns are inserted, a system turn deleted.
+LIKE = {
+    (START, SYSTEM): 0, (START, ASSISTANT): 0, (START, USER): 3, (SYSTEM, START): 6, (SYSTEM, ASSISTANT): 6, (SYSTEM, USER): 3,
+    (USER, START): 7, (USER, SYSTEM): 3, (USER, ASSISTANT): 3, (ASSISTANT, START): 4, (ASSISTANT, SYSTEM): 0, (ASSISTANT, USER): 3,
+}
 RELABEL, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 SOUND, BLANK, DUPLICATE, CUT = range(4)
 BLANKS, STOPS = " \t\n\x0b\x0c\r", (".", "!", "?")
@@ -66,11 +71,14 @@ def ways(state: State, initial: str, fault: int) -> Iterator[Way]:
 
 
 def best(found: Iterator[Way]) -> dict[int, tuple[int, int, Way]]:
-    """For each place the cheapest way, the least in ASCII among equals: (cost, new order, way)."""
+    """For each place the cheapest way, the least in ASCII among equals: (cost, new order, way). A place that another
+    could stand in for at less cost, whatever follows, has no survivor: else the way that deletes all rows would
+    live on beside the others, and they would never share more than the root."""
     kept: dict[int, Way] = {}
     for way in found:
         if way[4] not in kept or way[:3] < kept[way[4]][:3]:
             kept[way[4]] = way
+    kept = {p: way for p, way in kept.items() if not any(kept[q][0] + LIKE[q, p] < way[0] for q in kept if q != p)}
     order = {p: k for k, p in enumerate(sorted(kept, key=lambda p: kept[p][1:3]))}
     return {p: (way[0], order[p], way) for p, way in kept.items()}
 

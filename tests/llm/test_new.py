@@ -251,4 +251,4 @@ def test_survivors_are_few_and_freed():
         emitted += len(tree.take())
         most = max(most, tree.held)
     place = conversations.end(tree.state)
-    assert emitted + len(tree.finish(place)) == 20_000 and most < 400
+    assert emitted + len(tree.finish(place)) == 20_000 and most < 100
