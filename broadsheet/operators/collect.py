@@ -47,7 +47,11 @@ def fold(hits: DataFrame, keywords: DataFrame, news: DataFrame, excluded: DataFr
     are duplicates; undated ones before it are dropped. One window over the url hash decides; hits
     without a url take no part in it.
     """
-    hits = normalize_hits(hits, keywords)
+    return fold_normalized(normalize_hits(hits, keywords), news, excluded)
+
+
+def fold_normalized(hits: DataFrame, news: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``fold`` of hits that are normalized already; ``news`` and ``excluded`` need no rows but those of their urls."""
     flagged = known_flags(hits.where("url is not null"), news, excluded)
     gate = F.when(F.size("blocked") > 0, "skipped_filter").when(F.col("is_known"), "skipped_dup").when(F.col("is_excluded"), "skipped_excluded")
     order = F.struct("keyword_ord", "item_pos")
@@ -59,14 +63,14 @@ def fold(hits: DataFrame, keywords: DataFrame, news: DataFrame, excluded: DataFr
     return decided.unionByName(none)
 
 
-def merge_keywords(folded: DataFrame, news: DataFrame) -> DataFrame:
+def merge_keywords(folded: DataFrame, news: DataFrame, reached_only: bool = False) -> DataFrame:
     """(url_hash, matched_keywords): the ordered keywords of each article whose hits were collected or
-    duplicates, after those it had."""
+    duplicates, after those it had. All other stored articles keep theirs; ``reached_only`` leaves them out."""
     reached = folded.where(F.col("outcome").isin("collected", "skipped_dup"))
     new = reached.groupBy("url_hash").agg(F.array_sort(F.collect_list(F.struct("keyword_ord", "item_pos", "keyword"))).alias("k")).select(F.col("url_hash").alias("_h"), F.col("k.keyword").alias("k"))
     old = news.select("url_hash", F.col("matched_keywords").alias("o"))
     none = F.array().cast("array<string>")
-    both = old.join(new, F.col("url_hash") == F.col("_h"), "full")
+    both = old.join(new, F.col("url_hash") == F.col("_h"), "right" if reached_only else "full")
     return both.select(F.coalesce("url_hash", "_h").alias("url_hash"), F.array_distinct(F.concat(F.coalesce("o", none), F.coalesce("k", none))).alias("matched_keywords"))
 
 

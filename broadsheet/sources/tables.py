@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import local_date
+from .store import Store  # noqa: F401
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
@@ -45,65 +45,6 @@ def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **optio
     df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
 
 
-class Store:
-    """Several tables that change together. A commit writes new files beside the old ones and then one
-    manifest under the next number, by a rename; the highest number is the state. A failure before the
-    rename leaves the old state, and of two commits at once the second fails.
-
-    A table is a list of parts. ``commit(name=df)`` replaces it; ``upsert`` adds a part whose rows
-    take the place of older rows with the same key, so that a small change writes little."""
-
-    #: Parts after which an upsert writes the table anew.
-    PARTS = 16
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _numbers(self) -> list[int]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        names = (x.getPath().getName() for x in self._fs.listStatus(self._path(self.root)))
-        return sorted(int(n.removeprefix("MANIFEST-")) for n in names if n.removeprefix("MANIFEST-").isdigit())
-
-    def manifest(self) -> dict[str, list[str]]:
-        numbers = self._numbers()
-        return json.loads(self.spark.read.text(f"{self.root}/MANIFEST-{numbers[-1]:012d}", wholetext=True).first()[0]) if numbers else {}
-
-    def read(self, name: str, key: str | None = None) -> DataFrame:
-        """A table; ``key``: that of its upserts, if it has any."""
-        parts = [self.spark.read.parquet(f"{self.root}/{p}") for p in self.manifest()[name]]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.join(part.select(key), key, "left_anti").unionByName(part)
-        return out
-
-    def commit(self, upsert: dict[str, tuple[str, DataFrame]] | None = None, **tables: DataFrame) -> None:
-        """Replaces ``tables`` and upserts (key, rows) of others, in one step."""
-        numbers, version, entries = self._numbers(), uuid.uuid4().hex, self.manifest()
-        for name, (key, df) in (upsert or {}).items():
-            if len(entries[name]) >= self.PARTS:
-                tables[name] = self.read(name, key).join(df.select(key), key, "left_anti").unionByName(df)
-            else:
-                df.write.parquet(f"{self.root}/{name}-{version}")
-                entries[name] = [*entries[name], f"{name}-{version}"]
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}-{version}")
-            entries[name] = [f"{name}-{version}"]
-        self._publish(numbers[-1] + 1 if numbers else 1, version, json.dumps(entries))
-
-    def _publish(self, number: int, version: str, text: str) -> None:
-        fresh = self._path(f"{self.root}/.manifest-{version}")
-        out = self._fs.create(fresh)
-        out.write(bytearray(text.encode()))
-        out.close()
-        target = self._path(f"{self.root}/MANIFEST-{number:012d}")
-        if self._fs.exists(target) or not self._fs.rename(fresh, target):
-            raise RuntimeError(f"another commit came first: {target}")
-
-
 def log_rows(runs: DataFrame) -> DataFrame:
     """Collection-log rows from runs (started_at, collected_count, errors array<string>, actor)."""
     message = F.nullif(F.array_join(F.coalesce("errors", F.array().cast("array<string>")), "\n"), F.lit(""))

@@ -13,24 +13,25 @@ from ..functions import matching
 from ..functions.scalars import local_date
 from ..functions.textclean import clean_text
 from ..operators import collect, metrics
-from ..sources.tables import Store
+from ..sources.tables import Store, ensure_checkpoints
 
 
 def collect_batch(hits: DataFrame, batch_id: int, store: Store, keywords: DataFrame) -> None:
-    """Folds one micro-batch into the stored articles; only new and changed articles are written. The
-    batch's number is committed with them, so a replayed batch changes nothing."""
-    spark = hits.sparkSession
-    done = store.manifest()
-    if "batches" in done and not store.read("batches").where(F.col("batch_id") >= batch_id).isEmpty():
+    """Folds one micro-batch into the stored articles. Only the buckets of the batch's urls are read of keyed tables,
+    and only new and changed articles are written. The batch's number is committed with them, so a
+    replayed batch changes nothing."""
+    done = store.mark("batch")
+    if done is not None and done >= batch_id:
         return
-    hits = hits.checkpoint() if spark.sparkContext.getCheckpointDir() else hits.persist()
-    news = store.read("news", "url_hash")
-    folded = collect.fold(hits, keywords, news, store.read("excluded"))
-    merged = collect.merge_keywords(folded, news)
+    ensure_checkpoints(hits.sparkSession)
+    hits = collect.normalize_hits(hits, keywords).checkpoint()
+    urls = hits.where("url is not null").select("url_hash").distinct()
+    news = store.read("news", "url_hash", among=urls)
+    folded = collect.fold_normalized(hits, news, store.read("excluded", "url_hash", among=urls))
+    merged = collect.merge_keywords(folded, news, reached_only=True)
     new = collect.new_articles(folded, merged).select(*news.columns)
-    reached = folded.where("outcome = 'skipped_dup'").select("url_hash").distinct()
-    changed = news.drop("matched_keywords").join(reached, "url_hash", "left_semi").join(merged, "url_hash").select(*news.columns)
-    store.commit({"news": ("url_hash", changed.unionByName(new))}, batches=spark.createDataFrame([(batch_id,)], "batch_id long"))
+    changed = news.withColumnRenamed("matched_keywords", "_had").join(merged, "url_hash").where(~F.col("_had").eqNullSafe(F.col("matched_keywords"))).select(*news.columns)
+    store.commit({"news": ("url_hash", changed.unionByName(new))}, marks={"batch": batch_id})
 
 
 def stream_collect(hits: DataFrame, store: Store, keywords: DataFrame, checkpoint: str) -> StreamingQuery:
