@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import ensure_checkpoints
+from . import cells
 
 #: Of the pairs at the threshold this share may be missed; vectors that meet in a bucket on average.
 MISSED, MET, SEED = 1e-4, 32, 7
@@ -54,9 +55,11 @@ def _units(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, rows.join(reps, "u").select("news_id", "rep")
 
 
-def similar_classes(embeddings: DataFrame, dims: int, threshold: float = 0.82) -> tuple[DataFrame, DataFrame]:
-    """(a, b, cosine) with a < b between distinct vectors, and (news_id, rep): their members. Candidates meet in
-    a hyperplane bucket; only ids travel there, and each candidate pair is checked exactly once."""
+def likely_classes(embeddings: DataFrame, dims: int, threshold: float = 0.82) -> tuple[DataFrame, DataFrame]:
+    """(a, b, cosine) with a < b between distinct vectors, and (news_id, rep): their members; all but a share of
+    ``MISSED`` of the pairs at the threshold. A quicker way than ``cells.join`` for vectors without structure, of
+    which that rules out few; no query rests on it. Candidates meet in a hyperplane bucket; only ids
+    travel there, and each candidate pair is checked exactly once."""
     reps, members = _units(embeddings)
     buckets = reps.select("rep", F.posexplode(hyperplane_keys(F.col("u"), dims, *table_plan(reps.count(), threshold))).alias("table", "key"))
     pairs = buckets.withColumnRenamed("rep", "a").join(buckets.withColumnRenamed("rep", "b"), ["table", "key"]).where("a < b").select("a", "b").distinct()
@@ -65,55 +68,37 @@ def similar_classes(embeddings: DataFrame, dims: int, threshold: float = 0.82) -
     return scored.where(F.col("cosine") >= threshold).select("a", "b", "cosine"), members
 
 
-def similar_pairs(embeddings: DataFrame, dims: int, threshold: float = 0.82) -> DataFrame:
-    """(a, b, cosine) of all related articles a < b, copies of a vector among them."""
-    pairs, members = similar_classes(embeddings, dims, threshold)
-    m = members
+def similar_pairs(embeddings: DataFrame, dims: int | None = None, threshold: float = 0.82) -> DataFrame:
+    """(a, b, cosine) of all related articles a < b, copies of a vector among them. Exact. ``dims`` isn't needed."""
+    reps, m = _units(embeddings)
+    pairs = cells.join(reps.withColumnRenamed("rep", "id"), threshold)
     across = pairs.join(m.withColumnsRenamed({"news_id": "x", "rep": "a"}), "a").join(m.withColumnsRenamed({"news_id": "y", "rep": "b"}), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
     within = m.withColumnRenamed("news_id", "a").join(m.withColumnRenamed("news_id", "b"), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
     return across.union(within)
 
 
-def similar_counts(embeddings: DataFrame, dims: int, threshold: float = 0.82) -> DataFrame:
+def similar_links(embeddings: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """(a, b): related articles, as many pairs as connect all that are related, directly or by others: copies to
+    the least of them, and the rest without a pair for each two near copies."""
+    reps, m = _units(embeddings)
+    return cells.join(reps.withColumnRenamed("rep", "id"), threshold, "forest").union(m.where("news_id <> rep").select("news_id", "rep"))
+
+
+def similar_counts(embeddings: DataFrame, dims: int | None = None, threshold: float = 0.82) -> DataFrame:
     """(news_id, class_id, links) for each row with a vector: the least id with an equal vector, and how
-    many other classes are related to it. Copies aren't expanded into pairs."""
-    pairs, members = similar_classes(embeddings, dims, threshold)
-    links = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    many other classes are related to it. Copies aren't expanded into pairs. Exact. ``dims`` isn't needed."""
+    reps, members = _units(embeddings)
+    links = cells.join(reps.withColumnRenamed("rep", "id"), threshold, "counts").withColumnRenamed("id", "rep")
     return members.join(links, "rep", "left").select("news_id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def similar_topk(embeddings: DataFrame, queries: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
-    """(query_id, place, news_id, cosine): exact nearest neighbours of a stated query set against all rows.
-    Queries are taken in blocks of a bounded size; each task keeps its own k best, which are then merged."""
-    rows = embeddings.where("vector is not null").select("news_id", unit(F.col("vector")).alias("u")).where("u is not null")
-    wanted = rows.join(queries.select("news_id").distinct(), "news_id", "left_semi")
-    n = wanted.count()
-    parts = None
-    for at in range(max(1, -(-n // block))):
-        blocks = max(1, -(-n // block))
-        q = wanted.where(F.pmod(F.xxhash64("news_id"), F.lit(blocks)) == at).toPandas()
-        if not len(q):
-            continue
-        shared = embeddings.sparkSession.sparkContext.broadcast((q.news_id.to_numpy(np.int64), np.stack(q.u.to_list())))
-
-        def nearest(frames, shared=shared):
-            ids, vectors = shared.value
-            for pdf in frames:
-                if len(pdf):
-                    own = pdf.news_id.to_numpy(np.int64)
-                    cosine = vectors @ np.stack(pdf.u.to_list()).T
-                    cosine[ids[:, None] == own[None, :]] = -np.inf
-                    # By cosine, then id, as the merge ranks them: k of a batch are enough, ties or not.
-                    best = np.stack([np.lexsort((own, -np.round(c, 9)))[:k] for c in cosine])
-                    at = np.repeat(np.arange(len(ids)), best.shape[1])
-                    yield pd.DataFrame({"query_id": ids[at], "news_id": own[best.ravel()], "cosine": cosine[at, best.ravel()]}).query("cosine > -inf")
-
-        found = rows.mapInPandas(nearest, "query_id long, news_id long, cosine double")
-        parts = found if parts is None else parts.union(found)
-    if parts is None:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, place int, news_id long, cosine double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "news_id")
-    return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "news_id", "cosine")
+def similar_topk(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, place, news_id, cosine): exact nearest neighbours of a stated query set against all rows, by
+    cosine to nine digits and then by id."""
+    rows = embeddings.where("vector is not null").select(F.col("news_id").alias("id"), unit(F.col("vector")).alias("u")).where("u is not null")
+    found = cells.nearest(rows, queries.select(F.col("news_id").alias("id")), k)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", F.col("id").alias("news_id"), "cosine")
 
 
 def title_key(title: Column) -> Column:

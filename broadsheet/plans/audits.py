@@ -200,7 +200,7 @@ links AS (SELECT a.id AS a, b.id AS b FROM reps a JOIN reps b ON a.id < b.id WHE
 @query("", f"WITH {_SIMILAR} SELECT id AS news_id, rep AS class_id, (SELECT count(*) FROM links WHERE a = rep OR b = rep) AS links FROM m")
 def j12_similar_pairs(t: Tables):
     """Each article's class of equal vectors and its number of related classes."""
-    return similarity.similar_counts(t.embeddings, 64)
+    return similarity.similar_counts(t.embeddings)
 
 
 @query("", f"""SELECT query_id, CAST(place AS INTEGER) AS place, news_id FROM (SELECT q.id AS query_id, b.id AS news_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.u, b.u), 9) DESC, b.id) AS place FROM {_UNIT} q JOIN {_UNIT} b ON q.id <> b.id WHERE q.id % 50 = 0) WHERE place <= 5""")
@@ -218,6 +218,4 @@ least AS (SELECT a, min(b) AS g FROM reach GROUP BY a)
 SELECT id, group_id, id = first_value(id) OVER (PARTITION BY group_id ORDER BY published_at, id) AS is_representative FROM (SELECT id, published_at, coalesce(g, id) AS group_id FROM articles LEFT JOIN least ON a = id))""")
 def a25_criterion_duplicates(t: Tables):
     """Candidate groups from equal urls and titles and from related embeddings."""
-    related, members = similarity.similar_classes(t.embeddings, 64)
-    copies = members.where("news_id <> rep").select(F.col("news_id").alias("a"), F.col("rep").alias("b"))
-    return similarity.duplicate_groups(t.articles, related.select("a", "b").union(copies))
+    return similarity.duplicate_groups(t.articles, similarity.similar_links(t.embeddings))
