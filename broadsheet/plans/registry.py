@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, collection, dashboard, graphs, report_queries, streams, texts
+from . import audits, collection, dashboard, graphs, maintained, report_queries, streams, texts
 from .prelude import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "audits", "collection", "dashboard", "graphs", "report_queries", "streams", "texts"]
+__all__ = ["ORACLE", "QUERIES", "audits", "collection", "dashboard", "graphs", "maintained", "report_queries", "streams", "texts"]

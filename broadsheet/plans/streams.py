@@ -30,7 +30,7 @@ def z1_stream_collect(t: Tables):
     store = Store(t.spark, path)
     text = lambda c: F.lit(None).cast("string").alias(c)
     known = t.known.select("url_hash", text("url"), text("title"), text("body"), F.lit("stored").alias("source_type"), F.lit(None).cast("timestamp").alias("published_at"), F.lit("검증됨").alias("status"), "matched_keywords")
-    store.commit(keyed={"news": ("url_hash", known), "excluded": ("url_hash", t.excluded)}, digits=2)
+    store.commit(keyed={"news": ("url_hash", known), "excluded": ("url_hash", t.excluded)}, digits=1)
     jobs.stream_collect(StreamTables(t, "events").hits, store, t.keywords, f"{path}-state").awaitTermination()
     return store.read("news", "url_hash").select("url_hash", "matched_keywords")
 

@@ -10,6 +10,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Key = str | list[str]
+
+
+def _columns(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 #: The column that names a row's bucket, a folder of a part; the one that tells a deleted row.
 BUCKET, GONE = "_bucket", "_gone"
 
@@ -25,7 +32,8 @@ class Store:
     out by a hash of its key in ``16 ** digits`` buckets, a folder each; its manifest entry lists the buckets of
     each part, so a read ``among`` given keys opens the folders of their buckets and lists no others. Its parts are
     merged by size, and a deletion is a row that says so, until it is merged with the oldest part: a part never stands before one that has over half its rows, so there are as many
-    parts as the table's size has doublings, and a row is written anew that often at most."""
+    parts as the table's size has doublings, and a row is written anew that often at most. A key may be several
+    columns; the first of them decides the bucket."""
 
     #: Parts after which an upsert writes a table without buckets anew.
     PARTS = 16
@@ -61,8 +69,8 @@ class Store:
         """A number that was committed along with tables, such as a stream's batch."""
         return self._entries()["marks"].get(name)
 
-    def _bucket(self, key: str, digits: int) -> Column:
-        return F.right(F.lpad(F.hex(F.xxhash64(key)), 16, "0"), F.lit(digits))
+    def _bucket(self, key: Key, digits: int) -> Column:
+        return F.right(F.lpad(F.hex(F.xxhash64(_columns(key)[0])), 16, "0"), F.lit(digits))
 
     def _part(self, entries: dict, part: str, buckets: set[str] | None) -> DataFrame | None:
         """A part, or what it holds of some buckets; None if it has none of them."""
@@ -77,18 +85,18 @@ class Store:
         paths = [path] if len(own) == len(about["buckets"]) else [f"{path}/{BUCKET}={b}" for b in own]
         return self.spark.read.schema(schema).option("basePath", path).parquet(*paths).drop(BUCKET)
 
-    def _latest(self, entries: dict, parts: Iterable[str], key: str | None, buckets: set[str] | None = None, gone: bool = False) -> DataFrame | None:
+    def _latest(self, entries: dict, parts: Iterable[str], key: Key | None, buckets: set[str] | None = None, gone: bool = False) -> DataFrame | None:
         """The rows of parts, oldest first, of which a later row with the same key takes the place; ``gone``: with deletions."""
         frames = [df for part in parts if (df := self._part(entries, part, buckets)) is not None]
         out, later = None, None
         for df in reversed(frames):
-            kept = df if later is None else df.join(later, key, "left_anti")
+            kept = df if later is None else df.join(later, _columns(key), "left_anti")
             out = kept if out is None else kept.unionByName(out)
             if key is not None:
-                later = df.select(key) if later is None else later.union(df.select(key))
+                later = df.select(*_columns(key)) if later is None else later.union(df.select(*_columns(key)))
         return out if out is None or gone or GONE not in out.columns else out.where(~F.col(GONE)).drop(GONE)
 
-    def read(self, name: str, key: str | None = None, among: DataFrame | None = None, version: int | None = None) -> DataFrame:
+    def read(self, name: str, key: Key | None = None, among: DataFrame | None = None, version: int | None = None) -> DataFrame:
         """A table at a version (the last one, unless told). ``key``: that of its upserts, if it has any. ``among``: a
         table with the key; of a keyed table, only the buckets of its keys are read, of others all."""
         entries = self._entries(version)
@@ -111,7 +119,7 @@ class Store:
             return part, 0
         key, digits = entries["keyed"][name]
         df = df if GONE in df.columns else df.withColumn(GONE, F.lit(False))
-        df.withColumn(BUCKET, self._bucket(key, digits)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, key).write.partitionBy(BUCKET).parquet(f"{self.root}/{part}")
+        df.withColumn(BUCKET, self._bucket(key, digits)).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *_columns(key)).write.partitionBy(BUCKET).parquet(f"{self.root}/{part}")
         names = (x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/{part}")))
         buckets = sorted(n.removeprefix(f"{BUCKET}=") for n in names if n.startswith(f"{BUCKET}="))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -121,7 +129,7 @@ class Store:
         rows = entries["parts"][part]["rows"] = self._part(entries, part, None).count()  # from the files' footers
         return part, rows
 
-    def _upsert(self, entries: dict, name: str, key: str, df: DataFrame | None, gone: DataFrame | None) -> None:
+    def _upsert(self, entries: dict, name: str, key: Key, df: DataFrame | None, gone: DataFrame | None) -> None:
         """Adds rows and deletions of keys."""
         parts = entries["tables"][name]
         if name not in entries["keyed"]:
@@ -129,15 +137,15 @@ class Store:
                 old = self._latest(entries, parts, key)
                 new = old.limit(0) if df is None else df
                 for keys in (new, gone):
-                    old = old if keys is None else old.join(keys.select(key), key, "left_anti")
+                    old = old if keys is None else old.join(keys.select(*_columns(key)), _columns(key), "left_anti")
                 df, parts = old.unionByName(new), []
             entries["tables"][name] = [*parts, self._write(entries, name, df)[0]]
             return
         rows = None if df is None else df.withColumn(GONE, F.lit(False))
         if gone is not None:
-            dead = gone.select(key).distinct().withColumn(GONE, F.lit(True))
+            dead = gone.select(*_columns(key)).distinct().withColumn(GONE, F.lit(True))
             # A row that is deleted and upserted at once stays.
-            dead = dead if rows is None else dead.join(rows.select(key), key, "left_anti")
+            dead = dead if rows is None else dead.join(rows.select(*_columns(key)), _columns(key), "left_anti")
             rows = (self._part(entries, parts[0], None).limit(0) if rows is None else rows).unionByName(dead, allowMissingColumns=True)
         part, n = self._write(entries, name, rows)
         if not n:
@@ -151,7 +159,7 @@ class Store:
             parts = [*parts[:-2], merged]
         entries["tables"][name] = parts
 
-    def commit(self, upsert: dict[str, tuple[str, DataFrame]] | None = None, keyed: dict[str, tuple[str, DataFrame]] | None = None, delete: dict[str, tuple[str, DataFrame]] | None = None, marks: dict[str, int] | None = None, digits: int = 3, **tables: DataFrame) -> int:
+    def commit(self, upsert: dict[str, tuple[Key, DataFrame]] | None = None, keyed: dict[str, tuple[Key, DataFrame]] | None = None, delete: dict[str, tuple[Key, DataFrame]] | None = None, marks: dict[str, int] | None = None, digits: int = 3, **tables: DataFrame) -> int:
         """Replaces ``tables``, begins or replaces ``keyed`` tables (key, rows), upserts (key, rows) and deletes (key, keys)
         of others and sets marks, in one step. Returns the number of the version."""
         numbers, entries = self.versions(), self._entries()
@@ -181,29 +189,29 @@ class Store:
         if self._fs.exists(target) or not self._fs.rename(fresh, target):
             raise RuntimeError(f"another commit came first: {target}")
 
-    def changes(self, name: str, key: str, old: int, new: int | None = None) -> DataFrame:
+    def changes(self, name: str, key: Key, old: int, new: int | None = None) -> DataFrame:
         """(key, change, before, after) of the rows that differ between two versions: ``insert``, ``delete`` or
         ``update``, with the rows as structs. Parts that both versions have are compared with nothing: only keys of
         the other parts can have changed, and of a keyed table only their buckets are read."""
         a, b = self._entries(old), self._entries(new)
         shared = set(a["tables"][name]) & set(b["tables"][name])
-        keys = None
+        keys, on = None, _columns(key)
         for entries in (a, b):
             for part in entries["tables"][name]:
                 if part not in shared:
                     own = self._part(entries, part, None)
                     if own is not None:
-                        keys = own.select(key) if keys is None else keys.union(own.select(key))
+                        keys = own.select(*on) if keys is None else keys.union(own.select(*on))
         if keys is None:
-            keys = self.read(name, key, version=new).select(key).limit(0)
+            keys = self.read(name, key, version=new).select(*on).limit(0)
         touched = keys.distinct()
         sides = []
         for version, side in ((old, "before"), (new, "after")):
-            rows = self.read(name, key, touched, version).join(touched, key, "left_semi")
-            sides.append(rows.select(F.col(key), F.struct(*rows.columns).alias(side)))
-        both = sides[0].join(sides[1], key, "full")
+            rows = self.read(name, key, touched, version).join(touched, on, "left_semi")
+            sides.append(rows.select(*on, F.struct(*rows.columns).alias(side)))
+        both = sides[0].join(sides[1], on, "full")
         kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
-        return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(key, kind.alias("change"), "before", "after")
+        return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(*on, kind.alias("change"), "before", "after")
 
     def vacuum(self, keep: int = 2, grace: float = 86_400.0) -> list[str]:
         """Forgets all but the last ``keep`` versions and removes the parts that none of those has. Readers of a
