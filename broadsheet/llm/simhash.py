@@ -11,6 +11,7 @@ join returns a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +32,8 @@ CROWDED = 64
 #: One of how many sets is looked at for common shingles, how many of these are told to all tasks, and
 #: the expected sets from which on a shingle isn't gathered in one window.
 SAMPLE, COMMON, HOT = 16, 1 << 18, 20_000
+#: Sets under a shingle above which they meet by size; the ratio of the sizes of one band.
+BANDED, BAND = 64, 1.05
 #: Shingles of the sets that a task remembers while it compares.
 HELD = 1 << 22
 #: Rows of two numbers up to which a table is broadcast; a larger one is joined by a shuffle.
@@ -325,14 +328,41 @@ def _stars(members: DataFrame, pick=F.min) -> DataFrame:
 
 def _pairs(members: DataFrame) -> DataFrame:
     """(key, sig, at, class) -> all pairs (a, b) of two classes that meet under a key and whose sizes and
-    places leave a Jaccard of 4/5 possible."""
+    places leave a Jaccard of 4/5 possible. Under a frequent key, sets meet by what these leave."""
     open_keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "members")
-    slim = members.select("key", "sig", "class", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
-    left = _dealt(slim.join(open_keys, "key"), "members", "sig", ["sig", "n", "pos", "class"])
+    slim = members.select("key", "sig", "class", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")).join(open_keys, "key")
+    left = _dealt(slim.where(F.col("members") <= BANDED), "members", "sig", ["sig", "n", "pos", "class"])
     right = left.withColumnsRenamed({c: f"{c}_" for c in left.columns if c != "task"})
     both = left.join(right, "task").where("class <> class_ and (side = 0 and side_ = 0 and sig < sig_ or side = 1 and side_ = 2)")
     both = both.where("5 * least(n, n_) >= 4 * greatest(n, n_) and 9 * least(n - pos, n_ - pos_) >= 4 * (n + n_)")
-    return both.select(F.least("sig", "sig_").alias("a"), F.greatest("sig", "sig_").alias("b")).distinct()
+    pairs = both.select(F.least("sig", "sig_").alias("a"), F.greatest("sig", "sig_").alias("b"))
+    return pairs.union(_by_size(slim.where(F.col("members") > BANDED))).distinct()
+
+
+def _by_size(slim: DataFrame) -> DataFrame:
+    """(key, sig, class, n, pos) of frequent keys -> their pairs (a, b).
+
+    Of a pair, the larger set visits and the smaller is visited. What follows the shingle in a set of size n bounds the
+    sizes of its partners: 9 (n - pos) >= 4 (n + partner). So a set is visited only if that leaves room for one of
+    its own size, and visits only the bands of sizes between 4/5 of its own and the most that it leaves. Texts
+    of one template, whose own shingles come before those they share, neither visit nor are visited, and no pair of
+    them is formed. What may still meet in a band is dealt out by slices of both sides."""
+    band = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
+    slim = written(slim)
+    homes = slim.where("9 * (n - pos) >= 8 * n").select("key", band(F.col("n")).alias("band"), "sig", "class", "n", "pos")
+    most = F.least("n", F.floor((9 * (F.col("n") - F.col("pos")) - 4 * F.col("n")) / 4))
+    least = F.ceil(4 * F.col("n") / 5)
+    visits = slim.where(most >= least).select("key", F.explode(F.sequence(band(least), band(most))).alias("band"), "sig", "class", "n", "pos")
+    sizes = homes.groupBy("key", "band").agg(F.count(F.lit(1)).alias("h")).join(visits.groupBy("key", "band").agg(F.count(F.lit(1)).alias("v")), ["key", "band"])
+    sizes = written(sizes.select("key", "band", F.ceil(F.col("h") / GROUP).cast("int").alias("h"), F.ceil(F.col("v") / GROUP).cast("int").alias("v")))
+    slice_of = lambda count: F.pmod(F.xxhash64("sig"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    on = ["key", "band", "i", "j"]
+    left = visits.join(sizes, ["key", "band"]).withColumn("j", slice_of("v")).select("key", "band", every("h").alias("i"), "j", "sig", "class", "n", "pos")
+    right = homes.join(sizes, ["key", "band"]).withColumn("i", slice_of("h")).select("key", "band", "i", every("v").alias("j"), "sig", "class", "n", "pos")
+    right = right.withColumnsRenamed({c: f"{c}_" for c in ("sig", "class", "n", "pos")})
+    both = left.join(right, on).where("class <> class_ and (n > n_ or n = n_ and sig < sig_) and 5 * n_ >= 4 * n and 9 * least(n - pos, n_ - pos_) >= 4 * (n + n_)")
+    return both.select(F.least("sig", "sig_").alias("a"), F.greatest("sig", "sig_").alias("b"))
 
 
 def _few(df: DataFrame) -> DataFrame:

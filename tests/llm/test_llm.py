@@ -616,14 +616,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     item = prose(30)
     rows = [(i, prose(), rng.choice("abc")) for i in range(60)]
     rows += [(100 + i, rows[i][1], "a") for i in range(5)] + [(110 + i, rows[i][1] + " x", "b") for i in range(5)] + [(120, "few words", "a"), (121, "same same same same same " * 9, "a"), (122, prose() + " " + item, "c"), (123, None, "a")]
+    edited = lambda t, n: " ".join(f"new{rng.randrange(10**6)}" if k in chosen else w for chosen in [set(rng.sample(range(5, 55), n))] for k, w in enumerate(t.split()))
+    rows += [(130 + i, edited(rows[i][1], 1 + i % 3), "b") for i in range(20, 50)]
     docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = [(i, t, s) for i, t, s in rows if i not in (120, 121, 123)]
-    prints, label = [plain_print(t, 5) for _, t, _ in kept], list(range(len(kept)))
+    sets, label = [{" ".join(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t, _ in kept], list(range(len(kept)))
     for _ in range(3):
         for a in range(len(kept)):
             for b in range(a):
-                if (prints[a] ^ prints[b]).bit_count() <= 8:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
     clean = {kept[x] for x in set(label)} - {kept[[r[0] for r in kept].index(122)]}
     frame, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), []

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import conversations, packing, whitening
+from broadsheet.llm import conversations, packing, simhash, whitening
 
 VECTORS = "vec_id long, embedding array<float>, n string, x int, component int, whitened string"
 TURNS = "conv_id long, turn long, role string, text string, fault int, part string, _d string"
@@ -252,3 +252,42 @@ def test_survivors_are_few_and_freed():
         most = max(most, tree.held)
     place = conversations.end(tree.state)
     assert emitted + len(tree.finish(place)) == 20_000 and most < 100
+
+
+def test_pairs_by_size_are_the_pairs_by_key(spark, monkeypatch):
+    """Sets of all sizes under few keys: both ways give the pairs that sizes and places leave, all of 4/5 among them."""
+    rng = random.Random(12)
+    base, sets = rng.sample(range(1000), 60), []
+    for _ in range(250):
+        own = set(rng.sample(base, rng.randrange(20, 60))) | {rng.randrange(1000, 10**6) for _ in range(rng.randrange(0, 9))}
+        sets.append(own)
+    count: dict = {}
+    for x in sets:
+        for e in x:
+            count[e] = count.get(e, 0) + 1
+    rows = []
+    for sig, x in enumerate(sets):
+        order = sorted(x, key=lambda e: (count[e], e))[: len(x) - (4 * len(x) + 4) // 5 + 1]
+        rows += [(key, sig, (len(x) << 32) + k, sig // 3) for k, key in enumerate(order)]
+    members = spark.createDataFrame(rows, "key long, sig long, at long, class long")
+    found = {}
+    for banded in (1, 10**9):
+        monkeypatch.setattr(simhash, "BANDED", banded)
+        monkeypatch.setattr(simhash, "GROUP", 16)
+        found[banded] = {(r.a, r.b) for r in simhash._pairs(members).collect()}
+    near = {(a, b) for b in range(250) for a in range(b) if a // 3 != b // 3 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert found[1] == found[10**9] >= near and len(near) > 100
+
+
+def test_texts_of_one_template_form_no_pairs(spark):
+    """All words but two are shared, which is a Jaccard of 0.7: no two of them stand under one key."""
+    rows = []
+    for i in range(3000):
+        words = [f"w{k}" for k in range(60)]
+        words[20], words[40] = f"a{i}", f"b{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = simhash.written(simhash._sketches(df.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("digest"), "text"), 5))
+    members = simhash._contested(simhash._postings(own, 5)).withColumn("class", F.col("sig"))
+    assert members.groupBy("key").count().agg(F.max("count")).first()[0] >= 3000 and simhash._pairs(members).count() == 0
+    assert simhash.keep_one(df).count() == 3000
