@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.adapters import Tables
+from ..sources.adapters import RESIDUE, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,7 +56,31 @@ TABLES_SQL = {
     "buckets": "SELECT i, s, n, CAST(DATE '2001-08-01' - CAST(i * s AS INTEGER) AS DATE) AS e FROM (SELECT s, CAST(CASE WHEN d < 0 THEN 1 ELSE d // s + 2 END AS INTEGER) AS n, unnest(range(CASE WHEN d < 0 THEN 1 ELSE d // s + 2 END)) AS i FROM span)",
     "rolling": """SELECT CAST(n - 1 - i AS INTEGER) AS bucket, CAST(e - CAST(s - 1 AS INTEGER) AS DATE) AS start, e AS "end", CAST(count(id) AS BIGINT) AS count FROM buckets LEFT JOIN ok ON day BETWEEN e - CAST(s - 1 AS INTEGER) AND e GROUP BY ALL""",
 }
-_NEEDS = {"lines": ["articles"], "cut": ["lines"], "cleaned": ["cut"], "names": ["dictionary"], "tags": ["cleaned", "names"], "reports": ["news"], "refs": ["reports"], "report_news": ["reports"], "span": ["ok"], "buckets": ["span"], "rolling": ["buckets"], "ok": ["news"], "pairs": ["news_orgs", "ok"], "gated": ["hits", "known", "excluded"], "folded": ["gated"]}
+
+# The residue rules once more, in their order, for the planted lines.
+_WORD = r"[\p{L}\p{N}\p{M}_"
+_DROPPED = {
+    "email": rf"{_WORD}.+-]+@{_WORD}-]+\.{_WORD}.-]+", "byline": r"^(\S{1,15}\s+)?[가-힣]{2,4}\s*기자$", "timestamp": r"^(입력|수정)\s*[:：]?\s*\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}(:\d{2})?$", "ad": "^(?i:advertisement)$", "dash": "^[-–—]{1,3}$",
+    "photo_credit": r"^[가-힣A-Za-z0-9]{1,10}\s*제공$", "series": r"^\[[^\[\]]*[①②③④⑤⑥⑦⑧⑨⑩][^\[\]]*\]", "copyright": r"무단\s*전재|재배포|재판매|(?i:copyright.*reserved)",
+    "caption": r"사진\s*제공\s*=|사진\s*=|그래픽\s*=|\[[^\[\]]{0,30}제공\]\s*$|ⓒ\s*\S+\s+[가-힣]{2,4}\s*(기자|디자이너)\s*$", "comment_ui": r"^댓글\s*\(\d+\)$|자\s*이내로\s*써주세요|댓글은\s*표시가\s*제한",
+    "promo": r"^\[제보\]|^\[구독\]|구독해주세요|제보를\s*기다립니다|^▶(카카오톡|뉴스\s*홈페이지|이메일)\s*[:：]", "masthead": r"(인터넷신문|사업자|신문사업)\s*등록번호|청소년\s*보호\s*책임자|(?i:Tel\s*[:：].*Fax\s*[:：])|읽는\s*\[[^\[\]]{1,20}\]\s*$",
+}
+_TRIMMED = {"byline_prefix": r"^(\S{1,15}\s+)?[가-힣]{2,4}\s*기자\s*[|·]\s*", "outlet_prefix": r"^\[[^\[\]]{1,20}=[^\[\]]{1,20}(기자|특파원)\]\s*", "image_button": r"^이미지\s*확대보기"}
+RULE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{name}'" for name, p in (_DROPPED | _TRIMMED).items()) + " END"
+_trimmed = "x"
+for _p in _TRIMMED.values():
+    _trimmed = f"regexp_replace({_trimmed}, '{_p}', '')"
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_LINES = ", ".join(f"'{x}'" for x in RESIDUE)
+TABLES_SQL |= {
+    "planted": f"SELECT id, source_type, list_filter(list_transform(list_concat(string_split(coalesce(body, ''), chr(10)), ['은행이 밝혔다.'], list_transform([id % {len(RESIDUE)}, (3 * id + 11) % {len(RESIDUE)}, (5 * id + 23) % {len(RESIDUE)}, (7 * id + 31) % {len(RESIDUE)}], lambda k: [{_LINES}][k + 1]), ['끝으로 덧붙였다.']), lambda x: {_STRIPPED.format('x')}), lambda x: x <> '') AS l FROM articles",
+    "planted_rules": f"SELECT id, source_type, {RULE_SQL} AS rule FROM (SELECT id, source_type, unnest(l) AS x FROM planted)",
+    "planted_cut": r"""SELECT id, source_type, CASE WHEN sentence IS NOT NULL AND len(l) - greatest(coalesce(prose, 0), sentence) >= 2 THEN l[1:greatest(coalesce(prose, 0), sentence)] ELSE l END AS l FROM (
+  SELECT *, list_min(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(regexp_replace(regexp_replace(l[i], '["''“”‘’()\[\]『』「」《》]+$', ''), '\s+$', ''), '[.!?다요]$'))) AS sentence, list_max(list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '^[-–—]'))) AS prose
+  FROM (SELECT id, source_type, CASE WHEN marker IS NULL THEN l ELSE l[1:marker - 1] END AS l FROM (SELECT *, list_min(list_filter(range(1, len(l) + 1), lambda i: l[i] IN ('관련기사', '추천 뉴스'))) AS marker FROM planted)))""",
+    "planted_clean": f"SELECT id, list_filter(list_transform(list_filter(l, lambda x: NOT ({' OR '.join(f"regexp_matches(x, '{p}')" for p in _DROPPED.values())})), lambda x: {_STRIPPED.format(_trimmed)}), lambda x: x <> '') AS l FROM planted_cut",
+}
+_NEEDS = {"planted": ["articles"], "planted_rules": ["planted"], "planted_cut": ["planted"], "planted_clean": ["planted_cut"], "lines": ["articles"], "cut": ["lines"], "cleaned": ["cut"], "names": ["dictionary"], "tags": ["cleaned", "names"], "reports": ["news"], "refs": ["reports"], "report_news": ["reports"], "span": ["ok"], "buckets": ["span"], "rolling": ["buckets"], "ok": ["news"], "pairs": ["news_orgs", "ok"], "gated": ["hits", "known", "excluded"], "folded": ["gated"]}
 
 
 def with_tables(names: str, sql: str) -> str:

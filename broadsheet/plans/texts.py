@@ -8,7 +8,7 @@ from ..functions import matching, textclean
 from ..functions import scalars as P
 from ..operators import audit, judgment
 from ..sources.adapters import Tables
-from .prelude import query
+from .prelude import RULE_SQL, query
 
 
 @query("cleaned", "SELECT id, l AS lines FROM cleaned")
@@ -27,6 +27,19 @@ def t3_residue_rules(t: Tables):
     return rows.groupBy("source_type").agg(F.count(F.when(textclean.rule_of(F.col("x")) == "email", 1)).alias("emails"), F.count(F.lit(1)).alias("lines"))
 
 
+@query("planted_rules", "SELECT source_type, rule, count(*) AS lines FROM planted_rules WHERE rule IS NOT NULL GROUP BY ALL")
+def t3_all_residue_rules(t: Tables):
+    """Lines that each of the fifteen rules takes or trims, Korean ones planted by id among them."""
+    rows = t.planted.select("source_type", F.explode(textclean.raw_lines(F.col("body"))).alias("x"))
+    return rows.withColumn("rule", textclean.rule_of(F.col("x"))).where("rule is not null").groupBy("source_type", "rule").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("planted_clean", "SELECT id, array_to_string(l, chr(10)) AS text FROM planted_clean")
+def t5_clean_planted_text(t: Tables):
+    """Widget cuts, drops and trims of all rules over bodies with planted residue."""
+    return t.planted.select("id", textclean.clean_text(F.col("body")).alias("text"))
+
+
 @query("lines", r"""SELECT id, count(*) FILTER (regexp_matches(regexp_replace(regexp_replace(x, '["''“”‘’()\[\]『』「」《》]+$', ''), '\s+$', ''), '[.!?다요]$')) AS terminal FROM (SELECT id, unnest(l) AS x FROM lines) GROUP BY id""")
 def t4_ends_with_terminal(t: Tables):
     rows = t.articles.select("id", F.explode(textclean.raw_lines(F.col("body"))).alias("x"))
@@ -52,6 +65,11 @@ def t7_residue_stats(t: Tables):
     return textclean.residue_stats(t.articles)
 
 
+@query("planted_cut", f"SELECT source_type, rule, count(*) AS lines FROM (SELECT source_type, {RULE_SQL} AS rule FROM (SELECT source_type, unnest(l) AS x FROM planted_cut)) WHERE rule IS NOT NULL GROUP BY ALL")
+def t7_all_residue_stats(t: Tables):
+    return textclean.residue_stats(t.planted)
+
+
 @query("articles", "SELECT id FROM articles WHERE status = '검증됨'")
 def f2_verified(t: Tables):
     return P.verified(t.articles).select("id")

@@ -14,6 +14,13 @@ from .. import schemas as S
 AS_OF = dt.date(2001, 8, 1)
 DICTIONARY = (("the", ""), ("tion", "tions"), ("License", "Apache License"), ("der", ""), ("que", "qué"), ("MIT", ""), ("and", ""), ("GNU", "General Public"), ("rights reserved", ""), ("é", ""))
 LABELS = ("partner", "supplier", "investor")
+# Lines of Korean news pages, some of which each residue rule takes or trims, and some that none may.
+RESIDUE = (
+    "문의 a.b@c.co.kr", "홍길동 기자", "한국일보 홍길동 기자", "홍길동 기자가 썼다.", "입력 2026-01-02 03:04:05", "수정: 2026-01-02 03:04", "입력 2026-01-02", "ADVERTISEMENT", "advertisements", "---", "----", "가나은행 제공", "자료를 제공했다.", "[기획 ①] 은행의 내일", "[기획] 은행의 내일",
+    "무단 전재 금지", "재배포를 금한다.", "Copyright 2026. All rights reserved", "copyright 2026", "사진 제공 = 가나은행", "사진=연합", "그래픽 = 이가나", "행사 모습 [가나은행 제공]", "ⓒ 가나일보 홍길동 기자", "댓글 (12)", "300 자 이내로 써주세요", "댓글은 표시가 제한됩니다", "댓글이 많다.",
+    "[제보] 02-000-0000", "뉴스를 구독해주세요", "제보를 기다립니다", "▶카카오톡 : 가나", "▶ 다음 기사", "인터넷신문 등록번호 : 서울 아00000", "주민등록번호를 수집했다.", "청소년 보호 책임자 : 이가나", "Tel : 02-0 Fax : 02-1", "함께 읽는 [가나 뉴스]",
+    "한국일보 홍길동 기자 | 은행이 밝혔다.", "홍길동 기자 · 은행이 밝혔다.", "[가나일보=홍길동 기자] 은행이 밝혔다.", "[서울=이가나 특파원]은행이 밝혔다.", "이미지 확대보기은행이 밝혔다.", "관련기사", "추천 뉴스 모음", "은행이 새 지점을 열었다.", "- 하나",
+)
 
 
 class Tables:
@@ -125,6 +132,13 @@ class Tables:
             F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id * 37 % 400 as int))").alias("published_at"), F.when(ok, S.VERIFIED).otherwise(S.UNVERIFIED).alias("status"),
         )
 
+    @cached_property
+    def planted(self) -> DataFrame:
+        """The text news with four lines of ``RESIDUE`` behind each body, chosen by id, and a last sentence."""
+        n, lines = F.col("id"), F.array(*[F.lit(x) for x in RESIDUE])
+        chosen = [F.get(lines, ((n * a + b) % len(RESIDUE)).cast("int")) for a, b in ((1, 0), (3, 11), (5, 23), (7, 31))]
+        return self.articles.withColumn("body", F.concat_ws("\n", F.col("body"), F.lit("은행이 밝혔다."), *chosen, F.lit("끝으로 덧붙였다.")))
+
     @cached_property
     def dictionary(self) -> DataFrame:
         """Entities whose names stand in the documents; names are fixed, an alias and activity come by id."""
