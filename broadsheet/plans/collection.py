@@ -205,11 +205,39 @@ def p6_coalesce_body(t: Tables):
     return t.raw("pages").select("page_id", F.substring_index(body, "|", 1).alias("picked"))
 
 
-@query()
+def _nodes(of: str) -> str:
+    """SQL for the stripped text nodes of a piece of HTML that aren't empty, a line each, references resolved."""
+    text = "x"
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{c}')"
+    strip = r"regexp_replace({}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({of}, '<[^<>]*>'), lambda x: {strip.format(text)}), lambda x: x <> ''), chr(10))"
+
+
+_MAIN = "html"
+for _tag in ("head", "script", "style", "nav", "header", "footer", "aside", "form", "table", "noscript", "iframe"):
+    _MAIN = f"regexp_replace({_MAIN}, '(?is)<{_tag}(\\s[^<>]*)?>.*?</{_tag}>', '<x>', 'g')"
+_MAIN = f"regexp_replace({_MAIN}, '(?s)<!--.*?-->', '', 'g')"
+
+
+@query("", f"SELECT page_id, CASE WHEN length(t) >= 200 THEN t END AS text FROM (SELECT page_id, {_nodes(_MAIN)} AS t FROM pages)")
 def p7_extract_article_text(t: Tables):
     return t.raw("pages").select("page_id", P.extract_article_text(F.col("html")).alias("text"))
 
 
+_AREA = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+
+
+@query("", f"SELECT page_id, CASE WHEN length(t) >= 200 THEN t END AS text FROM (SELECT page_id, {_nodes(_AREA)} AS t FROM pages)")
+def p7_portal_article_text(t: Tables):
+    """Pages whose article stands in one of both containers, with a script put into it. Blank lines aside."""
+    area = F.when(F.col("page_id") % 2 == 0, '<div class=x id="dic_area">').otherwise("<DIV id='articleBodyContents'>")
+    html = F.replace(F.replace("html", F.lit("<article>"), F.concat(area, F.lit("<script>var d = '</p><div>';</script>"))), F.lit("</article>"), F.lit("</div>"))
+    text = P.extract_article_text(html)
+    lines = F.filter(F.transform(F.split(text, "\n"), P.strip), lambda x: x != "")
+    return t.raw("pages").select("page_id", F.array_join(lines, "\n").alias("text"))
+
+
 @query("insights", "SELECT id, coalesce(nullif(content_short, ''), content) AS text FROM insights")
 def p8_display_text(t: Tables):
     return t.insights.select("id", P.display_text(F.col("content_short"), F.col("content")).alias("text"))
