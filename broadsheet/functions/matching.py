@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,38 @@ def token_and_match(text: Column, keyword: Column) -> Column:
     return F.forall(tokens, lambda t: F.contains(F.lower(text), t))
 
 
+def tokens_in(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(news_id, text) and (keyword, tokens), lower-cased -> (news_id, keyword) where the text holds all tokens. A
+    keyword without tokens stands everywhere."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r.keyword, sorted(set(r.tokens))) for r in words.where("tokens is not null").toLocalIterator()])
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        always = [k for k, tokens in shared.value if not tokens]
+        holders: dict[str, list[tuple[str, int]]] = {}
+        for keyword, tokens in shared.value:
+            for t in tokens:
+                holders.setdefault(t, []).append((keyword, len(tokens)))
+        automaton = ahocorasick.Automaton()
+        for t in holders:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+
+        def found(text: str) -> list[str]:
+            met: dict[str, int] = {}
+            out = list(always)
+            for t in {t for _, t in automaton.iter(text)} if holders else ():
+                for keyword, needs in holders[t]:
+                    met[keyword] = met.get(keyword, 0) + 1
+                    if met[keyword] == needs:
+                        out.append(keyword)
+            return out
+
+        for pdf in frames:
+            yield pd.DataFrame({"news_id": pdf.news_id, "keyword": pdf.text.map(found)}).explode("keyword").dropna()
+
+    return rows.where("news_id is not null and text is not null").mapInPandas(match, "news_id long, keyword string")
+
+
 #: Aliases in one broadcast automaton.
 ALIASES = 200_000
 _WORD_CHARS = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")

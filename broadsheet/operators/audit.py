@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.matching import bundle_label, entity_names, in_blocks, token_and_match
+from ..functions.matching import bundle_label, entity_names, in_blocks, tokens_in
 from ..functions.scalars import local_date, verified
 from .judgment import latest_correction, tag_entities
 
@@ -41,14 +41,14 @@ def retroactive_split(records: DataFrame, tz: str = S.SEOUL) -> DataFrame:
     return records.groupBy("criterion_code").agg(F.count(F.when(same, 1)).alias("new"), F.count(F.when(~same, 1)).alias("retroactive"))
 
 
-def keyword_matches(news: DataFrame, keywords: DataFrame, block: int = 2000) -> DataFrame:
-    """(news_id, keyword): each active collect keyword all of whose tokens stand in title or body. The
-    keywords are a stated dimension and are broadcast ``block`` at a time."""
+def keyword_matches(news: DataFrame, keywords: DataFrame, block: int = 200_000) -> DataFrame:
+    """(news_id, keyword): each active collect keyword all of whose tokens stand in title or body. One automaton of the
+    tokens of ``block`` keywords goes over each text once, whatever their number."""
     words = keywords.where((F.col("keyword_type") == S.COLLECT) & F.col("is_active")).select("keyword").distinct()
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    words = words.withColumn("tokens", F.filter(F.split(F.lower("keyword"), r"(?U)\s+"), lambda t: t != ""))
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit(""))))
     rows = news.select(F.col("id").alias("news_id"), text.alias("text"))
-    met = [rows.join(F.broadcast(part), token_and_match(F.col("text"), F.col("keyword"))).select("news_id", "keyword") for part in in_blocks(words, block)]
-    return reduce(DataFrame.union, met)
+    return reduce(DataFrame.union, [tokens_in(rows, part) for part in in_blocks(words, block, "keyword")])
 
 
 def keyword_attribution(news: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -213,8 +213,16 @@ def list_by_day(news: DataFrame, tz: str = S.SEOUL) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("local_date").orderBy(F.desc("published_at"), F.desc("id"))))
 
 
+#: Active organisations that are listed for an article at most.
+LISTED = 100_000
+
+
 def article_links(news_ids: DataFrame, insight_news: DataFrame, bridge: DataFrame, orgs: DataFrame) -> DataFrame:
-    """(news_id, kind, target_id) for the requested articles: insight, linked_org and unlinked_org."""
+    """(news_id, kind, target_id) for the requested articles: insight, linked_org and unlinked_org. Unlinked organisations
+    are listed for each article, so this is for a dictionary of organisations; one beyond ``LISTED`` is refused, since
+    that is a table to be joined with what is linked."""
+    if orgs.where("is_active").limit(LISTED + 1).count() > LISTED:
+        raise ValueError(f"over {LISTED} active organisations: join them with the linked ones instead")
     ids = news_ids.select("news_id").distinct()
     linked = bridge.join(ids, "news_id", "left_semi").select("news_id", F.lit("linked_org").alias("kind"), F.col("entity_id").alias("target_id"))
     active = ids.crossJoin(F.broadcast(orgs.where("is_active").select(F.col("id").alias("target_id"))))  # the requested few

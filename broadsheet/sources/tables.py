@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.scalars import local_date
@@ -45,6 +49,85 @@ def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **optio
     df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
 
 
+def key_ranges(key: str, low: int | None, high: int | None, rows: int, each: int) -> list[str]:
+    """Conditions on a whole-number key that part a table into ranges of about ``each`` rows if keys are spread
+    evenly; the first is open below and takes null keys, the last is open above, so rows that come meanwhile are read once."""
+    parts = 1 if low is None else max(1, min(-(-rows // each), high - low + 1))
+    cuts = [low + (high - low + 1) * i // parts for i in range(1, parts)] if parts > 1 else []
+    if not cuts:
+        return ["1 = 1"]
+    return [f"{key} < {cuts[0]} OR {key} IS NULL", *(f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)), f"{key} >= {cuts[-1]}"]
+
+
+def _quoted(spark: SparkSession, url: str, *names: str) -> list[str]:
+    """Column names as the database quotes them."""
+    dialect = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    return [dialect.quoteIdentifier(n) for n in names]
+
+
+def read_jdbc_by_key(spark: SparkSession, url: str, name: str, key: str, each: int = 100_000, **options: str) -> DataFrame:
+    """A table read by many connections, each a range of the key; bounds and count come from one query first."""
+    (key,) = _quoted(spark, url, key)
+    bounds = f"(SELECT MIN({key}) AS low, MAX({key}) AS high, COUNT(*) AS n FROM {name}) b"
+    low, high, n = (None if v is None else int(v) for v in read_jdbc(spark, url, bounds, **options).first())
+    return spark.read.jdbc(url, name, predicates=key_ranges(key, low, high, n, each), properties=dict(options))
+
+
+#: What tells a staged row's task and its attempt.
+TASK, ATTEMPT = "load_task", "load_attempt"
+
+
+def stage_jdbc(df: DataFrame, url: str, stage: str, **options: str) -> None:
+    """Writes rows into a staging table of their own, with the task and the attempt that wrote them. A task's rows are
+    one transaction, so each attempt is there in whole or not at all; a repeated one is there twice."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get()
+        for b in batches:
+            more = [pa.array([v] * b.num_rows, pa.int64()) for v in (at.partitionId(), at.taskAttemptId())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, TASK, ATTEMPT])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(TASK, T.LongType()), T.StructField(ATTEMPT, T.LongType())])
+    write_jdbc(df.mapInArrow(marked, schema), url, stage, "overwrite", **options)
+
+
+def publish_jdbc(spark: SparkSession, url: str, stage: str, name: str, columns: list[str], key: str | None = None, **options: str) -> int:
+    """Moves one attempt of each task from the staging table to the table, in one transaction, and drops the staging
+    table. ``key``: rows whose key is there already stay out, so a load that is run again adds nothing. Returns
+    the rows added."""
+    jvm, cols = spark.sparkContext._jvm, ", ".join(_quoted(spark, url, *columns))
+    task, attempt, own = _quoted(spark, url, TASK, ATTEMPT, key or "")
+    known = f" AND NOT EXISTS (SELECT 1 FROM {name} t WHERE t.{own} = s.{own})" if key else ""
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    properties = jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        once = f"s.{attempt} = (SELECT MIN(m.{attempt}) FROM {stage} m WHERE m.{task} = s.{task})"
+        added = statement.executeUpdate(f"INSERT INTO {name} ({cols}) SELECT {cols} FROM {stage} s WHERE {once}{known}")
+        connection.commit()
+        statement.executeUpdate(f"DROP TABLE {stage}")
+        connection.commit()
+        return added
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def load_jdbc(df: DataFrame, url: str, name: str, key: str | None = None, **options: str) -> int:
+    """Appends rows to a table in one transaction, by way of a staging table: a retried task, or a second run with a
+    key, doubles nothing, and readers see all rows or none."""
+    stage = f"{name}_load_{uuid.uuid4().hex[:8]}"
+    stage_jdbc(df, url, stage, **options)
+    return publish_jdbc(df.sparkSession, url, stage, name, df.columns, key, **options)
+
+
 def log_rows(runs: DataFrame) -> DataFrame:
     """Collection-log rows from runs (started_at, collected_count, errors array<string>, actor)."""
     message = F.nullif(F.array_join(F.coalesce("errors", F.array().cast("array<string>")), "\n"), F.lit(""))
