@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
 from ..functions import matching
@@ -68,6 +72,61 @@ def stream_gap_alert(news: DataFrame, orphans: DataFrame, as_of: dt.date, path:
     return news.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_queue_alerts(changes: DataFrame, patience: dt.timedelta, by: str = "source_type") -> DataFrame:
+    """(queue, waiting): an alert for each verification queue that hasn't been empty for ``patience`` of real time, once
+    until it has been empty again. ``changes``: a stream of articles with their status: an unverified one joins its queue, a
+    verified one leaves it.
+
+    The alert needs no arrival: each queue holds a timer of processing time, and a stream without data still runs
+    batches for due timers (start it with a trigger by time). Counts are added up in each task before they
+    meet, so a queue of a third of all articles sends a row for each task."""
+    step = F.when(F.col("status") == S.UNVERIFIED, 1).when(F.col("status") == S.VERIFIED, -1).otherwise(0)
+    rows = changes.where(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("queue"), step.cast("long").alias("delta"))
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.groupby("queue", as_index=False).delta.sum()
+
+    limit = int(patience.total_seconds() * 1000)
+
+    def advance(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, since, told = state.get if state.exists else (0, 0, False)
+        if state.hasTimedOut:
+            state.update((waiting, since, True))
+            yield pd.DataFrame({"queue": [key[0]], "waiting": [waiting]})
+            return
+        waiting = max(0, waiting + sum(int(pdf.delta.sum()) for pdf in frames))
+        if not waiting:
+            if state.exists:
+                state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        since = since or now
+        state.update((waiting, since, told))
+        if not told:
+            state.setTimeoutDuration(max(1, since + limit - now))
+
+    deltas = rows.mapInPandas(summed, "queue string, delta long")
+    return deltas.groupBy("queue").applyInPandasWithState(advance, "queue string, waiting long", "waiting long, since long, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_until(df: DataFrame, path: str, rows: int, seconds: float = 120.0, every: str = "500 milliseconds") -> DataFrame:
+    """Drives a stream whose rows come by timers: until ``rows`` rows are in ``path``, or the time is over."""
+    spark, schema = df.sparkSession, df.schema
+    q = df.writeStream.foreachBatch(lambda out, n: out.write.mode("append").parquet(path)).option("checkpointLocation", f"{path}-state").trigger(processingTime=every).start()
+    read = lambda: spark.read.schema(schema).parquet(path)
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    try:
+        end = time.time() + seconds
+        while time.time() < end and q.exception() is None and read().count() < rows:
+            time.sleep(0.5)
+        if q.exception() is not None:
+            raise q.exception()
+    finally:
+        q.stop()
+    return read()
+
+
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Drives a stream to its end into Parquet; in update or complete mode the last batch's rows stay."""
     if mode == "append":
