@@ -1,7 +1,8 @@
 """License scans: texts compared with license templates by the Dice coefficient over word bigrams.
 
 Sentences, lines, paragraphs and the whole text are compared; of the near ties among what matches, the
-larger template names the license. Dice of two sets is at least t only if neither is
+larger template names the license. Words that tell licenses of a family apart must be the same in both, and what
+several licenses share gives way to anything else. Dice of two sets is at least t only if neither is
 over (2 - t) / t times the other's size, which leaves few templates for most units.
 """
 
@@ -67,11 +68,39 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so."),
+    ("LGPL-3.0-or-later", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1-or-later", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1-only", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
+    ("LGPL-2.1-only", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0-or-later", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0-or-later", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("GPL-2.0-only", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it."),
+    ("GPL-2.0-only", "Licensed under the GPL version 2."),
+    ("GPL-3.0-only", "Licensed under the GPL version 3."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
+#: Words that tell licenses of a family apart. A unit matches only templates with the same of them.
+TELLING = ("affero", "lesser", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike")
+#: Texts that several licenses share; they name one only if nothing else in a text does.
+SHARED = (_BSD_GRANT, _BSD_WARRANTY)
 
 #: How far below the best Dice a larger template still names the license.
 NEAR = 0.05
 _RANK_OF_UNIT = lambda x: (-x[0], -x[1], x[2])
+_TELLING = frozenset(w.encode() for w in TELLING)
 _SENTENCE_END = re.compile(r"[.!?][ \t]+")
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz\n"
 _TO_SPACE = bytes(b if b >= 128 or b in _KEPT else 32 for b in range(256))
@@ -87,25 +116,34 @@ def bigrams(part: bytes) -> set[tuple[bytes, bytes]]:
     return set(zip(words, words[1:]))
 
 
+def telling(part: bytes) -> frozenset[bytes]:
+    """The words of a unit that tell licenses apart."""
+    return frozenset(_TELLING.intersection(part.split()))
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, share: float = 0.8):
-        sets = sorted(((bigrams(normalized(t)), name) for name, t in templates), key=lambda x: (len(x[0]), x[1]))
-        self.sets = [x for x in sets if x[0]]
-        self.sizes, self.share, self.ratio = [len(s) for s, _ in self.sets], share, (2 - share) / share
+        made = ((bigrams(n), name, telling(n), t in SHARED) for name, t in templates for n in [normalized(t)])
+        self.sets = sorted((x for x in made if x[0]), key=lambda x: (len(x[0]), x[1]))
+        self.sizes, self.share, self.ratio = [len(x[0]) for x in self.sets], share, (2 - share) / share
 
-    def unit(self, part: bytes) -> tuple[float, int, str] | None:
-        """(Dice, template's bigrams, license) of the template nearest to the unit, if it matches; ties go to
-        the larger template, then by name."""
+    def unit(self, part: bytes) -> tuple[float, int, str, bool] | None:
+        """(Dice, template's bigrams, license, whether it is shared) of the template nearest to the unit, if it matches;
+        ties go to the larger template, then by name."""
         if len(part) < 2:
             return None
         own = bigrams(part)
         lo, hi = bisect_left(self.sizes, len(own) / self.ratio - 1e-9), bisect_right(self.sizes, len(own) * self.ratio + 1e-9)
-        scored = ((2 * len(own & s) / (len(own) + len(s)), len(s), name) for s, name in self.sets[lo:hi] if own)
+        if lo >= hi or not own:
+            return None
+        tells = telling(part)
+        scored = ((2 * len(own & s) / (len(own) + len(s)), len(s), name, shared) for s, name, words, shared in self.sets[lo:hi] if words == tells)
         return min((x for x in scored if x[0] >= self.share), key=_RANK_OF_UNIT, default=None)
 
     def text(self, text: str) -> tuple[str | None, float, int]:
         """(license, Dice, units that match) over sentences, lines, paragraphs and the text. Of the units'
-        matches within NEAR of the best Dice the largest template wins, then the higher Dice, then the name."""
+        matches within NEAR of the best Dice the largest template wins, then the higher Dice, then the name;
+        shared ones count only if there are no others."""
         plain = normalized(text)
         lines = plain.split(b"\n")
         units, block = [*lines], []
@@ -125,8 +163,9 @@ class Scanner:
         found = [x for x in map(self.unit, units) if x]
         if not found:
             return None, 0.0, 0
-        top = max(x[0] for x in found)
-        dice, _, name = min((x for x in found if x[0] >= top - NEAR), key=lambda x: (-x[1], -x[0], x[2]))
+        kept = [x for x in found if not x[3]] or found
+        top = max(x[0] for x in kept)
+        dice, _, name, _ = min((x for x in kept if x[0] >= top - NEAR), key=lambda x: (-x[1], -x[0], x[2]))
         return name, dice, len(found)
 
 

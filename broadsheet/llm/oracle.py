@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import TEMPLATES
+from .license_scan import SHARED, TELLING, TEMPLATES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -81,9 +81,10 @@ def _quoted(s: str) -> str:
 
 _GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 _TOKENS = f"regexp_extract_all({_LOWER.format('{0}')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TELLS = f"array_to_string(list_sort(list_filter(list_distinct({{0}}), lambda x: x IN ({', '.join(map(_quoted, TELLING))}))), ' ')"
 OP7 = f"""
-WITH t(license, body) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(b)})" for n, b in TEMPLATES)}),
-templates AS (SELECT license, {_GRAMS.format("w")} AS g FROM (SELECT license, {_TOKENS.format("body")} AS w FROM t)),
+WITH t(license, body, shared) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(b)}, {b in SHARED})" for n, b in TEMPLATES)}),
+templates AS (SELECT license, shared, {_TELLS.format("w")} AS k, {_GRAMS.format("w")} AS g FROM (SELECT license, shared, {_TOKENS.format("body")} AS w FROM t)),
 rows_ AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
 lines_ AS (SELECT row_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows_),
 blocks AS (
@@ -92,14 +93,15 @@ blocks AS (
   GROUP BY row_id, block HAVING count(*) > 1),
 sentences AS (SELECT row_id, unnest(string_split_regex(part, '[.!?][ \t]+')) AS part FROM lines_ WHERE regexp_matches(part, '[.!?][ \t]+')),
 units AS (SELECT row_id, part FROM lines_ UNION ALL SELECT * FROM blocks UNION ALL SELECT row_id, text FROM rows_ WHERE contains(text, chr(10)) UNION ALL SELECT * FROM sentences),
-bags AS (SELECT row_id, u, {_GRAMS.format("w")} AS g FROM (SELECT row_id, row_number() OVER () AS u, {_TOKENS.format("part")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 100000),
+bags AS (SELECT row_id, u, {_TELLS.format("w")} AS k, {_GRAMS.format("w")} AS g FROM (SELECT row_id, row_number() OVER () AS u, {_TOKENS.format("part")} AS w FROM units) WHERE len(w) BETWEEN 2 AND 100000),
 scored AS (
-  SELECT row_id, u, license, len(t.g) AS size, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice
-  FROM bags b JOIN templates t ON len(b.g) * 2 <= len(t.g) * 3 AND len(t.g) * 2 <= len(b.g) * 3),
-nearest AS (SELECT row_id, u, max(dice) AS dice, arg_min(size, (-dice, -size, license)) AS size, arg_min(license, (-dice, -size, license)) AS license FROM scored WHERE dice >= 0.8 GROUP BY row_id, u),
-matched AS (SELECT *, max(dice) OVER (PARTITION BY row_id) AS top FROM nearest),
+  SELECT row_id, u, license, shared, len(t.g) AS size, 2.0::DOUBLE * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) AS dice
+  FROM bags b JOIN templates t ON len(b.g) * 2 <= len(t.g) * 3 AND len(t.g) * 2 <= len(b.g) * 3 AND b.k = t.k),
+nearest AS (SELECT row_id, u, max(dice) AS dice, arg_min(size, (-dice, -size, license)) AS size, arg_min(license, (-dice, -size, license)) AS license, arg_min(shared, (-dice, -size, license)) AS shared FROM scored WHERE dice >= 0.8 GROUP BY row_id, u),
+kept AS (SELECT *, shared = min(shared) OVER (PARTITION BY row_id) AS counts FROM nearest),
+matched AS (SELECT *, max(dice) FILTER (counts) OVER (PARTITION BY row_id) AS top FROM kept),
 best AS (
-  SELECT row_id, count(DISTINCT u) AS units, arg_min(dice, (-size, -dice, license)) FILTER (dice >= top - 0.05) AS dice, arg_min(license, (-size, -dice, license)) FILTER (dice >= top - 0.05) AS license
+  SELECT row_id, count(DISTINCT u) AS units, arg_min(dice, (-size, -dice, license)) FILTER (counts AND dice >= top - 0.05) AS dice, arg_min(license, (-size, -dice, license)) FILTER (counts AND dice >= top - 0.05) AS license
   FROM matched GROUP BY row_id)
 SELECT doc_id, license, coalesce(dice, 0.0::DOUBLE) AS dice, CAST(coalesce(units, 0) AS INTEGER) AS units FROM rows_ LEFT JOIN best USING (row_id)
 """

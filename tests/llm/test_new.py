@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import conversations, packing, simhash, whitening
+from broadsheet.llm import conversations, license_scan, packing, simhash, whitening
 
 VECTORS = "vec_id long, embedding array<float>, n string, x int, component int, whitened string"
 TURNS = "conv_id long, turn long, role string, text string, fault int, part string, _d string"
@@ -291,3 +291,21 @@ def test_texts_of_one_template_form_no_pairs(spark):
     members = simhash._contested(simhash._postings(own, 5)).withColumn("class", F.col("sig"))
     assert members.groupBy("key").count().agg(F.max("count")).first()[0] >= 3000 and simhash._pairs(members).count() == 0
     assert simhash.keep_one(df).count() == 3000
+
+
+def test_licenses_of_a_family_are_told_apart(spark):
+    """Public notices that differ in a word, headers in paragraphs before code, and what several licenses share."""
+    s = license_scan
+    grant = next(t for n, t in s.TEMPLATES if n == "MIT-0")
+    header = "\n\n".join(["Copyright 2020 Foo", s._BSD_GRANT, "1. " + s._BSD_SOURCE, "2. " + s._BSD_BINARY, "3. " + s._BSD_NAMES, s._BSD_WARRANTY, "int main(void) { return 0; }\n" * 40])
+    cases = {
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "LGPL-3.0-or-later", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation.": "LGPL-2.1-only",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-SA 3.0.": None, grant: "MIT-0", grant.replace("to do so.", "to do so, subject to the following conditions:"): "MIT", header: "BSD-3-Clause", header.replace("3. " + s._BSD_NAMES, "x"): "BSD-2-Clause",
+        "Mozilla Public License Version 2.0": "MPL-2.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "CC-BY-3.0", "Licensed under the GPL version 2.": "GPL-2.0-only",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] * 2, "doc_id long, text string")
+    got = df.select("doc_id", s.scan_licenses(df["text"]).alias("l")).select("doc_id", "l.license").collect()
+    assert len(got) == 2 * len(cases) and {r.doc_id: r.license for r in got} == dict(enumerate(cases.values()))
+    assert df.limit(0).select(s.scan_licenses(df["text"])).count() == 0
