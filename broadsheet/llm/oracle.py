@@ -40,8 +40,9 @@ SELECT page_id, coalesce({_HOST.format("url")}, '') AS host, coalesce({_PATH.for
 FROM pages LEFT JOIN ruled ON u = url LEFT JOIN classes ON node = {_NODE.format("url")}
 """
 
-#: The same with redirects from every third page to the next, a table derived from the pages.
-OP1_REDIRECTS = OP1.replace("FROM links WHERE dst IS NOT NULL)", f"FROM links WHERE dst IS NOT NULL UNION ALL SELECT {_NODE.format('p.url')}, {_NODE.format('q.url')} FROM pages p JOIN pages q ON q.page_id = p.page_id + 1 WHERE p.page_id % 3 = 0)")
+#: The same with redirects from some pages to the next, a table derived from the pages.
+_REDIRECTED = "FROM links WHERE dst IS NOT NULL UNION ALL SELECT {} FROM pages p JOIN pages q ON q.page_id = p.page_id + 1 WHERE {})"
+OP1_REDIRECTS, OP1_CHAINS = (OP1.replace("FROM links WHERE dst IS NOT NULL)", _REDIRECTED.format(f"{_NODE.format('p.url')}, {_NODE.format('q.url')}", which)) for which in ("p.page_id % 3 = 0", "p.page_id % 10 <> 9"))
 
 #: Words and verdicts of the line-frequency rules; ``{docs}`` is the table.
 LINE_VERDICTS = f"""
@@ -168,4 +169,4 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0
 FROM d LEFT JOIN sums USING (row_id) LEFT JOIN kept USING (row_id)
 """
 
-ORACLE_SQL = {"redirect_classes": OP1_REDIRECTS, "op2_jump_sharding": OP2, "op4_spaced_seed_decontamination": OP4, "op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}
+ORACLE_SQL = {"redirect_classes": OP1_REDIRECTS, "redirect_chains": OP1_CHAINS, "op2_jump_sharding": OP2, "op4_spaced_seed_decontamination": OP4, "op5_suffix_array_dedup": OP5, "op7_license_dice": OP7, "op1_redirect_url_filter": OP1, "op6_line_frequency_quality": OP6}

@@ -13,14 +13,24 @@ def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-def redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1's operator with a table of redirects, from every third page to the next."""
+def _redirected(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """op1's operator with a table of redirects from some pages to the next."""
     pages = table(spark, sf_dir, "pages")
     target = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
-    edges = pages.where("page_id % 3 = 0").join(target, "page_id").select(F.col("url").alias("src"), "dst")
+    edges = pages.where(which).join(target, "page_id").select(F.col("url").alias("src"), "dst")
     return url_filter.judge_urls(pages, edges)
 
 
+def redirect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page redirects to the next."""
+    return _redirected(spark, sf_dir, "page_id % 3 = 0")
+
+
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but every tenth page redirect to the next: chains of ten."""
+    return _redirected(spark, sf_dir, "page_id % 10 <> 9")
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_slots(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -83,4 +93,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.every(conversations.reports(conversations.repair(conversations.damage(rows))), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix, op11_shifted_cholesky_whitening, op12_shortest_pack_first, op13_conversation_repair, redirect_classes)}
+QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_jump_sharding, op3_viterbi_token_counts, op4_spaced_seed_decontamination, op5_suffix_array_dedup, op6_line_frequency_quality, op7_license_dice, op8_simhash_trie, op9_suffix_tree_lm, op10_subset_sum_mix, op11_shifted_cholesky_whitening, op12_shortest_pack_first, op13_conversation_repair, redirect_classes, redirect_chains)}
