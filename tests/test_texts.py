@@ -95,3 +95,27 @@ def test_article_text():
     assert P.article_text("<div id=dic_area>short</div>" + body) is None
     assert P.article_text(f"<nav>menu</nav><article><p>{body}</p></article><footer>foot</footer>") == body
     assert P.article_text(None) is None
+
+
+def test_planted_lines_meet_every_rule(spark):
+    """Each rule takes or trims a planted line, and some lines meet none."""
+    from broadsheet.functions import textclean as C
+    from broadsheet.sources.adapters import RESIDUE
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(RESIDUE)], "id int, x string")
+    got = {RESIDUE[r.id]: r.rule for r in rows.select("id", C.rule_of(F.col("x")).alias("rule")).collect()}
+    assert {r for r in got.values() if r} == {name for name, _ in (*C.DROP_RULES, *C.TRIM_RULES)}
+    assert all(got[x] is None for x in ("홍길동 기자가 썼다.", "입력 2026-01-02", "----", "advertisements", "자료를 제공했다.", "[기획] 은행의 내일", "copyright 2026", "댓글이 많다.", "▶ 다음 기사", "주민등록번호를 수집했다.", "- 하나"))
+
+
+def test_keywords_by_one_automaton(spark):
+    from broadsheet import schemas as S
+    from broadsheet.operators import audit
+
+    rng, parts = random.Random(4), ["ab", "b", "농협", "a", "xy", "A", "  "]
+    news = spark.createDataFrame([(i, "".join(rng.choices(parts, k=3)), rng.choice([None, "ab XY", ""])) for i in range(60)] + [(None, "ab", "b")], "id long, title string, body string")
+    words = [" ".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(25)] + ["", " "]
+    keywords = spark.createDataFrame([(i, w, S.COLLECT, None, True) for i, w in enumerate(words)] + [(99, "off", S.COLLECT, None, False)], "id long, keyword string, keyword_type string, sort string, is_active boolean")
+    got = sorted(tuple(r) for r in audit.keyword_matches(news, keywords, block=7).collect())
+    text = lambda r: ((r.title or "") + " " + (r.body or "")).lower()
+    assert got == sorted((r.id, w) for r in news.collect() if r.id is not None for w in set(words) if all(t in text(r) for t in w.lower().split()))
