@@ -77,18 +77,38 @@ def coalesce_body(original: Column, link: Column, portal_text: Column, generic_t
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIPPED = frozenset(["script", "style"])
 _BOILERPLATE = frozenset("nav header footer aside form table noscript iframe".split())
+#: Tags that end a block of text; a block mostly of links is a menu, whatever its tags, unless it is a heading.
+_BLOCKS = frozenset("address article blockquote body center dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section ul".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
+LINKED = 0.5
 
 
 class _Text(HTMLParser):
-    """Text nodes below the first element with an id; with ids empty, of the main part of a page."""
+    """Text nodes below the first element with an id; with none wanted, of the main part of a page: without boilerplate
+    elements, and without blocks of which over ``LINKED`` is the text of links."""
 
     def __init__(self, wanted: str | None):
         super().__init__(convert_charrefs=True)
         self.wanted, self.depth, self.skip, self.parts, self.done, self.open = wanted, 0, 0, [], False, []
+        self.block, self.links = [], 0  # (text, whether it is a link's) of the block so far; open links
+
+    def end_block(self):
+        """Keeps the block's text, if it isn't a menu."""
+        linked, total = (sum(len(t.strip()) for t, of_link in self.block if of_link or whole) for whole in (False, True))
+        if linked <= LINKED * total or not _HEADINGS.isdisjoint(self.open):
+            self.parts += [t for t, _ in self.block]
+        self.block = []
+
+    def close(self):
+        super().close()
+        self.end_block()
 
     def handle_starttag(self, tag, attrs):
+        if self.wanted is None and tag in _BLOCKS:
+            self.end_block()
         if tag in _VOID:
             return
+        self.links += tag == "a"
         if self.wanted is not None:
             if self.depth:
                 self.depth += 1
@@ -101,8 +121,11 @@ class _Text(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in self.open:
             return
+        if self.wanted is None and tag in _BLOCKS:
+            self.end_block()
         while self.open:
             top = self.open.pop()
+            self.links -= top == "a"
             if top in _SKIPPED or self.wanted is None and (top in _BOILERPLATE or top in ("title", "head")):
                 self.skip -= 1
             if self.depth:
@@ -113,7 +136,10 @@ class _Text(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip and (self.wanted is None or self.depth):
-            self.parts.append(data)
+            if self.wanted is None:
+                self.block.append((data, self.links > 0))
+            else:
+                self.parts.append(data)
 
 
 def article_text(page: str | None, ids: tuple[str, ...] = ("dic_area", "articleBodyContents"), generic: bool = True) -> str | None:

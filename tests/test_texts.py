@@ -119,3 +119,12 @@ def test_keywords_by_one_automaton(spark):
     got = sorted(tuple(r) for r in audit.keyword_matches(news, keywords, block=7).collect())
     text = lambda r: ((r.title or "") + " " + (r.body or "")).lower()
     assert got == sorted((r.id, w) for r in news.collect() if r.id is not None for w in set(words) if all(t in text(r) for t in w.lower().split()))
+
+
+def test_main_text_of_pages_without_telling_tags():
+    """Menus are told by their links; broken and nested markup, references and scripts don't disturb."""
+    body = "본문 문장이다. " * 30
+    menu = "<div class=m>" + "".join(f"<div><a href=/{i}>메뉴 {i}</a></div>" for i in range(9)) + "</div>"
+    page = f"<html><body>{menu}<div id=c><h1><a href=/x>제목이다</a></h1><p>{body}<p>둘째 <a href=/y>링크</a> 문단 &amp; &lt;끝&gt;<div>깊은 <b>글<i>자</b></div><script>var a = '<p>no</p>';</script></div><ul><li><a>더 보기</a><li><a>또 보기</a></ul>"
+    assert P.article_text(page) == "\n".join(["제목이다", body.strip(), "둘째", "링크", "문단 & <끝>", "깊은", "글", "자"])
+    assert P.article_text(f"<a href=/>{body}</a>") is None and P.article_text(f"<body><div><a>x</a>{body}") == "x\n" + body.strip()
