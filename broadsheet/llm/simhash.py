@@ -318,10 +318,13 @@ def _contested(postings: DataFrame) -> DataFrame:
     return cold.select("key", "sig", "at").union(postings.where("hot").select("key", "sig", "at")).distinct()
 
 
-def _stars(members: DataFrame, pick=F.min) -> DataFrame:
-    """(key, sig, at, class) -> pairs (a, b): under each key, one set with those of other classes and a like size."""
-    n = F.shiftright("at", 32)
-    firsts = members.groupBy("key").agg(pick(F.struct("sig", n.alias("n"), "class")).alias("head"))
+def _stars(members: DataFrame, by: str = "place") -> DataFrame:
+    """(key, sig, at, class) -> pairs (a, b): under each key, one set with those of other classes and a like size. By
+    ``place``: the set in which the key comes first. In an edited copy the shingles of its own edits, which nobody shares, come
+    before; so this is the text that the others were made from, where it is there. By ``sig``: the last by hash."""
+    n, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    rank = place if by == "place" else F.bitwise_not("sig")
+    firsts = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "sig", n.alias("n"), "class")).alias("head"))
     met = members.join(firsts, "key").where((F.col("class") != F.col("head.class")) & (5 * F.least(n, "head.n") >= 4 * F.greatest(n, "head.n")))
     return met.select(F.least("sig", "head.sig").alias("a"), F.greatest("sig", "head.sig").alias("b")).distinct()
 
@@ -431,7 +434,7 @@ def similar_sets(rows: DataFrame, words: int, max_bits: int) -> DataFrame:
     near = near.select("x", "y").union(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     tried = written(near.union(_stars(contested.withColumn("class", F.col("sig")))).distinct())
     classes = components(_alike(tried, nodes, rows, words))
-    for next_pairs in (lambda m: _stars(m, F.max), _pairs):
+    for next_pairs in (lambda m: _stars(m, "sig"), _pairs):
         members = contested.join(classes, F.col("sig") == F.col("node"), "left").select("key", "sig", "at", F.coalesce("component", "sig").alias("class"))
         rest = written(next_pairs(members).join(tried, ["a", "b"], "left_anti"))
         # Classes are stars already, so few rounds join them by the new links.
