@@ -15,6 +15,7 @@ import base64
 import zlib
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ from .common import written
 
 #: Tokens of a sequence; the id after each document; bytes of text encoded at once; units a worker remembers.
 LENGTH, END, CHUNK, REMEMBERED = 1024, 0, 8 << 20, 1 << 20
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: White space of the tokenizer's pattern. Texts with other runs of it than one character, or a line end before
 #: one more line end or blank, can't be cut before each blank and line end; nor can those with the mark itself.
 SPACE, MARK = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", "\x01"
@@ -43,9 +44,9 @@ class Encoder:
     chunk is encoded once and remembered, up to a bound that changes no id. Units are encoded by the same
     vocabulary as ranks, which is quicker; what lies beyond the basic plane by the tokenizer itself."""
 
-    def __init__(self, folder=public_tokenizers.path):
-        self.whole = Tokenizer.from_file(folder(VOCABULARY))
-        with open(folder(RANKS), "rb") as f:
+    def __init__(self, vocabulary: str = VOCABULARY, ranks_file: str = RANKS):
+        self.whole = Tokenizer.from_file(vocabulary)
+        with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.units = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -86,18 +87,18 @@ class Encoder:
         return out
 
 
-_encoder: list[Encoder] = []
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encode(texts: pa.Array):
+def encode(texts: pa.Array, files: tuple[str, str] = (VOCABULARY, RANKS)) -> Iterator[np.ndarray]:
     """Yields the ids of each text, null as empty; chunks of bounded size are encoded together."""
-    _encoder or _encoder.append(Encoder())
+    encoder = _encoders.get(files) or _encoders.setdefault(files, Encoder(*files))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = np.cumsum(pc.binary_length(texts).to_numpy())
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
-        yield from _encoder[0].chunk(texts[at:to])
+        yield from encoder.chunk(texts[at:to])
         at = to
 
 
@@ -202,7 +203,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> Plan:
 REST = "doc_id long, part int, n long, length int, pos long, whole long, before long, crcs array<long>, rest binary"
 
 
-def tokenised(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def tokenised(docs: DataFrame, length: int = LENGTH, files: tuple[str, str] = (VOCABULARY, RANKS)) -> DataFrame:
     """Each document's token count, the CRCs of its whole sequences, and its rest as 16-bit ids. ``pos`` counts the
     rests of a length, and ``before`` the whole sequences, that came before in the same task (``part``)."""
 
@@ -210,7 +211,7 @@ def tokenised(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         part, seen, before = TaskContext.get().partitionId(), {}, 0
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), files), strict=True):
                 ids = np.append(ids, np.uint16(END))
                 whole, n = divmod(len(ids), length)
                 rows.append((doc, part, len(ids), n, seen.get(n, 0), whole, before, [crc(ids[i * length : (i + 1) * length]) for i in range(whole)], ids[whole * length :].astype("<u2").tobytes()))
@@ -225,7 +226,7 @@ def tokenised(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, files: tuple[str, str] = (VOCABULARY, RANKS)) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of all documents, none
     padded but by less than a power of two asks for: sequences hold ``length`` tokens, a few at the end a power of two.
 
@@ -233,8 +234,9 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     are ignored; an empty table packs into nothing. A long text is encoded alone. The tokens are written once in the
     shared folder, 16 bits each and rests only, so that ranks hold if executors are lost. Ranks are running counts within
     a task plus the counts of the tasks before, so that a length which a third of all rows share is
-    no one task's. To the driver comes the histogram, fewer bins than ``length``."""
-    t = written(tokenised(docs, length))
+    no one task's. To the driver comes the histogram, fewer bins than ``length``. ``files``: the tokenizer's vocabulary, and the same as
+    ranks, by paths that all executors have; ids must fit 16 bits."""
+    t = written(tokenised(docs, length, files))
     counts = t.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole"))
     histogram = {r.length: r.n for r in counts.where("length > 0").groupBy("length").agg(F.sum("n").alias("n")).collect()}
     made = plan(histogram, length)

@@ -113,11 +113,10 @@ TRICKY = ["", None, " ", "\n", "a\n\nb", "a\n\n\nb", "x  y", " \n ", "a\n b", "t
 
 
 def test_ids_are_the_tokenizers():
-    import public_tokenizers
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    whole = Tokenizer.from_file(packing.VOCABULARY)
     rng = random.Random(1)
     texts = TRICKY + ["".join(rng.choice(["a", "B.", " ", " ", "\n", "\t", "7", "é", "'s", " ", "!"]) for _ in range(rng.randrange(60))) for _ in range(400)]
     got = [x.tolist() for x in packing.encode(pa.array(texts))]
@@ -125,10 +124,9 @@ def test_ids_are_the_tokenizers():
 
 
 def test_pack(spark):
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    whole = Tokenizer.from_file(packing.VOCABULARY)
     rng = random.Random(2)
     texts = TRICKY + [" ".join(rng.choice(["alpha", "of", "x,", "Z"]) for _ in range(rng.randrange(90))) for _ in range(300)] + ["same text here"] * 150 + ["word " * 30_000]
     ids = [None, 5, 5, *range(7, len(texts) + 4)]
