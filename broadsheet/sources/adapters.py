@@ -23,6 +23,15 @@ RESIDUE = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose few row groups would leave most cores idle, dealt out to all of them, for work that is all CPU. A large
+    table has row groups enough, and isn't shuffled."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
 class Tables:
     """The volume tables (from orders, lineitem, supplier and part) and the text tables (from documents)."""
 
@@ -124,7 +133,7 @@ class Tables:
     @cached_property
     def articles(self) -> DataFrame:
         """Text news from documents; labelled ones are verified by quality, others by their id."""
-        d, q = self.raw("documents"), self.raw("labels").select("doc_id", "quality")
+        d, q = spread(self.raw("documents")), self.raw("labels").select("doc_id", "quality")
         ok = F.when(F.col("quality").isNotNull(), F.col("quality") == 1).otherwise(F.col("doc_id") % 3 != 0)
         url = F.concat(F.lit("https://"), F.col("source"), F.lit("/"), F.col("doc_id"))
         return d.join(q, "doc_id", "left").select(
