@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, tidy
 
 
 def _pull(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = durable(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        row = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with tidy(e.sparkSession):
+            row = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == before or row[0] == 0:
             break
         before = row

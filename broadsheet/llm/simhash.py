@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, packed, unpacked, written
+from .common import durable, fresh, packed, tidy, unpacked, written
 from .graph import components
 
 #: Fingerprints that one trie holds at most, node pairs that are expanded at once, and pairs of
@@ -184,7 +184,8 @@ def _dealt(met: DataFrame, size: str, item: str, columns: list[str]) -> DataFram
 
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """Distinct fingerprints (fp long) -> a spanning set (a, b) of the links between them."""
-    count, m = prints.count(), 2
+    with tidy(prints.sparkSession):
+        count, m = prints.count(), 2
     while m < 5 and count / 2 ** (64 * m // (max_bits + m)) > CROWDED:
         m += 1
     blocks = max_bits + m
@@ -269,7 +270,8 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pd.DataFrame({"x": _set_of(unpacked([z])[0].decode(), words)})
 
     sample = rows.where(F.pmod("sig", F.lit(SAMPLE)) == 0).dropDuplicates(["sig"]).select("z").mapInPandas(sets, "x long")
-    found = sample.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).toPandas()[::-1]
+    with tidy(rows.sparkSession):
+        found = sample.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON).toPandas()[::-1]
     return found.x.to_numpy(np.int64), found.n.to_numpy(np.int64) * SAMPLE
 
 
@@ -371,7 +373,8 @@ def _by_size(slim: DataFrame) -> DataFrame:
 def _few(df: DataFrame) -> DataFrame:
     """A written table, broadcast if it is small."""
     df = written(df)
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+    with tidy(df.sparkSession):
+        return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import conversations, license_scan, packing, simhash, whitening
+from broadsheet.llm import common, conversations, graph, license_scan, packing, simhash, whitening
 
 VECTORS = "vec_id long, embedding array<float>, n string, x int, component int, whitened string"
 TURNS = "conv_id long, turn long, role string, text string, fault int, part string, _d string"
@@ -307,3 +307,21 @@ def test_licenses_of_a_family_are_told_apart(spark):
     got = df.select("doc_id", s.scan_licenses(df["text"]).alias("l")).select("doc_id", "l.license").collect()
     assert len(got) == 2 * len(cases) and {r.doc_id: r.license for r in got} == dict(enumerate(cases.values()))
     assert df.limit(0).select(s.scan_licenses(df["text"])).count() == 0
+
+
+def test_cuts_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    df = counts.join(spark.range(10).withColumnRenamed("id", "k").repartition(3), "k")
+    chain = spark.range(9).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    before = shuffles()
+    assert common.written(df).count() == common.durable(df).count() == 10
+    assert {r.component for r in graph.components(chain).collect()} == {0}
+    kept = simhash.keep_one(spark.createDataFrame([(i, " ".join(f"w{j + i % 3 * 50}" for j in range(40))) for i in range(12)], "doc_id long, text string"))
+    mine = {f"shuffle_{i}_" for i in {int(f.split("_")[1]) for f in shuffles() - before}}
+    assert len(mine) <= 2  # of the test's own counts and components, no more
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    assert spark.conf.get(common.CLEANUP) == "false" and df.count() == 10
