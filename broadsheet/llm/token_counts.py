@@ -47,6 +47,7 @@ class Counter:
         for piece, score in pieces:
             self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.single = frozenset(p for p, _ in pieces if len(p) == 1)
         self.longest = max((len(p) for p, _ in pieces), default=0) + 1
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         whole = any(SPACE in p.lstrip(SPACE) for p, _ in pieces)  # a piece crosses words: no units then
@@ -56,6 +57,8 @@ class Counter:
 
     def unit(self, text: str) -> tuple[int, float]:
         """Only the places that a piece can still reach back to are kept, however long the unit is."""
+        if len(text) <= KEPT and self.single.issuperset(text):
+            return self.plain(text)
         best, count, base = [0.0], [0], 0
         found = self.matches.iter(text)
         ahead = next(found, _NO_MATCH)
@@ -78,6 +81,15 @@ class Counter:
                 del best[: -self.longest], count[: -self.longest]
         return count[-1], best[-1]
 
+    def plain(self, text: str) -> tuple[int, float]:
+        """A unit all of whose characters are pieces, so that none is unknown and each place is reached."""
+        best, count = [0.0] + [float("-inf")] * len(text), [0] * (len(text) + 1)
+        for last, (length, score) in self.matches.iter(text):  # the longest of an end comes first, and stays in a tie
+            score += best[last + 1 - length]
+            if score > best[last + 1]:
+                best[last + 1], count[last + 1] = score, count[last + 1 - length] + 1
+        return count[-1], best[-1]
+
     def text(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a text, with a space put in front; (0, 0) of an empty one."""
         if not text:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import common, conversations, graph, license_scan, packing, simhash, whitening
+from broadsheet.llm import common, conversations, graph, license_scan, packing, simhash, token_counts, whitening
 
 VECTORS = "vec_id long, embedding array<float>, n string, x int, component int, whitened string"
 TURNS = "conv_id long, turn long, role string, text string, fault int, part string, _d string"
@@ -325,3 +325,13 @@ def test_cuts_leave_no_shuffle_files(spark):
     assert len(mine) <= 2  # of the test's own counts and components, no more
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
     assert spark.conf.get(common.CLEANUP) == "false" and df.count() == 10
+
+
+def test_plain_units_count_as_the_long_way_does():
+    rng = random.Random(4)
+    pieces = [(p, float(rng.randint(-4, 0))) for p in ("a", "b", "é", "ab", "ba", "aab", "bé", "abab", "▁", "▁a")]
+    plain, long = token_counts.Counter(pieces), token_counts.Counter(pieces)
+    long.single = frozenset()
+    units = ["".join(rng.choices("ab▁éx", (4, 4, 1, 1, 0.2), k=rng.randint(1, 12))) for _ in range(3000)]
+    assert [plain.unit(u) for u in units] == [long.unit(u) for u in units]
+    assert all(plain.plain(u) == plain.unit(u) for u in units if "x" not in u) and plain.unit("x")[1] == plain.unknown
