@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import common, conversations, graph, license_scan, packing, simhash, token_counts, whitening
+from broadsheet.llm import common, conversations, graph, license_scan, packing, simhash, suffix_tree_lm, token_counts, whitening
 
 VECTORS = "vec_id long, embedding array<float>, n string, x int, component int, whitened string"
 TURNS = "conv_id long, turn long, role string, text string, fault int, part string, _d string"
@@ -335,3 +335,13 @@ def test_plain_units_count_as_the_long_way_does():
     units = ["".join(rng.choices("ab▁éx", (4, 4, 1, 1, 0.2), k=rng.randint(1, 12))) for _ in range(3000)]
     assert [plain.unit(u) for u in units] == [long.unit(u) for u in units]
     assert all(plain.plain(u) == plain.unit(u) for u in units if "x" not in u) and plain.unit("x")[1] == plain.unknown
+
+
+def test_grams_sort_with_their_places():
+    rng = np.random.default_rng(6)
+    far = rng.integers(0, 1 << 56, 5000)
+    for x in (far, far | 7, far[:0], far[:1], np.zeros(50, np.int64), far % 9, np.concatenate([far, far, far ^ 3, far ^ (1 << 12)]), (1 << 55) + far % 1000):
+        rising, order = suffix_tree_lm._sorted(x)
+        assert sorted(order.tolist()) == list(range(len(x))) and (rising == np.sort(x)).all() and (x[order] == rising).all()
+        grams, at = suffix_tree_lm._distinct([x])
+        assert (grams == np.unique(x)).all() and (grams[at] == x).all()
