@@ -26,16 +26,16 @@ def deltas(store: Store, tables: dict[str, Key], rows: Contributions, dims: list
     new one plus one. So inserts, deletions, re-tagging and verification are all one case, and only the buckets of
     what changed are read."""
     if old is None:
-        counted = rows({name: store.read(name, key, version=new) for name, key in tables.items()})
+        counted = rows({name: store.keys(store.read(name, key, version=new), store.rows(name, new)) for name, key in tables.items()})
         return counted.groupBy(*dims).agg(F.count(F.lit(1)).alias("delta"))
     changed = [store.changes(name, key, old, new).select(F.col(_first(key)).alias("_id")) for name, key in tables.items()]
     ids = reduce(DataFrame.union, changed).distinct().checkpoint()
-    sides = []
+    n, sides = ids.count(), []
     for version, sign in ((old, -1), (new, 1)):
         frames = {}
         for name, key in tables.items():
             own = ids.withColumnRenamed("_id", _first(key))
-            frames[name] = store.read(name, key, own, version).join(own, _first(key), "left_semi")
+            frames[name] = store.keys(store.read(name, key, own, version).join(store.keys(own, n), _first(key), "left_semi"), n)
         sides.append(rows(frames).groupBy(*dims).agg((sign * F.count(F.lit(1))).alias("_n")))
     return sides[0].union(sides[1]).groupBy(*dims).agg(F.sum("_n").alias("delta")).where("delta <> 0")
 
@@ -47,5 +47,5 @@ def refresh(store: Store, rollup: str, tables: dict[str, Key], rows: Contributio
     found = deltas(store, tables, rows, dims, seen, last).checkpoint()
     if seen is None:
         return store.commit(keyed={rollup: (dims, found.withColumnRenamed("delta", "count"))}, marks={rollup: last}, digits=1)
-    now = found.join(store.read(rollup, among=found), dims, "left").select(*dims, (F.coalesce("count", F.lit(0)) + F.col("delta")).alias("count"))
+    now = found.join(store.keys(store.read(rollup, among=found), store.rows(rollup)), dims, "left").select(*dims, (F.coalesce("count", F.lit(0)) + F.col("delta")).alias("count"))
     return store.commit({rollup: (dims, now.where("count <> 0"))}, delete={rollup: (dims, now.where("count = 0"))}, marks={rollup: last})

@@ -37,16 +37,19 @@ def _store(t: Tables, tags: DataFrame) -> Store:
 def _change(t: Tables, store: Store, tags: DataFrame) -> None:
     """The batch is verified, tags are corrected, articles deleted: a commit each."""
     batch = t.news.where((F.col("id") % 10 == 3) & (F.col("status") == S.VERIFIED)).select(F.col("id").alias("news_id"))
-    waiting = store.read("news", among=batch.withColumnRenamed("news_id", "id")).join(batch.withColumnRenamed("news_id", "id"), "id", "left_semi")
-    store.commit({"news": ("id", judgment.verify_batch(waiting, batch, dt.datetime(2001, 8, 1)))})
+    waiting = store.read("news", among=batch.withColumnRenamed("news_id", "id")).join(store.keys(batch.withColumnRenamed("news_id", "id")), "id", "left_semi")
+    store.commit({"news": ("id", judgment.verify_batch(waiting, store.keys(batch), dt.datetime(2001, 8, 1)))})
     store.commit({"tags": (_KEYS["tags"], tags.where("news_id % 20 = 5").select("news_id", "entity_id"))}, delete={"tags": (_KEYS["tags"], _shifted(tags))})
     gone = t.news.where("id % 30 = 7").select("id")
-    lost = tags.join(gone.withColumnRenamed("id", "news_id"), "news_id", "left_semi")
+    lost = tags.join(store.keys(gone.withColumnRenamed("id", "news_id")), "news_id", "left_semi")
     store.commit(delete={"news": ("id", gone), "tags": (_KEYS["tags"], lost)})
 
 
 def _maintained(t: Tables, tags: DataFrame, rows: rollups.Contributions, dims: list[str]) -> DataFrame:
-    """A rollup that was counted before the changes and brought up to date after them."""
+    """A rollup that was counted before the changes and brought up to date after them. The tags are derived once."""
+    path = scratch(t.spark)
+    tags.write.parquet(path)
+    tags = t.spark.read.parquet(path)
     store = _store(t, tags)
     rollups.refresh(store, "counts", _KEYS, rows, dims)
     _change(t, store, tags)

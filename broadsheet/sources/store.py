@@ -37,6 +37,9 @@ class Store:
 
     #: Parts after which an upsert writes a table without buckets anew.
     PARTS = 16
+    #: Keys that a join may send to every task. More are shuffled: Spark goes by their bytes as compressed files, of
+    #: which sorted keys take few, and builds the table of a broadcast in the driver.
+    SENT = 100_000
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -69,6 +72,20 @@ class Store:
         """A number that was committed along with tables, such as a stream's batch."""
         return self._entries()["marks"].get(name)
 
+    def keys(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """A side of a join by key, which isn't broadcast unless it is known to have few ``rows``."""
+        return df if rows is not None and rows <= self.SENT else df.hint("merge")
+
+    def rows(self, name: str, version: int | None = None, without: Iterable[str] = ()) -> int | None:
+        """Rows and deletions in the parts of a keyed table, but for some parts; None where they weren't counted."""
+        entries = self._entries(version)
+        return self._count(entries, [p for p in entries["tables"][name] if p not in without])
+
+    @staticmethod
+    def _count(entries: dict, parts: Iterable[str]) -> int | None:
+        counted = [entries["parts"].get(part) for part in parts]
+        return None if None in counted else sum(about["rows"] for about in counted)
+
     def _bucket(self, key: Key, digits: int) -> Column:
         return F.right(F.lpad(F.hex(F.xxhash64(_columns(key)[0])), 16, "0"), F.lit(digits))
 
@@ -87,11 +104,12 @@ class Store:
 
     def _latest(self, entries: dict, parts: Iterable[str], key: Key | None, buckets: set[str] | None = None, gone: bool = False) -> DataFrame | None:
         """The rows of parts, oldest first, of which a later row with the same key takes the place; ``gone``: with deletions."""
-        frames = [df for part in parts if (df := self._part(entries, part, buckets)) is not None]
-        out, later = None, None
-        for df in reversed(frames):
-            kept = df if later is None else df.join(later, _columns(key), "left_anti")
+        frames = [(part, df) for part in parts if (df := self._part(entries, part, buckets)) is not None]
+        out, later, seen = None, None, []
+        for part, df in reversed(frames):
+            kept = df if later is None else df.join(self.keys(later, self._count(entries, seen)), _columns(key), "left_anti")
             out = kept if out is None else kept.unionByName(out)
+            seen.append(part)
             if key is not None:
                 later = df.select(*_columns(key)) if later is None else later.union(df.select(*_columns(key)))
         return out if out is None or gone or GONE not in out.columns else out.where(~F.col(GONE)).drop(GONE)
@@ -145,7 +163,7 @@ class Store:
         if gone is not None:
             dead = gone.select(*_columns(key)).distinct().withColumn(GONE, F.lit(True))
             # A row that is deleted and upserted at once stays.
-            dead = dead if rows is None else dead.join(rows.select(*_columns(key)), _columns(key), "left_anti")
+            dead = dead if rows is None else dead.join(self.keys(rows.select(*_columns(key))), _columns(key), "left_anti")
             rows = (self._part(entries, parts[0], None).limit(0) if rows is None else rows).unionByName(dead, allowMissingColumns=True)
         part, n = self._write(entries, name, rows)
         if not n:
@@ -204,10 +222,10 @@ class Store:
                         keys = own.select(*on) if keys is None else keys.union(own.select(*on))
         if keys is None:
             keys = self.read(name, key, version=new).select(*on).limit(0)
-        touched = keys.distinct()
-        sides = []
+        touched, counts, sides = keys.distinct(), [self.rows(name, version, shared) for version in (old, new)], []
+        own = self.keys(touched, None if None in counts else sum(counts))
         for version, side in ((old, "before"), (new, "after")):
-            rows = self.read(name, key, touched, version).join(touched, on, "left_semi")
+            rows = self.read(name, key, touched, version).join(own, on, "left_semi")
             sides.append(rows.select(*on, F.struct(*rows.columns).alias(side)))
         both = sides[0].join(sides[1], on, "full")
         kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")

@@ -76,3 +76,18 @@ def test_rollups_follow_random_changes(spark, tmp_path):
     before = store.read("orgs").collect()
     rollups.refresh(store, "orgs", keys, maintained.tagged_days, ["entity_id", "day"])
     assert sorted(store.read("orgs").collect()) == sorted(before)
+
+
+def test_many_keys_are_shuffled_not_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "SENT", 10, raising=False)
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.range(1000).select("id", F.lit("a").alias("x"))
+    store.commit(keyed={"t": ("id", rows)}, digits=1)
+    first = store.commit({"t": ("id", rows.where("id < 100").withColumn("x", F.lit("b")))}, delete={"t": ("id", rows.where("id >= 900").select("id"))})
+    store.commit({"t": ("id", rows.where("id < 5").withColumn("x", F.lit("c")))})
+    diff, few = store.changes("t", "id", 1, first), store.changes("t", "id", first)
+    assert {tuple(r) for r in diff.groupBy("change").count().collect()} == {("update", 100), ("delete", 100)}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(diff) and few.count() == 5 and "BroadcastHashJoin" in plan(few)
+    rollups.refresh(store, "n", {"t": "id"}, lambda frames: frames["t"].select("x"), ["x"])
+    assert {tuple(r) for r in store.read("n").collect()} == {("a", 800), ("b", 95), ("c", 5)}
