@@ -173,3 +173,14 @@ def test_changed_relations_replace_their_evidence(spark):
     changes = spark.createDataFrame([(8, 7, "partner", "", 1), (8, 9, "  ", "", 2)], "org_a long, org_b long, label string, description string, op_ord int")
     got = {tuple(r) for r in graph.replace_evidence(old, changes, news, bridge, "7d", dt.date(2026, 8, 12)).collect()}
     assert got == {(7, 8, 1), (7, 8, 2), (8, 9, 98)}
+
+
+def test_article_links_of_many_organisations(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "LISTED", 2)
+    ids = spark.createDataFrame([(1,), (2,), (2,), (3,)], "news_id long")
+    bridge = spark.createDataFrame([(1, 10), (1, 13), (2, None), (4, 10)], "news_id long, entity_id long")
+    orgs = spark.createDataFrame([(10, True), (11, True), (12, True), (13, False)], "id long, is_active boolean")
+    found = metrics.article_links(ids, spark.createDataFrame([(1, 7), (5, 8)], "news_id long, insight_id long"), bridge, orgs)
+    want = {(1, "insight", 7), (1, "linked_org", 10), (1, "linked_org", 13), (2, "linked_org", None), (1, "unlinked_org", 11), (1, "unlinked_org", 12)} | {(n, "unlinked_org", o) for n in (2, 3) for o in (10, 11, 12)}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
