@@ -183,16 +183,17 @@ def adjacent_news(news: DataFrame) -> DataFrame:
     """(id, prev_id, next_id) for every article, gated or not: the next newer and older verified one.
 
     Days are the tiles: within a day a window sees its own rows; across days only each day's first and
-    last verified article are carried, one row a day.
+    last verified article are carried, one row a day. What follows a row is what precedes it in the other order,
+    since Spark reads a frame that ends with the partition anew for each row.
     """
     ok = F.col("status") == S.VERIFIED
     rows = news.select("id", "published_at", ok.alias("ok"), F.to_date("published_at").alias("day"), F.when(ok, F.col("id")).alias("v"))
-    day = Window.partitionBy("day").orderBy("published_at", "id")
-    below, above = day.rowsBetween(Window.unboundedPreceding, -1), day.rowsBetween(1, Window.unboundedFollowing)
-    inner = rows.withColumn("older", F.last("v", True).over(below)).withColumn("newer", F.first("v", True).over(above))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    day = Window.partitionBy("day")
+    below, above = before(day.orderBy("published_at", "id")), before(day.orderBy(F.desc("published_at"), F.desc("id")))
+    inner = rows.withColumn("older", F.last("v", True).over(below)).withColumn("newer", F.last("v", True).over(above))
     ends = rows.groupBy("day").agg(F.min(F.when(F.col("ok"), F.struct("published_at", "id"))).alias("lo"), F.max(F.when(F.col("ok"), F.struct("published_at", "id"))).alias("hi"))
-    days = Window.orderBy("day")
-    ends = ends.select("day", F.last("hi.id", True).over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("b"), F.first("lo.id", True).over(days.rowsBetween(1, Window.unboundedFollowing)).alias("a"))
+    ends = ends.select("day", F.last("hi.id", True).over(before(Window.orderBy("day"))).alias("b"), F.last("lo.id", True).over(before(Window.orderBy(F.desc("day")))).alias("a"))
     return inner.join(ends, inner["day"].eqNullSafe(ends["day"])).select("id", F.coalesce("newer", "a").alias("prev_id"), F.coalesce("older", "b").alias("next_id"))
 
 

@@ -184,3 +184,8 @@ def test_article_links_of_many_organisations(spark, monkeypatch):
     want = {(1, "insight", 7), (1, "linked_org", 10), (1, "linked_org", 13), (2, "linked_org", None), (1, "unlinked_org", 11), (1, "unlinked_org", 12)} | {(n, "unlinked_org", o) for n in (2, 3) for o in (10, 11, 12)}
     rows = [tuple(r) for r in found.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def test_adjacent_news_reads_a_day_once(spark):
+    plan = metrics.adjacent_news(news(spark, [(1, 0, True)]))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
