@@ -103,7 +103,7 @@ def similar_topk(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataF
 
 def title_key(title: Column) -> Column:
     """A title without a leading label, punctuation and case."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s*\[[^\]]+\]", "")), r"(?U)[^\w]+", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s*\[[^\]]+\]", "")), r"[^\p{L}\p{N}\p{M}_]+", "")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -189,3 +189,9 @@ def test_article_links_of_many_organisations(spark, monkeypatch):
 def test_adjacent_news_reads_a_day_once(spark):
     plan = metrics.adjacent_news(news(spark, [(1, 0, True)]))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_title_keys_keep_all_numbers(spark):
+    n = spark.createDataFrame([(1, "GrÃ¼n ½", "u1", 3), (2, "grã ", "u2", 1), (3, "[x] GRÃ¼n, ½!", "u3", 2)], "id long, title string, url string, published_at int")
+    assert {r.id: r.group_id for r in similarity.duplicate_groups(n).collect()} == {1: 1, 2: 2, 3: 1}
+    assert spark.createDataFrame([("a‿b",), ("a²b_",)], "t string").select(similarity.title_key(F.col("t"))).collect() == [("ab",), ("a²b_",)]
