@@ -107,7 +107,7 @@ SELECT *, CASE WHEN unverified_count = 0 THEN 'clear' WHEN unverified_days >= 2
   SELECT unverified_count, oldest_unverified_at, CAST(DATE '2001-08-01' - oldest_unverified_at AS INTEGER) AS unverified_days, last_verified, (SELECT count(*) FROM relations r WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.org_a = r.org_a AND p.org_b = r.org_b)) AS orphan_relation_count
   FROM (SELECT count(*) FILTER (status <> '검증됨') AS unverified_count, CAST(min(collected_at) FILTER (status <> '검증됨') + INTERVAL 9 HOUR AS DATE) AS oldest_unverified_at, CAST(max(verified_at) AS DATE) AS last_verified FROM news))""")
 def a10_verification_status(t: Tables):
-    status = metrics.verification_status(t.news, graph.orphan_relations(t.news, t.news_orgs, t.relations), AS_OF)
+    status = metrics.verification_status(t.news, graph.orphan_relations(t.news, t.news_orgs, t.ruled), AS_OF)
     return status.withColumn("last_verified", F.to_date("last_verified_at")).drop("last_verified_at")
 
 
