@@ -63,7 +63,7 @@ def z4_stream_tagging(t: Tables):
 @query("news", "SELECT count(*) AS unverified_count, 'stale' AS unverified_tier FROM news WHERE status <> '검증됨'")
 def z5_stream_gap_alert(t: Tables):
     path = scratch(t.spark)
-    orphans = graph.orphan_relations(t.news, t.news_orgs, t.relations)
+    orphans = graph.orphan_relations(t.news, t.news_orgs, t.ruled)
     jobs.stream_gap_alert(StreamTables(t, "orders").news, orphans, AS_OF, path, f"{path}-state").awaitTermination()
     return t.spark.read.parquet(path).select("unverified_count", "unverified_tier")
 
